@@ -72,22 +72,21 @@ def relink_ambiguous_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _moved(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    return relink.moved_sides(view(spark, sf_dir, "fx_photo"), view(spark, sf_dir, "fx_scan"))
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relink.candidate_pairs(view(spark, sf_dir, "fx_photo"), view(spark, sf_dir, "fx_scan"))
 
 
 @register
 def relink_best_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = similarity.partial_levenshtein(F.col("new_path"), F.col("old_path"))
-    scored = relink.candidate_pairs(*_moved(spark, sf_dir)).withColumn("ratio", ratio)
-    return relink.best_match(scored).withColumn("ratio", F.round("ratio", 6))
+    best = relink.best_match(_candidates(spark, sf_dir).withColumn("ratio", ratio))
+    return best.withColumn("ratio", F.round("ratio", 6))
 
 
 @register
 def relink_best_partial_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = similarity.partial_ratio(F.col("new_path"), F.col("old_path"))
-    scored = relink.candidate_pairs(*_moved(spark, sf_dir)).withColumn("ratio", ratio)
-    return relink.best_match(scored)
+    return relink.best_match(_candidates(spark, sf_dir).withColumn("ratio", ratio))
 
 
 @register
@@ -97,7 +96,10 @@ def relink_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def relink_trailing_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relink.match_trailing_path(*_moved(spark, sf_dir))
+    free, hashes = relink.moved_paths(
+        view(spark, sf_dir, "fx_photo"), view(spark, sf_dir, "fx_scan")
+    )
+    return relink.match_trailing_path(free.join(hashes, "md5hash", "left_semi"))
 
 
 # --- look-ups ----------------------------------------------------------------

@@ -6,6 +6,7 @@ table. Every row of the tables named is used.
 
 from __future__ import annotations
 
+from functools import lru_cache
 from string import Formatter
 
 from pyspark.sql import DataFrame, SparkSession
@@ -121,6 +122,7 @@ _STAMP_TIME = {
 }
 
 
+@lru_cache(maxsize=64)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

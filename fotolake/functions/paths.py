@@ -15,9 +15,7 @@ def basename(path: Column) -> Column:
 
 def dirname(path: Column) -> Column:
     """Folder part; a root made of slashes only is kept as it is."""
-    head = F.substring(path, F.lit(1), F.length(path) - F.length(basename(path)))
-    trimmed = F.rtrim(head, F.lit("/"))
-    return F.when(trimmed == "", head).otherwise(trimmed)
+    return F.regexp_extract(path, r"(?s)^(?:.*[^/](?=/)|/*)", 0)
 
 
 def extension(path: Column) -> Column:
@@ -66,27 +64,33 @@ def full_path(local: Column, base: Column, path: Column) -> Column:
 
 
 def normalize_path(path: Column) -> Column:
-    """Collapse ``//``, ``.`` and ``..`` the POSIX way; empty becomes ``.``."""
-    prefix = (
-        F.when(path.rlike("^//(?!/)"), "//").when(F.startswith(path, F.lit("/")), "/").otherwise("")
-    )
+    """Collapse ``//``, ``.`` and ``..`` the POSIX way; empty becomes ``.``.
+
+    Give it a plain column: the expression names its input several times.
+    """
+    root = F.regexp_extract(path, "^(//(?!/)|/)?", 0)  # exactly two slashes stay two
     steps = F.filter(F.split(path, "/"), lambda s: (s != "") & (s != "."))
 
+    # The first element of the kept steps is the root.
     def walk(kept: Column, step: Column) -> Column:
-        last = F.element_at(kept, -1)
-        empty = F.size(kept) == 0
-        climbs = F.when(empty, prefix == "").otherwise(last == "..")
+        at_root = F.size(kept) == 1
+        climbs = F.when(at_root, F.get(kept, F.lit(0)) == "").otherwise(
+            F.element_at(kept, -1) == ".."
+        )
         return (
             F.when((step != "..") | climbs, F.concat(kept, F.array(step)))
-            .when(empty, kept)
-            .otherwise(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0))))
+            .when(at_root, kept)
+            .otherwise(F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(1))))
+        )
+
+    def join(kept: Column) -> Column:
+        root = F.get(kept, F.lit(0))
+        return F.when((F.size(kept) == 1) & (root == ""), ".").otherwise(
+            F.concat(root, F.array_join(F.slice(kept, F.lit(2), F.size(kept)), "/"))
         )
 
-    folded = F.aggregate(steps, F.array().cast("array<string>"), walk)
-    rebuilt = F.concat(prefix, F.array_join(folded, "/"))
-    rebuilt = F.when(rebuilt == "", ".").otherwise(rebuilt)
     untidy = path.rlike(r"^$|//|(^|/)\.{1,2}(/|$)|./$")
-    return F.when(untidy, rebuilt).otherwise(path)
+    return F.when(untidy, F.aggregate(steps, F.array(root), walk, join)).otherwise(path)
 
 
 def flatten_dir(folder: Column, level: int | None) -> Column:

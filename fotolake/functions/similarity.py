@@ -3,12 +3,23 @@
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterable
 from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
+
+_MATCHES = ArrayType(
+    StructType(
+        [
+            StructField("old_path", StringType()),
+            StructField("new_path", StringType()),
+            StructField("ratio", IntegerType()),
+        ]
+    )
+)
 
 
 def _best_window(one: str, two: str) -> int:
@@ -46,6 +57,32 @@ def partial_ratio(one: Column, two: Column) -> Column:
     return score(one, two)
 
 
+def greedy_matches(old_paths: Column, new_paths: Column) -> Column:
+    """Array of (old_path, new_path, ratio): the pairs of two bounded arrays, best first.
+
+    Pairs are taken by ratio, then new path, then old path, while both are free.
+    """
+
+    @F.pandas_udf(_MATCHES)
+    def match(olds: pd.Series, news: pd.Series) -> pd.Series:
+        return pd.Series([_take_best_free(o, n) for o, n in zip(olds, news)])
+
+    return match(old_paths, new_paths)
+
+
+def _take_best_free(olds: Iterable[str], news: Iterable[str]) -> list[tuple[str, str, int]]:
+    ranked = sorted((-_best_window(new, old), new, old) for new in news for old in olds)
+    used_old: set[str] = set()
+    used_new: set[str] = set()
+    taken = []
+    for score, new, old in ranked:
+        if old not in used_old and new not in used_new:
+            used_old.add(old)
+            used_new.add(new)
+            taken.append((old, new, -score))
+    return taken
+
+
 def partial_levenshtein(one: Column, two: Column) -> Column:
     """Best-window similarity by edit distance, without Python; between 0 and 1."""
     swap = F.length(one) > F.length(two)

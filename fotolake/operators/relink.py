@@ -7,12 +7,11 @@ A NULL hash never matches.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolake.functions import paths
-from fotolake.functions.similarity import partial_ratio
+from fotolake.functions.similarity import greedy_matches, partial_ratio
 from fotolake.operators.changes import hash_multiplicity
 from fotolake.operators.lookups import attach_batch, known_hashes
 from fotolake.operators.ranking import HOT_GROUP_ROWS, hot_groups, number_rows
@@ -103,114 +102,124 @@ def _pairs(numbered: DataFrame, keys: list[str]) -> DataFrame:
 # --- most similar old path ---------------------------------------------------
 
 
-def moved_sides(photo: DataFrame, scan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Old and new paths of ambiguous hashes, without files still at their path."""
-    ambiguous = ambiguous_hashes(photo, scan).select("md5hash")
-    old = photo.select("md5hash", F.col("path").alias("old_path")).join(
-        ambiguous, "md5hash", "left_semi"
+def moved_paths(photo: DataFrame, scan: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Paths to re-link and the hashes they belong to.
+
+    The paths (md5hash, side, path) are those in the catalog only (side 0) and
+    in the scan only (side 1); a file still at its path is no change. The
+    hashes (md5hash, pairs) are those with several photos that have paths on
+    both sides, and the number of pairs these make. They are written to the
+    checkpoint folder, being few and used more than once.
+    """
+    sides = photo.select("md5hash", "path", F.lit(_OLD).alias("side")).unionByName(
+        scan.select("md5hash", "path", F.lit(_NEW).alias("side"))
     )
-    new = scan.select("md5hash", F.col("path").alias("new_path")).join(
-        ambiguous, "md5hash", "left_semi"
+    paths_seen = (
+        _hashed(sides)
+        .groupBy("md5hash", "path")
+        .agg(F.min("side").alias("side"), (F.min("side") != F.max("side")).alias("stays"))
     )
-    here = scan.select("md5hash", F.col("path").alias("old_path"))
-    there = photo.select("md5hash", F.col("path").alias("new_path"))
-    return (
-        old.join(here, ["md5hash", "old_path"], "left_anti"),
-        new.join(there, ["md5hash", "new_path"], "left_anti"),
+    old, stays = F.col("side") == _OLD, F.col("stays")
+    hashes = (
+        paths_seen.groupBy("md5hash")
+        .agg(
+            F.count_if(old).alias("photos"),
+            (F.count_if(old & ~stays).cast("double") * F.count_if(~old)).alias("pairs"),
+        )
+        .where((F.col("photos") > 1) & (F.col("pairs") > 0))
+        .select("md5hash", "pairs")
     )
+    return paths_seen.where(~stays).select("md5hash", "side", "path"), cut_lineage(hashes)
 
 
-def _split_by_pairs(
-    old: DataFrame, new: DataFrame, pair_limit: int
-) -> tuple[DataFrame, DataFrame | None]:
-    """Hashes to compare pair by pair, and those too large for it (None if none are)."""
-    n_old = old.groupBy("md5hash").agg(F.count("*").alias("n_old"))
-    n_new = new.groupBy("md5hash").agg(F.count("*").alias("n_new"))
-    pairs = n_old.join(n_new, "md5hash").withColumn(
-        "pairs", F.col("n_old").cast("double") * F.col("n_new")
+def _bounded_groups(free: DataFrame, hashes: DataFrame) -> DataFrame:
+    """Old and new paths of each hash as two arrays; ``hashes`` bounds their size."""
+
+    def side_paths(side: int) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("path"))))
+
+    return (
+        free.join(hashes.select("md5hash"), "md5hash")
+        .groupBy("md5hash")
+        .agg(side_paths(_OLD).alias("old_paths"), side_paths(_NEW).alias("new_paths"))
     )
-    small = pairs.where(F.col("pairs") <= pair_limit).select("md5hash")
-    large = pairs.where(F.col("pairs") > pair_limit).select("md5hash")
-    return small, None if large.isEmpty() else cut_lineage(large)
 
 
-def candidate_pairs(old: DataFrame, new: DataFrame, pair_limit: int = PAIR_LIMIT) -> DataFrame:
+def _large_groups(
+    free: DataFrame, hashes: DataFrame, pair_limit: int, hot_rows: int
+) -> DataFrame | None:
+    """Matches of the hashes with more than ``pair_limit`` pairs; None if there are none."""
+    large = hashes.where(F.col("pairs") > pair_limit).select("md5hash")
+    if large.isEmpty():
+        return None
+    return match_trailing_path(free.join(large, "md5hash", "left_semi"), hot_rows=hot_rows)
+
+
+def candidate_pairs(
+    photo: DataFrame,
+    scan: DataFrame,
+    pair_limit: int = PAIR_LIMIT,
+    hot_rows: int = HOT_GROUP_ROWS,
+) -> DataFrame:
     """Old and new paths to compare.
 
     Hashes of up to ``pair_limit`` pairs give all of them. Larger ones give one
     old path per file, by :func:`match_trailing_path`, so that no group's pairs
     grow with the square of its size.
     """
-    small, large = _split_by_pairs(old, new, pair_limit)
-    pairs = (
-        old.join(small, "md5hash", "left_semi")
-        .join(new, "md5hash")
-        .select("md5hash", "old_path", "new_path")
-    )
-    if large is None:
-        return pairs
-    return pairs.unionByName(
-        match_trailing_path(
-            old.join(large, "md5hash", "left_semi"), new.join(large, "md5hash", "left_semi")
-        )
+    free, hashes = moved_paths(photo, scan)
+    groups = _bounded_groups(free, hashes.where(F.col("pairs") <= pair_limit))
+    pairs = groups.select("md5hash", "old_paths", F.explode("new_paths").alias("new_path")).select(
+        "md5hash", F.explode("old_paths").alias("old_path"), "new_path"
     )
+    large = _large_groups(free, hashes, pair_limit, hot_rows)
+    return pairs if large is None else pairs.unionByName(large)
 
 
 def best_match(scored: DataFrame, score: str = "ratio") -> DataFrame:
     """For each new path the old path of the highest score; the smaller path on a tie."""
+    best = F.min(F.struct((-F.col(score)).alias("rank"), "old_path"))
     return (
         scored.groupBy("md5hash", "new_path")
-        .agg(F.min(F.struct((-F.col(score)).alias("rank"), "old_path")).alias("best"))
+        .agg(best.alias("best"))
         .select("md5hash", "best.old_path", "new_path", (-F.col("best.rank")).alias(score))
     )
 
 
 def relink_ambiguous(
-    photo: DataFrame, scan: DataFrame, pair_limit: int = PAIR_LIMIT
+    photo: DataFrame,
+    scan: DataFrame,
+    pair_limit: int = PAIR_LIMIT,
+    hot_rows: int = HOT_GROUP_ROWS,
 ) -> DataFrame:
     """Each file of a hash with several photos takes the most similar old path.
 
     Within a hash, pairs are taken from the highest ratio down (then by new and
-    old path) while both paths are free. See :func:`candidate_pairs` for very
-    large hashes. The result has a ``ratio`` column.
+    old path) while both paths are free. A hash of more than ``pair_limit``
+    pairs is matched by :func:`match_trailing_path` instead, whose work does
+    not grow with the square of the group. The result has a ``ratio`` column.
     """
-    pairs = candidate_pairs(*moved_sides(photo, scan), pair_limit)
-    scored = pairs.withColumn("ratio", partial_ratio(F.col("new_path"), F.col("old_path")))
-    return scored.groupBy("md5hash").applyInPandas(
-        _take_best_free, "md5hash string, old_path string, new_path string, ratio int"
-    )
-
-
-def _take_best_free(pairs: pd.DataFrame) -> pd.DataFrame:
-    ordered = pairs.sort_values(
-        ["ratio", "new_path", "old_path"], ascending=[False, True, True], kind="stable"
-    )
-    used_old, used_new, taken = set(), set(), []
-    for at, (old, new) in enumerate(zip(ordered["old_path"], ordered["new_path"])):
-        if old not in used_old and new not in used_new:
-            used_old.add(old)
-            used_new.add(new)
-            taken.append(at)
-    return ordered.iloc[taken][["md5hash", "old_path", "new_path", "ratio"]]
+    free, hashes = moved_paths(photo, scan)
+    groups = _bounded_groups(free, hashes.where(F.col("pairs") <= pair_limit))
+    matched = greedy_matches(F.col("old_paths"), F.col("new_paths"))
+    pairs = groups.select("md5hash", F.inline(matched))
+    large = _large_groups(free, hashes, pair_limit, hot_rows)
+    if large is None:
+        return pairs
+    ratio = partial_ratio(F.col("new_path"), F.col("old_path"))
+    return pairs.unionByName(large.withColumn("ratio", ratio))
 
 
 def match_trailing_path(
-    old: DataFrame,
-    new: DataFrame,
-    depth: int = TRAILING_DEPTH,
-    hot_rows: int = HOT_GROUP_ROWS,
+    free: DataFrame, depth: int = TRAILING_DEPTH, hot_rows: int = HOT_GROUP_ROWS
 ) -> DataFrame:
-    """Match the paths of a hash by the steps they share at the end.
+    """Match the paths (md5hash, side, path) of a hash by the steps they share at the end.
 
     Paths with the same last ``depth`` steps are matched first, in path order,
     then those with one step less, and so on; what is left is matched in path
     order. Letter case does not count. Every step costs one numbering and one
     grouping of the paths still free, whatever the size of a group.
     """
-    free = _hashed(old).select("md5hash", F.lit(_OLD).alias("side"), F.col("old_path").alias("path"))
-    free = free.unionByName(
-        _hashed(new).select("md5hash", F.lit(_NEW).alias("side"), F.col("new_path").alias("path"))
-    )
     matched = []
     for steps in range(depth, -1, -1):
         tail = paths.trailing_path(F.col("path"), steps) if steps else F.lit("")

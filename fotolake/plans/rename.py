@@ -55,7 +55,9 @@ def plan_rename(
         (F.lit(None).cast("string") if match is None
          else templates.capture(F.col("path"), match, expand)).alias("regex"),
     )
-    folder = paths.dirname(F.col("old_path"))
+    # One select per step: each names its inputs more than once.
+    rows = rows.withColumn("_folder", paths.dirname(F.col("old_path")))
+    folder = F.col("_folder")
     below = F.coalesce(paths.relative_path(folder, F.col("old_base")), folder)
     rows = rows.withColumn(
         "old_dir",
@@ -72,8 +74,11 @@ def plan_rename(
         paths.flatten_dir(F.col("old_dir"), level), F.col("dt"), split_dirs
     )
     rows = rows.select("*", name.alias("new_name"), directory.alias("new_dir"))
-    relative = F.regexp_replace(F.concat("new_dir", F.lit("/"), "new_name"), "^/", "")
-    full = F.concat("new_base", F.lit("/"), "new_dir", F.lit("/"), "new_name")
+    rows = rows.select(
+        "*",
+        F.regexp_replace(F.concat("new_dir", F.lit("/"), "new_name"), "^/", "").alias("_new"),
+        F.concat("new_base", F.lit("/"), "new_dir", F.lit("/"), "new_name").alias("_full"),
+    )
     dated = split_dirs is not None or bool(
         templates.template_tokens(template) & set(templates.DATE_TOKENS)
     )
@@ -82,8 +87,10 @@ def plan_rename(
         status = status.when(F.col("regex").isNull(), "no_match")
     return rows.select(
         "*",
-        paths.replace_whitespace(paths.normalize_path(relative), whitespace).alias("new_path"),
-        paths.replace_whitespace(paths.normalize_path(full), whitespace).alias("new_full_path"),
+        paths.replace_whitespace(paths.normalize_path(F.col("_new")), whitespace).alias("new_path"),
+        paths.replace_whitespace(paths.normalize_path(F.col("_full")), whitespace).alias(
+            "new_full_path"
+        ),
         status.otherwise("ok").alias("status"),
     ).select(*PLAN_COLUMNS)
 
@@ -131,16 +138,35 @@ def dedupe_targets(plan: DataFrame, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame
     # Rows without a target never clash; a key of their own spreads them.
     key = F.coalesce("new_path", F.concat(F.lit("\0"), "old_path"))
     state = plan.select("*", key.alias("_key"), F.lit(False).alias("_numbered"))
-    rounds = 0
-    while (largest := _largest_clash(state)) is not None:
-        state = _number_clashes(state if rounds == 0 else cut_lineage(state), largest, hot_rows)
-        rounds += 1
+    largest, recheck = _clashes(state)
+    while largest is not None:
+        state = _number_clashes(state, largest, hot_rows)
+        if not recheck:
+            break
+        state = cut_lineage(state)
+        largest, _ = _clashes(state)
     return state.select(*plan.columns)
 
 
-def _largest_clash(plan: DataFrame) -> int | None:
-    sizes = plan.groupBy("_key").agg(F.count("md5hash").alias("n"), F.count("*").alias("rows"))
-    return sizes.where(F.col("n") > 1).agg(F.max("rows")).first()[0]
+def _clashes(plan: DataFrame) -> tuple[int | None, bool]:
+    """Rows of the largest clash, and whether numbered names may meet other targets.
+
+    They can only meet a target that ends like a numbered one, or each other
+    when they have no extension.
+    """
+    numbered_look = F.col("_key").rlike(r"-\d+(\.[^./]*)?$")
+    sizes = (
+        plan.groupBy("_key")
+        .agg(F.count("md5hash").alias("n"), F.count("*").alias("rows"))
+        .select(
+            F.when(F.col("n") > 1, F.col("rows")).alias("clash"),
+            F.when(F.col("n") > 1, paths.extension(F.col("_key")) == "")
+            .otherwise(numbered_look)
+            .alias("risk"),
+        )
+    )
+    largest, risk = sizes.agg(F.max("clash"), F.max("risk")).first()
+    return largest, bool(risk)
 
 
 def _number_clashes(plan: DataFrame, largest: int, hot_rows: int) -> DataFrame:
@@ -180,13 +206,16 @@ def move_plan(plan: DataFrame) -> DataFrame:
     """Old and new full path of every file that has a new place."""
     old = paths.full_path(F.col("old_local"), F.col("old_base"), F.col("old_path"))
     new = F.concat("new_base", F.lit("/"), "new_path")
-    return plan.where(F.col("new_path").isNotNull() & F.col("new_base").isNotNull()).select(
+    rows = plan.where(F.col("new_path").isNotNull() & F.col("new_base").isNotNull()).select(
+        "md5hash", "old_path", "new_base", "new_path", old.alias("_old"), new.alias("_new")
+    )
+    return rows.select(
         "md5hash",
         "old_path",
         "new_base",
         "new_path",
-        paths.normalize_path(old).alias("old_full"),
-        paths.normalize_path(new).alias("new_full"),
+        paths.normalize_path(F.col("_old")).alias("old_full"),
+        paths.normalize_path(F.col("_new")).alias("new_full"),
     )
 
 
@@ -231,24 +260,28 @@ def vacated_dirs(files: DataFrame, moved: DataFrame, base: str) -> DataFrame:
     one thumbnail database counts as vacated and is flagged; a folder goes with
     its parents as far as these are vacated too.
     """
-    moves = moved.select(F.col("old_full").alias("path"))
-    before = files.select("path")
-    after = before.join(moves, "path", "left_anti").unionByName(
-        moved.select(F.col("new_full").alias("path"))
-    )
     inside = F.lit(paths_prefix(base))
-    folder = paths.dirname(F.col("path"))
+    path = F.col("path")
+    places = F.array(
+        F.struct(F.col("old_full").alias("path"), F.lit(True).alias("left")),
+        F.struct(F.col("new_full").alias("path"), F.lit(False).alias("left")),
+    )
+    # A path is in use when something moved in, or it was there and did not move out.
+    in_use = ~F.coalesce(F.bool_or(F.col("left") & ~F.col("came")), F.lit(False)) | F.bool_or("came")
+    moves = moved.select(F.inline(places)).withColumn("came", ~F.col("left"))
+    seen = files.select("path", F.lit(False).alias("left"), F.lit(False).alias("came"))
     kept = (
-        after.where(F.startswith(F.col("path"), inside))
-        .groupBy(folder.alias("dir"))
-        .agg(F.count("*").alias("n"), F.max(F.lower(paths.basename(F.col("path")))).alias("last"))
-        .withColumn("only_thumbs", (F.col("n") == 1) & (F.col("last") == "thumbs.db"))
+        seen.unionByName(moves)
+        .where(F.startswith(path, inside))
+        .groupBy("path")
+        .agg(in_use.alias("kept"))
     )
-    known = before.where(F.startswith(F.col("path"), inside)).select(folder.alias("dir")).distinct()
-    states = known.join(kept.select("dir", "only_thumbs"), "dir", "full").select(
-        "dir",
-        F.coalesce("only_thumbs", F.lit(False)).alias("only_thumbs"),
-        F.coalesce(~F.col("only_thumbs"), F.lit(False)).alias("in_use"),
+    name = F.when(F.col("kept"), F.lower(paths.basename(path)))
+    states = (
+        kept.groupBy(paths.dirname(path).alias("dir"))
+        .agg(F.count(name).alias("n"), F.max(name).alias("last"))
+        .withColumn("only_thumbs", (F.col("n") == 1) & (F.col("last") == "thumbs.db"))
+        .withColumn("in_use", (F.col("n") > 0) & ~F.col("only_thumbs"))
     )
     steps = F.split(F.substring(F.col("dir"), F.length(inside) + 1, F.length("dir")), "/")
     upward = F.transform(
