@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bindings.views import query, table, view
-from fotolake.functions import gps, images, paths, similarity, stamps, tags, templates, times
+from fotolake.functions import gps, hashes, images, paths, similarity, stamps, tags, templates, times
 from fotolake.operators import changes, lookups, records, relink
 from fotolake.plans import rename
 from fotolake.schemas import Catalog
@@ -439,7 +439,7 @@ def path_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def content_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select(
-        "doc_id", files.content_hash(F.encode("text", "UTF-8")).alias("md5hash")
+        "doc_id", hashes.content_hash(F.encode("text", "UTF-8")).alias("md5hash")
     )
 
 
@@ -574,7 +574,7 @@ def scan_parquet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.scan_files(spark, sf_dir).select(
         paths.basename(F.col("path")).alias("fname"),
         "length",
-        files.content_hash(F.col("content")).alias("md5hash"),
+        hashes.content_hash(F.col("content")).alias("md5hash"),
         files.modified_at(F.col("modificationTime"), "UTC").alias("dt_mod"),
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolake.functions import paths, templates, times
+from fotolake.functions.hashes import plain_hash
 from fotolake.operators.changes import register_bases
 from fotolake.operators.lookups import attach_batch
 from fotolake.operators.ranking import HOT_GROUP_ROWS, hot_groups, number_rows
@@ -41,7 +42,7 @@ def plan_rename(
     """
     when = F.col("dt_orig")
     rows = attach_batch(photo, imports).select(
-        F.lower(F.replace(F.col("md5hash"), F.lit("-"))).alias("md5hash"),
+        plain_hash(F.col("md5hash")).alias("md5hash"),
         when.alias("dt"),
         (F.col("base_path") if new_base is None else paths.normalize_base(F.lit(new_base))).alias(
             "new_base"
@@ -232,13 +233,14 @@ def apply_rename(
     changes = moved.join(
         batches.select(F.col("base_path").alias("new_base"), "import_date"), "new_base"
     ).select(
-        "md5hash",
+        F.col("md5hash").alias("_hash"),
         F.col("old_path").alias("path"),
         stored.alias("stored"),
         F.col("import_date").alias("renamed"),
     )
     is_moved = F.col("stored").isNotNull()
-    photo = catalog.photo.join(changes, ["md5hash", "path"], "left").select(
+    hashed = catalog.photo.withColumn("_hash", plain_hash(F.col("md5hash")))
+    photo = hashed.join(changes, ["_hash", "path"], "left").select(
         F.coalesce("stored", "path").alias("path"),
         F.when(is_moved, paths.basename(F.col("stored"))).otherwise(F.col("fname")).alias("fname"),
         "ftype",

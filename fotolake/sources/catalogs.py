@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from fotolake.functions.hashes import plain_hash
 from fotolake.schemas import TABLES, Catalog
 
 BATCH = "batch_id"
@@ -62,12 +63,11 @@ def read_catalog_jdbc(spark: SparkSession, url: str, properties: dict[str, str])
             rows = spark.read.jdbc(url, name, predicates=keyed, properties=properties)
         else:
             rows = spark.read.jdbc(url, name, properties=properties)
-        return rows.select(
-            *[
-                F.col(f.name).cast(f.dataType) if f.name in rows.columns
-                else F.lit(None).cast(f.dataType).alias(f.name)
-                for f in schema
-            ]
-        )
+        have = {
+            f.name: F.col(f.name) if f.name in rows.columns else F.lit(None) for f in schema
+        }
+        if "md5hash" in have:
+            have["md5hash"] = plain_hash(have["md5hash"].cast("string"))
+        return rows.select(*[have[f.name].cast(f.dataType).alias(f.name) for f in schema])
 
     return Catalog.of({name: table(name, schema) for name, schema in TABLES.items()})

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from fotolake import schemas
 from fotolake.functions import images, paths, times
+from fotolake.functions.hashes import content_hash
 from fotolake.sources.exif import jpeg_dimensions, read_tags
 
 # Fixed value: files of a database in use, never scanned.
@@ -64,11 +65,6 @@ def distinct_files(*listings: DataFrame) -> DataFrame:
     return combined.distinct()
 
 
-def content_hash(content: Column) -> Column:
-    """MD5 of the whole content in lower-case hex; NULL when it could not be read."""
-    return F.md5(content)
-
-
 def modified_at(instant: Column, zone: str) -> Column:
     """File time as naive local time, to the second."""
     return times.wall_clock(instant, zone)
