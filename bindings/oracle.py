@@ -191,7 +191,7 @@ _POINTS = f"""+ g as (select md5hash, {_GPS_TAGS} from fx_tag),
       coalesce({_degrees("GPSAltitude")}, 0) as elev_m from g where md5hash in
       (select md5hash from fx_photo))
 """
-_ROUNDED = "md5hash, round(lat, 6) as lat, round(long, 6) as long, round(elev_m, 6) as elev_m"
+_ROUNDED = "md5hash, round(lat, 9) as lat, round(long, 9) as long, round(elev_m, 9) as elev_m"
 _add(
     "gps_location",
     _POINTS + f"select {_ROUNDED} from points where lat <> 0 and long <> 0",
@@ -470,6 +470,12 @@ _add(
     f"select path from fx_scan union ({_EXISTING})",
     "fx_scan", "fx_photo", "fx_import",
 )
+_add(
+    "incremental_ingest",
+    r"""select 'gif' as ftype, '' as dir,
+      md5('GIF89a' || regexp_replace(html, '[\r\n]', ' ', 'g') || chr(10)) as md5hash
+    from pages""",
+)
 _add(
     "filter_extension",
     r"select path from fx_scan where regexp_matches(lower(path), '\.jpe?g$')",

@@ -200,7 +200,7 @@ def insert_locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     backup = photo.where(F.startswith(F.col("path"), F.lit("q/")))
     return changes.upsert_locations(
         lookups.gps_location(tag, backup), lookups.gps_location(tag, photo, keep_zero=True)
-    ).select("md5hash", *[F.round(c, 6).alias(c) for c in ("lat", "long", "elev_m")])
+    ).select("md5hash", *[F.round(c, 9).alias(c) for c in ("lat", "long", "elev_m")])
 
 
 @register
@@ -497,19 +497,18 @@ def tags_to_json(spark: SparkSession, sf_dir: str) -> DataFrame:
             for k, (t, v) in pairs.items()
         ]
     )
-    meta = tags.tags_to_json(array)
-    return table(spark, sf_dir, "events").select(
-        "event_id",
-        *[tags.json_tag(meta, key).alias(key) for key in ("user", "kind", "note")],
-        tags.json_tag(meta, "value").cast("double").alias("value"),
+    objects = table(spark, sf_dir, "events").select(
+        "event_id", tags.tags_to_json(array).alias("meta")
     )
+    fields = F.from_json("meta", "user string, kind string, note string, value double")
+    return objects.select("event_id", fields.alias("fields")).select("event_id", "fields.*")
 
 
 @register
 def gps_location(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookups.gps_location(
         view(spark, sf_dir, "fx_tag"), view(spark, sf_dir, "fx_photo")
-    ).select("md5hash", *[F.round(c, 6).alias(c) for c in ("lat", "long", "elev_m")])
+    ).select("md5hash", *[F.round(c, 9).alias(c) for c in ("lat", "long", "elev_m")])
 
 
 @register
@@ -520,13 +519,18 @@ def rational_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").cast("string"), F.lit("/"),
         F.floor(F.col("l_tax") * 100).cast("string"), F.lit("]"),
     )
-    parts = gps.parse_rational_array(text)
-    return table(spark, sf_dir, "lineitem").select(
+    parsed = table(spark, sf_dir, "lineitem").select(
         "l_orderkey",
         "l_linenumber",
-        F.get(parts, F.lit(0)).alias("first"),
-        F.round(F.get(parts, F.lit(1)), 6).alias("second"),
-        F.round(gps.dms_to_decimal(parts, F.col("l_returnflag")), 6).alias("degrees"),
+        "l_returnflag",
+        gps.parse_rational_array(text).alias("parts"),
+    )
+    return parsed.select(
+        "l_orderkey",
+        "l_linenumber",
+        F.get("parts", F.lit(0)).alias("first"),
+        F.round(F.get("parts", F.lit(1)), 6).alias("second"),
+        F.round(gps.dms_to_decimal(F.col("parts"), F.col("l_returnflag")), 6).alias("degrees"),
     )
 
 
@@ -584,15 +588,13 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written out one file each, scanned in batches into a catalog."""
     work = _scratch(spark)
     pages = table(spark, sf_dir, "pages")
-    # One folder per page gives one file per page.
-    marked = pages.select(
-        "page_id", F.concat(F.lit("GIF89a"), F.regexp_replace("html", "[\r\n]", " ")).alias("value")
-    )
-    marked.repartition("page_id").write.partitionBy("page_id").text(f"{work}/files")
+    text = F.concat(F.lit("GIF89a"), F.regexp_replace("html", "[\r\n]", " "))
+    marked = pages.repartition("page_id").select(text.alias("value"))
+    marked.write.option("maxRecordsPerFile", 1).text(f"{work}/files")
     empty_catalog(spark, f"{work}/catalog")
     stream = ingest_stream(
         spark, f"{work}/files", f"{work}/catalog", f"{work}/state", MOMENT,
-        files_per_batch=max(100, pages.count() // 4), local=True,
+        files_per_batch=max(100, pages.count() // 2), local=True,
     )
     stream.awaitTermination()
     photo = catalogs.read_catalog(spark, f"{work}/catalog").photo

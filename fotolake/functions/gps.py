@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fotolake.functions.binding import bind
+
 # References that make a coordinate negative. ``1`` is the
 # altitude reference "below sea level".
 NEGATIVE_REFS = ("W", "S", "1")
@@ -18,16 +20,18 @@ def parse_rational_array(text: Column) -> Column:
     """
     items = F.split(F.regexp_replace(text, r"[\[\]]", ""), ",")
 
-    def number(item: Column) -> Column:
-        parts = F.split(item, "/")
-        top = F.trim(F.get(parts, F.lit(0))).try_cast("double")
-        bottom = F.trim(F.get(parts, F.lit(1))).try_cast("double")
+    def quotient(numbers: Column) -> Column:
+        top, bottom = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
         return (
-            F.when(F.size(parts) == 1, top)
-            .when((F.size(parts) == 2) & (bottom == 0), top)
-            .when(F.size(parts) == 2, F.try_divide(top, bottom))
+            F.when(F.size(numbers) == 1, top)
+            .when((F.size(numbers) == 2) & (bottom == 0), top)
+            .when(F.size(numbers) == 2, F.try_divide(top, bottom))
         )
 
+    def number(item: Column) -> Column:
+        parts = F.transform(F.split(item, "/"), lambda part: F.trim(part).try_cast("double"))
+        return bind(parts, quotient)
+
     return F.transform(items, number)
 
 

@@ -32,18 +32,32 @@ def _best_window(one: str, two: str) -> int:
         return 100
     matcher = SequenceMatcher(autojunk=False)
     matcher.set_seq2(short)
-    have = Counter(short)
     best = 0
-    for start in range(len(long) - size + 1):
-        window = long[start : start + size]
-        # Matching characters cannot exceed those the two texts share.
-        if sum((have & Counter(window)).values()) <= best:
-            continue
-        matcher.set_seq1(window)
+    for bound, start in sorted(_bounds(short, long), reverse=True):
+        if bound <= best:
+            break
+        matcher.set_seq1(long[start : start + size])
         best = max(best, sum(block.size for block in matcher.get_matching_blocks()))
     return round(100 * best / size)
 
 
+def _bounds(short: str, long: str) -> list[tuple[int, int]]:
+    """Characters each window shares with ``short``: no more than these can match."""
+    size = len(short)
+    missing = Counter(short)
+    missing.subtract(long[:size])
+    shared = size - sum(count for count in missing.values() if count > 0)
+    bounds = [(shared, 0)]
+    for start in range(1, len(long) - size + 1):
+        leaves, enters = long[start - 1], long[start + size - 1]
+        missing[leaves] += 1
+        shared -= missing[leaves] > 0
+        shared += missing[enters] > 0
+        missing[enters] -= 1
+        bounds.append((shared, start))
+    return bounds
+
+
 def partial_ratio(one: Column, two: Column) -> Column:
     """Best-window similarity by matching runs of characters."""
 

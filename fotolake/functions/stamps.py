@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from fotolake.functions.binding import bind
+
 # Zone abbreviations and their offset from UTC in minutes.
 ZONE_MINUTES = {
     "UTC": 0,
@@ -58,29 +60,42 @@ def strip_brackets(text: Column) -> Column:
     return F.regexp_replace(text, r"(?d)^\[*(.+?)\]*$", "$1")
 
 
+def _stamp_time(text: Column) -> Column:
+    """The first stamp time as ``year month day time zone``; NULL without one."""
+    found = F.regexp_substr(text, F.lit(_STAMP_TIME))
+    return F.regexp_replace(found, _STAMP_TIME, "$4 $2 $3 $5:$6:$7 $8")
+
+
 def parse_stamp_datetime(text: Column) -> Column:
     """Struct of ``dt_utc`` and ``dt_iso`` (stamp time with its offset); NULLs if unreadable."""
-
-    def group(index: int) -> Column:
-        return F.regexp_extract(text, _STAMP_TIME, index)
-
-    month = F.floor((F.instr(F.lit(_MONTHS), group(2)) + 3) / 4).cast("string")
-    local = F.concat(
-        group(4), F.lit("-"), F.lpad(month, 2, "0"), F.lit("-"), group(3), F.lit(" "),
-        F.concat_ws(":", group(5), group(6), group(7)),
-    )
-    naive = F.when(text.rlike(_STAMP_TIME), local.try_cast("timestamp_ntz"))
-    minutes = _zone_minutes(group(8))
-    size = F.abs(minutes)
-    offset = F.concat(
-        F.when(minutes < 0, "-").otherwise("+"),
-        F.lpad(F.floor(size / 60).cast("string"), 2, "0"),
-        F.lit(":"),
-        F.lpad((size % 60).cast("string"), 2, "0"),
-    )
-    return F.struct(
-        (naive - F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("dt_utc"),
-        F.concat(F.date_format(naive, "yyyy-MM-dd HH:mm:ss"), offset).alias("dt_iso"),
+    return bind(F.split(_stamp_time(text), " "), _times)
+
+
+def _times(parts: Column) -> Column:
+    def part(index: int) -> Column:
+        return F.get(parts, F.lit(index))
+
+    month = F.floor((F.instr(F.lit(_MONTHS), part(1)) + 3) / 4).cast("string")
+    day = F.concat_ws("-", part(0), F.lpad(month, 2, "0"), part(2))
+    local = F.concat(day, F.lit(" "), part(3))
+    minutes = _zone_minutes(part(4))
+
+    def both(values: Column) -> Column:
+        naive, minutes = values["naive"], values["minutes"]
+        size = F.abs(minutes)
+        offset = F.concat(
+            F.when(minutes < 0, "-").otherwise("+"),
+            F.lpad(F.floor(size / 60).cast("string"), 2, "0"),
+            F.lit(":"),
+            F.lpad((size % 60).cast("string"), 2, "0"),
+        )
+        return F.struct(
+            (naive - F.make_dt_interval(F.lit(0), F.lit(0), minutes)).alias("dt_utc"),
+            F.concat(F.date_format(naive, "yyyy-MM-dd HH:mm:ss"), offset).alias("dt_iso"),
+        )
+
+    return bind(
+        F.struct(local.try_cast("timestamp_ntz").alias("naive"), minutes.alias("minutes")), both
     )
 
 
@@ -97,13 +112,21 @@ def parse_exposure(text: Column) -> Column:
 
 def parse_stamp(text: Column) -> Column:
     """All stamp fields; NULLs unless the text splits into four parts or more."""
-    parts = stamp_parts(text)
+    read = F.struct(
+        stamp_parts(text).alias("parts"),
+        parse_stamp_datetime(text).alias("time"),
+        parse_exposure(text).alias("exposure"),
+    )
+    return bind(read, _stamp_fields)
+
+
+def _stamp_fields(read: Column) -> Column:
+    parts, time = read["parts"], read["time"]
     whole = F.size(parts) >= 4
-    time = parse_stamp_datetime(text)
     return F.struct(
         F.when(whole, strip_brackets(F.get(parts, F.lit(0)))).alias("camera_name"),
         F.when(whole, F.get(parts, F.lit(1))).alias("camera_type"),
         F.when(whole, time["dt_iso"]).alias("dt_iso"),
         F.when(whole, time["dt_utc"]).alias("dt_utc"),
-        F.when(whole, parse_exposure(text)).alias("exposure"),
+        F.when(whole, read["exposure"]).alias("exposure"),
     )

@@ -14,7 +14,10 @@ MAKER_NOTE = "EXIF MakerNote"
 def json_string(text: Column) -> Column:
     """``text`` as a quoted JSON string."""
     boxed = F.to_json(F.array(text))
-    return F.substring(boxed, F.lit(2), F.length(boxed) - 2)
+    escaped = F.substring(boxed, F.lit(2), F.length(boxed) - 2)
+    # Most text needs no escapes, and is cheaper to quote directly.
+    plain = text.rlike(r'^[^"\\\x00-\x1f]*+$')
+    return F.when(plain, F.concat(F.lit('"'), text, F.lit('"'))).otherwise(escaped)
 
 
 def coerce_tag(value: Column, field_type: Column, key: Column) -> Column:
@@ -23,15 +26,11 @@ def coerce_tag(value: Column, field_type: Column, key: Column) -> Column:
     A maker note keeps its raw values. NULL stays NULL.
     """
     is_integer = field_type.isin(*INTEGER_FIELDS) & value.rlike(r"^\s*[+-]?\d{1,38}\s*$")
-    number = F.trim(value).try_cast("double")
-    is_float = field_type.isin(*FLOAT_FIELDS) & number.isNotNull() & ~F.isnan(number)
-    finite = F.abs(number) < F.lit(float("inf"))
-    return (
-        F.when(key == MAKER_NOTE, json_string(value))
-        .when(is_integer, F.trim(value).try_cast("decimal(38,0)").cast("string"))
-        .when(is_float & finite, number.cast("string"))
-        .otherwise(json_string(value))
-    )
+    integer = F.trim(value).try_cast("decimal(38,0)").cast("string")
+    real = F.when(field_type.isin(*FLOAT_FIELDS), F.trim(value).try_cast("double"))
+    finite = F.when(F.abs(real) < F.lit(float("inf")), real.cast("string"))
+    number = F.when(is_integer, integer).otherwise(finite)
+    return F.coalesce(F.when(key != MAKER_NOTE, number), json_string(value))
 
 
 def encode_bytes(value: Column) -> Column:
@@ -46,7 +45,7 @@ def tags_to_json(tags: Column) -> Column:
     """
     tokens = F.map_from_entries(
         F.transform(
-            F.array_sort(_last_per_key(tags)),
+            F.sort_array(_last_per_key(tags)),
             lambda tag: F.struct(
                 tag["key"], coerce_tag(tag["value"], tag["field_type"], tag["key"])
             ),
@@ -62,12 +61,12 @@ def tags_to_json(tags: Column) -> Column:
 
 def _last_per_key(tags: Column) -> Column:
     keys = F.transform(tags, lambda tag: tag["key"])
-    return F.filter(
+    last = F.filter(
         tags,
-        lambda tag, index: ~F.array_contains(
-            F.slice(keys, index + 2, F.size(keys)), tag["key"]
-        ),
+        lambda tag, index: ~F.array_contains(F.slice(keys, index + 2, F.size(keys)), tag["key"]),
     )
+    repeats = F.size(F.array_distinct(keys)) < F.size(keys)
+    return F.when(repeats, last).otherwise(tags)
 
 
 def json_tag(meta: Column, key: str) -> Column:

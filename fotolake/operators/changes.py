@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotolake.functions import paths, tags, times
-from fotolake.schemas import IMPORT, LOCATION, PHOTO, TAG, Catalog
+from fotolake.schemas import LOCATION, PHOTO, TAG, Catalog
 
 BATCH_KINDS = ("import", "update", "rename")
 
@@ -32,10 +32,21 @@ def distinct_keys(df: DataFrame, key: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).select(key).distinct()
 
 
+def absent_rows(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
+    """Rows of ``new`` whose key the table does not have.
+
+    The table is first cut down to the keys of ``new``. When ``new`` is small
+    Spark sends it to the table's tasks, so that a large table is not shuffled
+    to take in a few rows. ``new`` is named twice: give it as a table or
+    checkpoint if it is dear to compute.
+    """
+    met = table.select(key).join(new.select(key), key, "left_semi")
+    return new.join(met, key, "left_anti")
+
+
 def _insert_absent(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """``new`` is unique in ``key``."""
-    rows = new.join(table.select(key), key, "left_anti")
-    return table.unionByName(rows.select(*table.columns))
+    return table.unionByName(absent_rows(table, new, key).select(*table.columns))
 
 
 def register_batch(
@@ -44,8 +55,12 @@ def register_batch(
     """Add a batch; a batch already keyed by that second stays as it is."""
     if kind not in BATCH_KINDS:
         raise ValueError(f"kind must be one of {BATCH_KINDS}, not {kind!r}")
-    row = imports.sparkSession.createDataFrame([(batch_key(moment), base, local, kind)], IMPORT)
-    row = row.withColumn("base_path", paths.normalize_base(F.col("base_path")))
+    row = imports.sparkSession.range(1).select(
+        F.lit(batch_key(moment)).alias("import_date"),
+        paths.normalize_base(F.lit(base)).alias("base_path"),
+        F.lit(local).alias("local"),
+        F.lit(kind).alias("type"),
+    )
     return _insert_absent(imports, row, "import_date")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fotolake.functions import gps, paths, tags
+from fotolake.functions import gps, paths
 from fotolake.operators.changes import distinct_keys
 
 
@@ -50,10 +50,11 @@ def attach_tags(photo: DataFrame, tag: DataFrame) -> DataFrame:
 
 
 def gps_tags(tag: DataFrame) -> DataFrame:
+    """The six GPS tags of each metadata object, which is parsed once."""
     names = ("Longitude", "LongitudeRef", "Latitude", "LatitudeRef", "Altitude", "AltitudeRef")
-    meta = F.col("meta")
-    return tag.select(
-        "md5hash", *[tags.json_tag(meta, f"GPS GPS{name}").alias(f"GPS{name}") for name in names]
+    fields = ", ".join(f"`GPS GPS{name}` string" for name in names)
+    return tag.select("md5hash", F.from_json("meta", fields).alias("gps")).select(
+        "md5hash", *[F.col("gps")[f"GPS GPS{name}"].alias(f"GPS{name}") for name in names]
     )
 
 

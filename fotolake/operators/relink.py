@@ -132,14 +132,20 @@ def moved_paths(photo: DataFrame, scan: DataFrame) -> tuple[DataFrame, DataFrame
     return paths_seen.where(~stays).select("md5hash", "side", "path"), cut_lineage(hashes)
 
 
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def _bounded_groups(free: DataFrame, hashes: DataFrame) -> DataFrame:
     """Old and new paths of each hash as two arrays; ``hashes`` bounds their size."""
 
     def side_paths(side: int) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("path"))))
 
+    # The comparison is much work on little data, so its tasks are not coalesced.
     return (
-        free.join(hashes.select("md5hash"), "md5hash")
+        free.repartition(_tasks(free), "md5hash")
+        .join(hashes.select("md5hash"), "md5hash")
         .groupBy("md5hash")
         .agg(side_paths(_OLD).alias("old_paths"), side_paths(_NEW).alias("new_paths"))
     )
@@ -173,7 +179,8 @@ def candidate_pairs(
         "md5hash", F.explode("old_paths").alias("old_path"), "new_path"
     )
     large = _large_groups(free, hashes, pair_limit, hot_rows)
-    return pairs if large is None else pairs.unionByName(large)
+    pairs = pairs if large is None else pairs.unionByName(large)
+    return pairs.repartition(_tasks(free), "md5hash", "new_path")
 
 
 def best_match(scored: DataFrame, score: str = "ratio") -> DataFrame:

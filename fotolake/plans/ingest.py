@@ -24,26 +24,25 @@ def new_rows(
 ) -> dict[str, DataFrame]:
     """Rows of each table that a scan adds; nothing for an empty batch.
 
-    The records, which do not hold the files' bytes, are written once to the
-    checkpoint folder, so that every file is read once for all five tables.
+    The scanned rows, which do not hold the files' bytes, are written to the
+    checkpoint folder, and so are the accepted ones among them: every file is
+    read once, and compared with the known photos once, for all five tables.
     """
     key = changes.batch_key(moment)
-    records = cut_lineage(records)
     found = changes.photo_rows(records, key, base if local else None, zone)
-    known = catalog.photo.select("path")
-    accepted = changes.one_row_per_path(found).join(known, "path", "left_anti")
+    found = cut_lineage(changes.one_row_per_path(found))
+    accepted = cut_lineage(changes.absent_rows(catalog.photo, found, "path"))
     photo = accepted.select(*PHOTO.fieldNames())
-    hashes = changes.distinct_keys(accepted, "md5hash").join(catalog.hash, "md5hash", "left_anti")
-    tag = changes.first_by_path(accepted, TAG.fieldNames()[1:]).join(
-        catalog.tag.select("md5hash"), "md5hash", "left_anti"
-    )
+    hashes = changes.distinct_keys(accepted, "md5hash")
+    tag = changes.first_by_path(accepted, TAG.fieldNames()[1:])
+    tag = changes.absent_rows(catalog.tag, tag, "md5hash")
     location = lookups.gps_location(tag, photo) if geo else catalog.location.limit(0)
-    location = location.join(catalog.location.select("md5hash"), "md5hash", "left_anti")
     batch = changes.register_batch(catalog.imports.limit(0), base, local, "import", moment)
-    batch = batch.join(catalog.imports.select("import_date"), "import_date", "left_anti")
-    imports = batch.join(
+    imports = changes.absent_rows(catalog.imports, batch, "import_date").join(
         photo.select(F.col("dt_import").alias("import_date")).limit(1), "import_date", "left_semi"
     )
+    hashes = changes.absent_rows(catalog.hash, hashes, "md5hash")
+    location = changes.absent_rows(catalog.location, location, "md5hash")
     return {"import": imports, "hash": hashes, "photo": photo, "tag": tag, "location": location}
 
 
@@ -69,4 +68,5 @@ def scan_into(
     listing = files.scan_files(spark, root).drop("content")
     wanted = lookups.new_files_only(listing, catalog.photo, catalog.imports, skip_check)
     records = files.scan_records(files.read_listed(wanted), thumb=thumb, maker=maker)
-    return add_rows(catalog, new_rows(catalog, records, root, moment, local, zone))
+    base = files.plain_root(root)
+    return add_rows(catalog, new_rows(catalog, records, base, moment, local, zone))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
@@ -74,4 +75,8 @@ class Catalog:
 
     @classmethod
     def empty(cls, spark: SparkSession) -> Catalog:
-        return cls.of({name: spark.createDataFrame([], schema) for name, schema in TABLES.items()})
+        def table(schema: T.StructType) -> DataFrame:
+            nothing = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema]
+            return spark.range(0).select(*nothing)
+
+        return cls.of({name: table(schema) for name, schema in TABLES.items()})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import pandas as pd
@@ -23,6 +24,11 @@ def local_path(uri: Column) -> Column:
     return F.regexp_replace(uri, "^file:/+", "/")
 
 
+def plain_root(root: str) -> str:
+    """A root the way :func:`local_path` spells the paths below it."""
+    return re.sub("^file:/+", "/", root)
+
+
 def scan_files(
     spark: SparkSession,
     roots: str | Iterable[str],
@@ -41,7 +47,7 @@ def scan_files(
         reader = reader.option("modifiedAfter", modified_after)
     files = reader.load(roots).withColumn("path", local_path(F.col("path")))
     if not recursive:
-        tops = [paths.normalize_base(local_path(F.lit(root))) for root in roots]
+        tops = [paths.normalize_base(F.lit(plain_root(root))) for root in roots]
         files = files.where(paths.dirname(F.col("path")).isin(*tops))
     return filter_extension(files, SKIPPED_EXTENSIONS, keep=False)
 

@@ -68,9 +68,10 @@ def ingest_stream(
     """
     if started.tzinfo is not None:
         started = started.astimezone(timezone.utc)
+    upsert = batch_upsert(spark, folder, files.plain_root(root), started, local, zone)
     return (
         file_stream(spark, root, files_per_batch)
-        .writeStream.foreachBatch(batch_upsert(spark, folder, root, started, local, zone))
+        .writeStream.foreachBatch(upsert)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -214,7 +214,7 @@ def test_scan_into_a_catalog(spark, tree):
         file.write(b"GIF89aXXXX")
     again = scan_into(spark, first, root, datetime(2024, 3, 2), local=True)
     assert again.photo.count() == 7 and again.imports.count() == 2
-    nothing = scan_into(spark, again, root, datetime(2024, 3, 3), local=True)
+    nothing = scan_into(spark, again, f"file://{root}", datetime(2024, 3, 3), local=True)
     assert nothing.imports.count() == 2
 
 
