@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotolake.functions import gps, paths
@@ -70,14 +70,15 @@ def gps_location(tag: DataFrame, photo: DataFrame, keep_zero: bool = False) -> D
     z = F.when(F.col("GPSAltitude").isNull(), F.lit(0.0)).otherwise(
         gps.coordinate(F.col("GPSAltitude"), F.col("GPSAltitudeRef"))
     )
-    points = (
-        gps_tags(tag)
-        .where(F.col("GPSLongitude").isNotNull() & F.col("GPSLatitude").isNotNull())
-        .join(distinct_keys(photo, "md5hash"), "md5hash", "left_semi")
-        .select("md5hash", y.alias("lat"), x.alias("long"), z.alias("elev_m"))
-        .where(F.col("lat").isNotNull() & F.col("long").isNotNull())
-    )
-    if not keep_zero:
-        points = points.where((F.col("lat") != 0) & (F.col("long") != 0))
+    point = F.struct(y.alias("lat"), x.alias("long"), z.alias("elev_m"))
+
+    def usable(point: Column) -> Column:
+        known = point["lat"].isNotNull() & point["long"].isNotNull()
+        return known if keep_zero else known & (point["lat"] != 0) & (point["long"] != 0)
+
+    # As a filtered array a point is computed once; a filter on its columns would
+    # be pushed down and compute them again. Only points go into the join.
+    points = gps_tags(tag).select("md5hash", F.inline(F.filter(F.array(point), usable)))
+    points = points.join(distinct_keys(photo, "md5hash"), "md5hash", "left_semi")
     wkt = gps.point_wkt(F.col("long"), F.col("lat"), F.col("elev_m"))
     return points.withColumn("wkt", wkt)

@@ -11,6 +11,9 @@ from fotolake.session import cut_lineage
 # one task. About 10**6 narrow catalog rows sort comfortably in one task.
 HOT_GROUP_ROWS = 1_000_000
 
+# Keys sent to every task at most, some tens of megabytes.
+BROADCAST_KEYS = 100_000
+
 # monotonically_increasing_id() keeps the row within its partition in the low
 # 33 bits and the partition above them.
 _PARTITION_BITS = 33
@@ -37,9 +40,16 @@ def number_rows(
 
 
 def hot_groups(df: DataFrame, keys: list[str], hot_rows: int) -> DataFrame | None:
-    """Keys of the groups over ``hot_rows`` rows; None when there are none."""
+    """Keys of the groups over ``hot_rows`` rows; None when there are none.
+
+    There is at most one per ``hot_rows`` rows. Up to ``BROADCAST_KEYS`` of
+    them are marked for broadcast; Spark chooses the join for more.
+    """
     hot = df.groupBy(*keys).count().where(F.col("count") > hot_rows).select(*keys)
-    return None if hot.isEmpty() else cut_lineage(hot)
+    if hot.isEmpty():
+        return None
+    hot = cut_lineage(hot)
+    return F.broadcast(hot) if hot.count() <= BROADCAST_KEYS else hot
 
 
 def _number_by_sort(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:

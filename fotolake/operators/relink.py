@@ -142,10 +142,11 @@ def _bounded_groups(free: DataFrame, hashes: DataFrame) -> DataFrame:
     def side_paths(side: int) -> Column:
         return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("path"))))
 
-    # The comparison is much work on little data, so its tasks are not coalesced.
+    # Large groups are gone before rows of a hash come together. The comparison
+    # is much work on little data, so its tasks are not coalesced.
     return (
-        free.repartition(_tasks(free), "md5hash")
-        .join(hashes.select("md5hash"), "md5hash")
+        free.join(hashes.select("md5hash"), "md5hash", "left_semi")
+        .repartition(_tasks(free), "md5hash")
         .groupBy("md5hash")
         .agg(side_paths(_OLD).alias("old_paths"), side_paths(_NEW).alias("new_paths"))
     )

@@ -11,7 +11,7 @@ from fotolake.functions import paths, templates, times
 from fotolake.functions.hashes import plain_hash
 from fotolake.operators.changes import register_bases
 from fotolake.operators.lookups import attach_batch
-from fotolake.operators.ranking import HOT_GROUP_ROWS, hot_groups, number_rows
+from fotolake.operators.ranking import BROADCAST_KEYS, HOT_GROUP_ROWS, hot_groups, number_rows
 from fotolake.schemas import Catalog
 from fotolake.session import cut_lineage
 
@@ -174,7 +174,10 @@ def _number_clashes(plan: DataFrame, largest: int, hot_rows: int) -> DataFrame:
     """Number every clash once; a row never numbered keeps its name against numbered ones."""
     clashes = (F.col("_n") > 1) & (F.col("_numbered") | ~F.col("_any_numbered"))
     sizes = [F.count("md5hash").alias("_n"), F.max("_numbered").alias("_any_numbered")]
-    hot = hot_groups(plan, ["_key"], hot_rows) if largest > hot_rows else None
+    hot = None
+    if largest > hot_rows:
+        plan = cut_lineage(plan)  # a hot clash takes several passes
+        hot = hot_groups(plan, ["_key"], hot_rows)
     cold = plan if hot is None else plan.join(hot, "_key", "left_anti")
     group = Window.partitionBy("_key")
     ranked = (
@@ -187,9 +190,9 @@ def _number_clashes(plan: DataFrame, largest: int, hot_rows: int) -> DataFrame:
     )
     if hot is not None:
         spread = plan.join(hot, "_key", "left_semi")
-        spread = spread.join(spread.groupBy("_key").agg(*sizes), "_key").withColumn(
-            "_moves", clashes
-        )
+        totals = cut_lineage(spread.groupBy("_key").agg(*sizes))
+        totals = F.broadcast(totals) if totals.count() <= BROADCAST_KEYS else totals
+        spread = spread.join(totals, "_key").withColumn("_moves", clashes)
         spread = number_rows(spread, ["_key", "_moves"], ["old_path"], "_rank", hot_rows)
         ranked = ranked.unionByName(spread)
     target = numbered_path(F.col("new_path"), F.col("_rank"), F.lit(len(str(largest))))
