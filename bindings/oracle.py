@@ -31,6 +31,23 @@ _add(
     "fx_photo", "fx_import", "fx_scan",
 )
 
+_add(
+    "reconnect_ranked",
+    f"""+ o as (select p.*, row_number() over (
+        partition by md5hash order by coalesce(base_path, ''), path) rn
+      from fx_photo p left join fx_import i on p.dt_import = i.import_date),
+    n as (select md5hash, path as new_path,
+        row_number() over (partition by md5hash order by path) rn
+      from fx_scan where md5hash is not null)
+    select case when new_path is null then path when starts_with(new_path, '/new/')
+        then substr(new_path, 6) else regexp_replace(new_path, '^/', '') end as path,
+      case when new_path is null then fname
+           else regexp_extract(new_path, '([^/]*)$', 1) end as fname,
+      o.md5hash, case when new_path is null then dt_import else '{BATCH}' end as dt_import
+    from o left join n on o.md5hash = n.md5hash and o.rn = n.rn""",
+    "fx_photo", "fx_import", "fx_scan",
+)
+
 _UNIQUE = """+ one as (select md5hash, max(path) as old_path from fx_photo
       where md5hash is not null group by md5hash having count(*) = 1),
     last as (select md5hash, max(path) as new_path from fx_scan
@@ -294,6 +311,12 @@ _add(
     "fx_photo", "fx_import",
 )
 _add("pad_width", _WEEKLY + "select digits as width from width", "fx_photo", "fx_import")
+_add(
+    "duplicate_paths",
+    """select strftime(dt_orig, '%Y/') || fname as path, count(*) as n from fx_photo
+    where dt_orig is not null group by 1 having count(*) > 1""",
+    "fx_photo",
+)
 _add("distinct_bases", f"select distinct base_path as new_base from {_JOINED}", "fx_photo", "fx_import")
 
 _MOVES = f"""+ mv as (select md5hash, path, {_FULL} as old_full, base_path,
@@ -476,6 +499,12 @@ _add(
       md5('GIF89a' || regexp_replace(html, '[\r\n]', ' ', 'g') || chr(10)) as md5hash
     from pages""",
 )
+_add(
+    "filter_name",
+    r"""select path from fx_photo
+    where regexp_matches(regexp_extract(path, '([^/]*)$', 1), '.JPG|[13]\d.jpg')""",
+    "fx_photo",
+)
 _add(
     "filter_extension",
     r"select path from fx_scan where regexp_matches(lower(path), '\.jpe?g$')",

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from bindings.views import query, table, view
 from fotolake.functions import gps, hashes, images, paths, similarity, stamps, tags, templates, times
 from fotolake.operators import changes, lookups, records, relink
-from fotolake.plans import rename
+from fotolake.plans import reconnect, rename
 from fotolake.schemas import Catalog
 from fotolake.sources import catalogs, files
 from fotolake.streaming.ingest import empty_catalog, ingest_stream
@@ -65,6 +65,22 @@ def relink_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relink.apply_changes(photo, changed, BATCH)
 
 
+@register
+def reconnect_ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photo table after the ranked re-link, with paths relative to the scanned folder."""
+    after = reconnect.reconnect(
+        _catalog(spark, sf_dir), view(spark, sf_dir, "fx_scan"), "/new", MOMENT, local=True
+    )
+    return after.photo.select("path", "fname", "md5hash", "dt_import")
+
+
+@register
+def duplicate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paths that clash once renaming has dropped the folders."""
+    plan = _plan(spark, sf_dir, level=0, split_dirs="year")
+    return changes.duplicate_paths(plan.select(F.col("new_path").alias("path")).dropna())
+
+
 @register
 def relink_ambiguous_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return relink.ambiguous_hashes(
@@ -562,6 +578,11 @@ def distinct_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.distinct_files(view(spark, sf_dir, "fx_scan"), existing_paths(spark, sf_dir))
 
 
+@register
+def filter_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return files.filter_name(view(spark, sf_dir, "fx_photo").select("path"), ".JPG|[13]\\d.jpg")
+
+
 @register
 def filter_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.filter_extension(

@@ -228,6 +228,11 @@ def batch_counts(photo: DataFrame) -> DataFrame:
     return photo.groupBy("dt_import").agg(F.count("*").alias("photo_rows"))
 
 
+def duplicate_paths(photo: DataFrame) -> DataFrame:
+    """Paths more than one photo has; a catalog in order has none."""
+    return photo.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+
+
 def batch_is_empty(imports: DataFrame, photo: DataFrame) -> DataFrame:
     """Each batch with its photo rows and whether it has none."""
     counts = batch_counts(photo).withColumnRenamed("dt_import", "import_date")

@@ -7,6 +7,8 @@ A NULL hash never matches.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -225,14 +227,53 @@ def match_trailing_path(
 
     Paths with the same last ``depth`` steps are matched first, in path order,
     then those with one step less, and so on; what is left is matched in path
-    order. Letter case does not count. Every step costs one numbering and one
-    grouping of the paths still free, whatever the size of a group.
+    order. Letter case does not count. The number of passes is fixed, whatever
+    the size of a group.
     """
+    free = _hashed(free)
+    hot = hot_groups(free, ["md5hash"], hot_rows)
+    if hot is None:
+        return _match_in_place(free, depth)
+    cold = _match_in_place(free.join(hot, "md5hash", "left_anti"), depth)
+    spread = _match_by_passes(free.join(hot, "md5hash", "left_semi"), depth, hot_rows)
+    return cold.unionByName(spread)
+
+
+def _tail(steps: int) -> Column:
+    return paths.trailing_path(F.col("path"), steps) if steps else F.lit("")
+
+
+def _match_in_place(free: DataFrame, depth: int) -> DataFrame:
+    """All levels after one shuffle by hash; a matched path leaves the next levels."""
+    state = free.repartition("md5hash").withColumn("mate", F.lit(None).cast("string"))
+    for steps in range(depth, -1, -1):
+        alone = F.concat(F.lit("\0"), "path")
+        level = Window.partitionBy("md5hash", "tail", "side").orderBy("path")
+        place = Window.partitionBy("md5hash", "tail", "rank")
+        other = F.when(F.col("side") == _OLD, _side_path(_NEW).over(place)).otherwise(
+            _side_path(_OLD).over(place)
+        )
+        state = (
+            state.withColumn("tail", F.when(F.col("mate").isNull(), _tail(steps)).otherwise(alone))
+            .withColumn("rank", F.row_number().over(level))
+            .withColumn("mate", F.coalesce("mate", other))
+        )
+    matched = state.where((F.col("side") == _OLD) & F.col("mate").isNotNull())
+    return matched.select(
+        "md5hash", F.col("path").alias("old_path"), F.col("mate").alias("new_path")
+    )
+
+
+def _match_by_passes(free: DataFrame, depth: int, hot_rows: int) -> DataFrame:
+    """One numbering and one grouping of the paths still free per level."""
     matched = []
     for steps in range(depth, -1, -1):
-        tail = paths.trailing_path(F.col("path"), steps) if steps else F.lit("")
         numbered = number_rows(
-            free.withColumn("tail", tail), ["md5hash", "tail", "side"], ["path"], "rank", hot_rows
+            free.withColumn("tail", _tail(steps)),
+            ["md5hash", "tail", "side"],
+            ["path"],
+            "rank",
+            hot_rows,
         )
         met = cut_lineage(
             numbered.groupBy("md5hash", "tail", "rank")
@@ -246,10 +287,7 @@ def match_trailing_path(
             F.when(F.col("old_path").isNull(), _NEW).otherwise(_OLD).alias("side"),
             F.coalesce("old_path", "new_path").alias("path"),
         )
-    result = matched[0]
-    for more in matched[1:]:
-        result = result.unionByName(more)
-    return result
+    return reduce(DataFrame.unionByName, matched)
 
 
 # --- writing the new paths ---------------------------------------------------

@@ -7,12 +7,13 @@ from collections.abc import Iterable, Iterator
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from fotolake import schemas
 from fotolake.functions import images, paths, times
 from fotolake.functions.hashes import content_hash
+from fotolake.functions.templates import java_regex
 from fotolake.sources.exif import jpeg_dimensions, read_tags
 
 # Fixed value: files of a database in use, never scanned.
@@ -63,6 +64,11 @@ def filter_extension(
     return files.where(ext.isin(*wanted) if keep else ~ext.isin(*wanted))
 
 
+def filter_name(files: DataFrame, pattern: str) -> DataFrame:
+    """Keep files whose name has a hit of a regular expression, such as ``.JPG|.jpg``."""
+    return files.where(paths.basename(F.col("path")).rlike(java_regex(pattern)))
+
+
 def distinct_files(*listings: DataFrame) -> DataFrame:
     """Set of paths of one or more listings."""
     combined = listings[0].select("path")
@@ -196,6 +202,22 @@ def read_status(listing: DataFrame, records: DataFrame) -> DataFrame:
     )
 
 
+def observe_scan(records: DataFrame, name: str = "scan") -> tuple[DataFrame, Observation]:
+    """Records that count themselves while something else consumes them.
+
+    After an action the observation holds ``files``, ``unread`` and ``tagged``;
+    over the seconds of the action they give the read rate.
+    """
+    watch = Observation(name)
+    counted = records.observe(
+        watch,
+        F.count(F.lit(1)).alias("files"),
+        F.count_if(F.col("md5hash").isNull()).alias("unread"),
+        F.count_if(F.col("tags").isNotNull()).alias("tagged"),
+    )
+    return counted, watch
+
+
 def read_listed(listing: DataFrame) -> DataFrame:
     """Read the bytes of exactly the listed files, in the tasks that hold the rows.
 

@@ -141,6 +141,7 @@ def test_listing(spark, tree):
     assert files.scan_files(spark, root, modified_after="2099-01-01T00:00:00").isEmpty()
     assert names(files.filter_extension(listed, [".PNG"], ignore_case=True)) == ["three.png"]
     assert files.filter_extension(listed, [".PNG"]).isEmpty()
+    assert names(files.filter_name(listed, "t.p|.gif")) == ["four.gif"]
     assert files.distinct_files(listed, listed).count() == 7
     assert len(images.RASTER_EXTS) == len(set(images.RASTER_EXTS)) and ".xisf" in images.RASTER_EXTS
     plan = listed.select("path")._jdf.queryExecution().executedPlan().toString()
@@ -173,6 +174,10 @@ def test_scan_records(spark, tree):
     assert {row.msg.split("|")[1] for row in status.collect()} == {"read success", "tag failure", "type failure"}
     assert status.count() == 7
 
+    counted, watch = files.observe_scan(records)
+    counted.write.format("noop").mode("overwrite").save()
+    assert watch.get == {"files": 6, "unread": 0, "tagged": 3}
+
     tags = files.extract_tags(files.scan_files(spark, root))
     assert tags.where("key = 'Image Make'").count() == 3
     assert tags.where("key = 'EXIF MakerNote'").isEmpty()

@@ -11,7 +11,7 @@ from fotolake import schemas
 from fotolake.functions.similarity import _take_best_free
 from fotolake.operators import changes, lookups, records, relink
 from fotolake.operators.ranking import number_rows
-from fotolake.plans import ingest
+from fotolake.plans import ingest, reconnect
 from fotolake.schemas import Catalog
 
 MOMENT = datetime(2024, 3, 1, 12, 0, 0)
@@ -220,6 +220,23 @@ def test_relink_ranked(spark, hot_rows):
     assert max(uses.values()) == 1
 
 
+@pytest.mark.parametrize("local", [True, False])
+def test_reconnect(spark, catalog, local):
+    scan = scan_table(spark, [("h1", "/m/new/1.jpg"), ("h2", "/m/3.jpg"), ("other", "/m/9.jpg")])
+    after = reconnect.reconnect(catalog, scan, "/m", MOMENT, local)
+    key = "2024-03-01T12:00:00Z"
+    root = "" if local else "/m/"
+    assert tuples(after.photo.where(F.col("dt_import") == key), "path", "fname", "md5hash") == [
+        (f"{root}3.jpg", "3.jpg", "h2"), (f"{root}new/1.jpg", "1.jpg", "h1"),
+    ]
+    assert after.photo.count() == 5 and changes.duplicate_paths(after.photo).isEmpty()
+    assert tuples(after.imports.where("type = 'update'"), "import_date", "base_path", "local") == [(key, "/m", local)]
+    nothing = reconnect.reconnect(catalog, scan.where("md5hash = 'other'"), "/m", MOMENT)
+    assert nothing.imports.where("type = 'update'").isEmpty()
+    twice = catalog.photo.unionByName(catalog.photo.where("md5hash = 'h2'"))
+    assert tuples(changes.duplicate_paths(twice), "path", "n") == [("/b/3.jpg", 2)]
+
+
 def _random_paths(rng, n, prefix):
     names = ["IMG 1.jpg", "img 1.JPG", "cover.png", "x.jpg"]
     return [f"{prefix}{rng.choice('abc')}/{rng.choice('de')}{i}/{rng.choice(names)}" for i in range(n)]
@@ -275,7 +292,7 @@ def _by_trailing_path(olds, news, depth=3):
     return pairs
 
 
-@pytest.mark.parametrize("hot_rows", [10**6, 2])
+@pytest.mark.parametrize("hot_rows", [10**6, 8, 2])
 def test_large_groups_are_matched_by_trailing_path(spark, hot_rows):
     old, new = _ambiguous_case()
     photo = photo_table(spark, [(p, k, "d") for p, k in old])
