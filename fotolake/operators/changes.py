@@ -16,11 +16,16 @@ from fotolake.schemas import LOCATION, PHOTO, TAG, Catalog
 BATCH_KINDS = ("import", "update", "rename")
 
 
+def in_utc(moment: datetime) -> datetime:
+    """A moment as naive UTC time; a naive one is taken to be that already."""
+    if moment.tzinfo is None:
+        return moment
+    return moment.astimezone(timezone.utc).replace(tzinfo=None)
+
+
 def batch_key(moment: datetime) -> str:
     """UTC second of a batch, e.g. ``2024-01-02T03:04:05Z``."""
-    if moment.tzinfo is not None:
-        moment = moment.astimezone(timezone.utc)
-    return moment.strftime("%Y-%m-%dT%H:%M:%SZ")
+    return in_utc(moment).strftime("%Y-%m-%dT%H:%M:%SZ")
 
 
 def distinct_keys(df: DataFrame, key: str) -> DataFrame:
@@ -72,7 +77,7 @@ def register_bases(
     ``bases`` has a ``base_path`` column. Only base names and batch keys are
     brought together, and those number one per run of the tool.
     """
-    start = F.lit(moment.strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
+    start = F.lit(in_utc(moment).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
     later = imports.where(F.col("import_date") >= batch_key(moment))
     taken = later.agg(F.collect_set("import_date").alias("taken"))
     names = bases.where(F.col("base_path").isNotNull()).select("base_path").distinct()

@@ -64,8 +64,9 @@ def relink_ranked(
 
     Each file is used once; what is left over on either side stays unmatched.
     """
+    base = F.coalesce("base_path", F.lit(""))
     sides = _hashed(attach_batch(photo, imports)).select(
-        "md5hash", F.lit(_OLD).alias("side"), F.coalesce("base_path", F.lit("")).alias("base"), "path"
+        "md5hash", F.lit(_OLD).alias("side"), base.alias("base"), "path"
     )
     sides = sides.unionByName(
         _hashed(scan).select("md5hash", F.lit(_NEW).alias("side"), F.lit("").alias("base"), "path")

@@ -27,10 +27,9 @@ def apply_relink(
     key = changes.batch_key(moment)
     imports = changes.register_batch(catalog.imports, base, local, "update", moment)
     photo = relink.apply_changes(catalog.photo, relinked, key, ftypes)
-    moved = F.col("dt_import") == key
-    photo = photo.withColumn(
-        "path", F.when(moved, relink.stored_path(F.col("path"), base, local)).otherwise(F.col("path"))
-    )
+    path = F.col("path")
+    stored = relink.stored_path(path, base, local)
+    photo = photo.withColumn("path", F.when(F.col("dt_import") == key, stored).otherwise(path))
     imports = changes.drop_empty_batches(imports, photo, F.col("import_date") == key)
     return catalog.replace(imports=imports, photo=photo)
 

@@ -272,7 +272,7 @@ def vacated_dirs(files: DataFrame, moved: DataFrame, base: str) -> DataFrame:
         F.struct(F.col("new_full").alias("path"), F.lit(False).alias("left")),
     )
     # A path is in use when something moved in, or it was there and did not move out.
-    in_use = ~F.coalesce(F.bool_or(F.col("left") & ~F.col("came")), F.lit(False)) | F.bool_or("came")
+    in_use = ~F.bool_or("left") | F.bool_or("came")
     moves = moved.select(F.inline(places)).withColumn("came", ~F.col("left"))
     seen = files.select("path", F.lit(False).alias("left"), F.lit(False).alias("came"))
     kept = (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timedelta, timezone
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,8 +66,6 @@ def ingest_stream(
     ``folder`` must hold a catalog (:func:`catalogs.write_catalog`, maybe of
     empty tables). ``checkpoint`` keeps what has been seen between runs.
     """
-    if started.tzinfo is not None:
-        started = started.astimezone(timezone.utc)
     upsert = batch_upsert(spark, folder, files.plain_root(root), started, local, zone)
     return (
         file_stream(spark, root, files_per_batch)

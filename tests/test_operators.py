@@ -2,7 +2,7 @@
 
 import random
 from collections import Counter, defaultdict
-from datetime import datetime
+from datetime import datetime, timedelta, timezone
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +82,10 @@ def test_register_bases_takes_free_seconds(spark):
     taken = import_table(spark, [("2024-03-01T12:00:01Z", "/a", True), ("2024-03-01T11:59:59Z", "/a", True)])
     bases = spark.createDataFrame([("/z",), ("/y",), ("/y",), ("/x",), (None,)], "base_path string")
     got = changes.register_bases(taken, bases, True, "rename", MOMENT)
+    east = MOMENT.replace(tzinfo=timezone(timedelta(hours=2)))
+    assert changes.batch_key(east) == "2024-03-01T10:00:00Z"
+    shifted = changes.register_bases(taken, bases, True, "rename", east)
+    assert shifted.agg(F.min("import_date")).first()[0] == "2024-03-01T10:00:00Z"
     assert tuples(got, "import_date", "base_path", "local", "type") == [
         ("2024-03-01T12:00:00Z", "/x", True, "rename"),
         ("2024-03-01T12:00:02Z", "/y", True, "rename"),
