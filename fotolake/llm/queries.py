@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fotolake.llm import chat, decontaminate, linededup, mixing, quality, redirects, substrings, warc
+from fotolake.llm import (
+    chat,
+    chosenpath,
+    decontaminate,
+    linededup,
+    mixing,
+    quality,
+    redirects,
+    substrings,
+    warc,
+)
 from fotolake.llm.common import scratch, stored
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -87,6 +97,12 @@ def op7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"))
 
 
+@register
+def op8_chosen_path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return chosenpath.near_duplicates(docs).select("doc_id", "class_id", "n_links")
+
+
 @register
 def op9_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.preference_rows(*chat.swapped_answers(_table(spark, sf_dir, "conversations")))
