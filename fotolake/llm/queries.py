@@ -12,6 +12,7 @@ from fotolake.llm import (
     chosenpath,
     decontaminate,
     linededup,
+    mincut,
     mixing,
     quality,
     redirects,
@@ -72,6 +73,13 @@ def op3_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op4_min_cut_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    texts = mincut.main_texts(pages, mincut.learn_costs(pages))
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 @register
 def op5_chunked_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc") or _local_scratch(spark)
