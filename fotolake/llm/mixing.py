@@ -53,7 +53,7 @@ def mix(
     cells = stored(_apportion_shards(shards, block_words, max_repeats), "cells")
     start = F.sum("size").over(
         Window.partitionBy("source_key", "shard")
-        .orderBy("order", F.col("doc_id").asc_nulls_last(), "size", "text_hash")
+        .orderBy("order", F.col("doc_id").asc_nulls_last(), "size")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
     rest = F.col("words") % F.col("shard_size")
@@ -75,7 +75,10 @@ def mix(
 
 
 def _sizes(docs: DataFrame, seed: int) -> DataFrame:
-    text_hash = F.xxhash64("text")
+    # A hash that other engines have too.
+    digest = F.md5(
+        F.concat_ws(":", F.lit(seed), F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    )
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.concat(F.lit("s"), F.col("source").cast("string")), F.lit("")).alias(
@@ -84,8 +87,7 @@ def _sizes(docs: DataFrame, seed: int) -> DataFrame:
         F.coalesce(F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")), F.lit(0))
         .cast("long")
         .alias("size"),
-        text_hash.alias("text_hash"),
-        F.xxhash64(F.lit(seed), F.col("doc_id").cast("long"), text_hash).alias("order"),
+        F.conv(F.substr(digest, F.lit(1), F.lit(15)), 16, 10).cast("long").alias("order"),
     )
 
 

@@ -1,4 +1,4 @@
-"""Registered queries of the operators and, where SQL can express them, their SQL."""
+"""Registered queries of the operators; their SQL is in ``oracle``."""
 
 from __future__ import annotations
 
@@ -20,9 +20,11 @@ from fotolake.llm import (
     warc,
 )
 from fotolake.llm.common import scratch, stored
+from fotolake.llm.oracle import ORACLE
+
+__all__ = ["ORACLE", "QUERIES"]
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
 
 RULES = [
     redirects.UrlRule("com", "/", "allow"),
