@@ -528,12 +528,14 @@ def keyed(docs: DataFrame) -> DataFrame:
     )
 
 
-def dedup_substrings(docs: DataFrame, length: int = LENGTH, with_text: bool = True) -> DataFrame:
+def dedup_substrings(
+    docs: DataFrame, length: int = LENGTH, with_text: bool = True, hot_pieces: int = HOT_PIECES
+) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left), for every row."""
     rows = keyed(docs)
     # A span list is as long as its document has pieces.
     spans = (
-        removed_spans(rows, length)
+        removed_spans(rows, length, hot_pieces)
         .groupBy("doc_id", "key")
         .agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     )
