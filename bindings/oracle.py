@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from bindings.queries import BATCH
 from bindings.views import with_views
-from fotolake.functions.stamps import ZONE_MINUTES
-from fotolake.operators.relink import TRAILING_DEPTH
 
 ORACLE: dict[str, str] = {}
 
@@ -80,21 +78,36 @@ _MOVED = """+ amb as (select md5hash from fx_photo
     new as (select md5hash, path as new_path from fx_scan s where md5hash in (select * from amb)
       and not exists (select 1 from fx_photo p where s.md5hash = p.md5hash and s.path = p.path))
 """
-_add(
-    "relink_best_levenshtein",
-    _MOVED
-    + """, pairs as (select md5hash, old_path, new_path,
+# Each new path with the smallest old path that shares most of its last steps.
+_BEST = _MOVED + """, ot as (select md5hash, n, tail, min(old_path) as old_path from (
+      select md5hash, old_path, n, lower(array_to_string(list_slice(s, len(s) - n + 1, len(s)), '/')) as tail
+      from (select *, string_split(old_path, '/') as s from old), unnest(range(0, len(s) + 1)) t(n))
+      group by all),
+    nt as (
+      select md5hash, new_path, n, lower(array_to_string(list_slice(s, len(s) - n + 1, len(s)), '/')) as tail
+      from (select *, string_split(new_path, '/') as s from new), unnest(range(0, len(s) + 1)) t(n)),
+    best as (select md5hash, new_path, arg_max(old_path, n) as old_path, max(n) as steps
+      from nt join ot using (md5hash, n, tail) group by md5hash, new_path),
+    pairs as (select *,
       case when length(new_path) > length(old_path) then old_path else new_path end as s,
       case when length(new_path) > length(old_path) then new_path else old_path end as l
-      from old join new using (md5hash)),
-    windows as (select md5hash, old_path, new_path, s, l,
-      unnest(generate_series(1, length(l) - length(s) + 1)) as i from pairs),
-    scored as (select md5hash, old_path, new_path,
+      from {0}),
+    windows as (select *, unnest(generate_series(1, length(l) - length(s) + 1)) as i from pairs),
+    scored as (select * exclude (s, l, i),
       max(1 - cast(levenshtein(substr(l, i, length(s)), s) as double) / length(s)) as ratio
-      from windows group by all),
-    ranked as (select *, row_number() over (
-      partition by md5hash, new_path order by ratio desc, old_path) as rn from scored)
-    select md5hash, old_path, new_path, round(ratio, 6) as ratio from ranked where rn = 1""",
+      from windows group by all)
+"""
+_add(
+    "relink_best_levenshtein",
+    _BEST.format("best")
+    + "select md5hash, old_path, new_path, steps, round(ratio, 6) as ratio from scored",
+    "fx_photo", "fx_scan",
+)
+_add(
+    "relink_best_partial_ratio",
+    _BEST.format("best")
+    + """select md5hash, old_path, new_path, steps, cast(round(100 * ratio) as int) as ratio
+    from scored""",
     "fx_photo", "fx_scan",
 )
 
@@ -123,11 +136,58 @@ def _trailing_path(depth: int) -> str:
             )
         old, new = f"oleft{steps}", f"nleft{steps}"
     found = " union all ".join(f"select * from m{steps}" for steps in range(depth, -1, -1))
-    return ", " + ", ".join(parts) + " " + found
-
+    return ", " + ", ".join(parts) + f", matched as ({found}) "
 
-_add("relink_trailing_path", _MOVED + _trailing_path(TRAILING_DEPTH), "fx_photo", "fx_scan")
 
+# No path of the views has more than eight steps.
+_MATCHED = _MOVED + _trailing_path(8)
+_add("relink_trailing_path", _MATCHED + "select * from matched", "fx_photo", "fx_scan")
+_SCORED = _BEST[len(_MOVED):].format("matched")
+_add(
+    "relink_ambiguous",
+    _MATCHED
+    + _SCORED
+    + "select md5hash, old_path, new_path, cast(round(100 * ratio) as int) as ratio from scored",
+    "fx_photo", "fx_scan",
+)
+_add(
+    "reconnect_similar",
+    _MATCHED
+    + """, one as (select md5hash, max(path) as old_path from fx_photo
+      where md5hash is not null group by md5hash having count(*) = 1),
+    last as (select md5hash, max(path) as new_path from fx_scan group by md5hash),
+    c as (select old_path, new_path from one join last using (md5hash)
+      union all select old_path, new_path from matched)
+    select case when new_path is null then path when starts_with(new_path, '/new/')
+        then substr(new_path, 6) else regexp_replace(new_path, '^/', '') end as path,
+      case when new_path is null then fname
+           else regexp_extract(new_path, '([^/]*)$', 1) end as fname,
+      case when new_path is null then ftype else 'png' end as ftype, md5hash,
+      case when new_path is null then dt_import else '2024-03-01T12:00:00Z' end as dt_import
+    from fx_photo p left join c on c.old_path = p.path""",
+    "fx_photo", "fx_scan",
+)
+_add(
+    "reconnect_same_second",
+    """+ o as (select p.*, row_number() over (
+        partition by md5hash order by coalesce(base_path, ''), path) rn
+      from fx_photo p left join fx_import i on p.dt_import = i.import_date),
+    n as (select md5hash, row_number() over (partition by md5hash order by path) rn
+      from fx_scan where md5hash is not null),
+    after as (select case when n.md5hash is null then dt_import else '2024-03-01T12:00:01Z' end as k
+      from o left join n on o.md5hash = n.md5hash and o.rn = n.rn),
+    batches as (select * from fx_import union all
+      select '2024-03-01T12:00:00Z', '/other', true, 'import' union all
+      select '2024-03-01T12:00:01Z', '/new', false, 'update')
+    select b.*, count(k) as photo_rows from batches b left join after on k = import_date group by all""",
+    "fx_photo", "fx_import", "fx_scan",
+)
+_add(
+    "register_batch_taken",
+    """select * from fx_import union all select '2024-03-01T12:00:00Z', '/new', false, 'update'
+    union all select '2024-03-01T12:00:01Z', '/next', true, 'import'""",
+    "fx_import",
+)
 # --- look-ups ----------------------------------------------------------------
 
 _EXISTING = f"select {_FULL} as path from fx_photo p join fx_import i on p.dt_import = i.import_date"
@@ -247,7 +307,6 @@ _add(
       select md5(text) from documents d join labels l on l.doc_id = d.doc_id and l.toxic = 1)""",
     "fx_photo",
 )
-_add("wipe", "select md5hash from fx_hash where false", "fx_hash")
 _add("batch_counts", "select dt_import, count(*) as photo_rows from fx_photo group by 1", "fx_photo")
 _add(
     "batch_is_empty",
@@ -288,9 +347,9 @@ _add(
 _WEEKLY = f"""+ w as (select md5hash, path as old_path, base_path as old_base,
       regexp_replace(string_split({_DIR}, '/')[1] || '/' || cast(isoyear(dt_orig) as varchar) || '_'
         || cast(week(dt_orig) as varchar) || {_EXT}, '^/', '') as new_path from {_JOINED}),
-    dup as (select new_path, count(md5hash) as n, count(*) as m from w
-      where new_path is not null group by new_path having count(md5hash) > 1),
-    width as (select length(cast(max(m) as varchar)) as digits from dup)
+    dup as (select new_path, count(*) as n from w
+      where new_path is not null group by new_path having count(*) > 1),
+    width as (select length(cast(max(n) as varchar)) as digits from dup)
 """
 _add(
     "rename_dedupe",
@@ -317,6 +376,13 @@ _add(
     where dt_orig is not null group by 1 having count(*) > 1""",
     "fx_photo",
 )
+_add(
+    "sample_plan",
+    f"""+ s as (select path as old_path, regexp_replace({_DIR} || '/' || fname, '^/', '') as new_path
+      from {_JOINED})
+    select old_path, new_path from s order by md5('7:' || old_path), old_path, new_path limit 5""",
+    "fx_photo", "fx_import",
+)
 _add("distinct_bases", f"select distinct base_path as new_base from {_JOINED}", "fx_photo", "fx_import")
 
 _MOVES = f"""+ mv as (select md5hash, path, {_FULL} as old_full, base_path,
@@ -425,7 +491,6 @@ _add(
                 when starts_with(text, 'BM') then 'bmp' end end as ftype
     from documents""",
 )
-_add("sniff_pages", "select page_id, cast(null as varchar) as ftype from pages")
 _add("json_tag_events", "select event_id, props->>'$.k' as k from events")
 _add(
     "tags_long",
@@ -454,9 +519,8 @@ _add(
 )
 
 _ZONE = r"regexp_extract(ocr, '\d{2}:\d{2}:\d{2} ([A-Z]+)', 1)"
-_OFFSET = "case " + _ZONE + "".join(
-    f" when '{zone}' then {minutes}" for zone, minutes in ZONE_MINUTES.items()
-) + " end"
+# The zones that the view has.
+_OFFSET = f"case {_ZONE} when 'MST' then -420 when 'CEST' then 120 when 'UTC' then 0 end"
 _add(
     "stamp_parse",
     rf"""+ s as (select *, regexp_split_to_array(ocr, '\s*-\s*|\n') as parts,
@@ -495,9 +559,11 @@ _add(
 )
 _add(
     "incremental_ingest",
-    r"""select 'gif' as ftype, '' as dir,
-      md5('GIF89a' || regexp_replace(html, '[\r\n]', ' ', 'g') || chr(10)) as md5hash
-    from pages""",
+    r"""with t as (select 'GIF89a' || regexp_replace(html, '[\r\n]', ' ', 'g') as v from pages)
+    select 'gif' as ftype, 'first' as dir, md5(v || chr(10)) as md5hash,
+      '2024-03-01T12:00:00Z' as dt_import from t
+    union all
+    select 'gif', 'second', md5(v || chr(10)), '2024-03-01T12:00:01Z' from t where length(v) % 2 = 0""",
 )
 _add(
     "filter_name",

@@ -88,21 +88,21 @@ def relink_ambiguous_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return relink.candidate_pairs(view(spark, sf_dir, "fx_photo"), view(spark, sf_dir, "fx_scan"))
+def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    free = relink.moved_paths(view(spark, sf_dir, "fx_photo"), view(spark, sf_dir, "fx_scan"))
+    return relink.best_match(free)
 
 
 @register
 def relink_best_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = similarity.partial_levenshtein(F.col("new_path"), F.col("old_path"))
-    best = relink.best_match(_candidates(spark, sf_dir).withColumn("ratio", ratio))
-    return best.withColumn("ratio", F.round("ratio", 6))
+    return _best(spark, sf_dir).withColumn("ratio", F.round(ratio, 6))
 
 
 @register
 def relink_best_partial_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     ratio = similarity.partial_ratio(F.col("new_path"), F.col("old_path"))
-    return relink.best_match(_candidates(spark, sf_dir).withColumn("ratio", ratio))
+    return _best(spark, sf_dir).withColumn("ratio", ratio)
 
 
 @register
@@ -112,10 +112,31 @@ def relink_ambiguous(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def relink_trailing_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    free, hashes = relink.moved_paths(
-        view(spark, sf_dir, "fx_photo"), view(spark, sf_dir, "fx_scan")
+    return relink.match_trailing_path(
+        relink.moved_paths(view(spark, sf_dir, "fx_photo"), view(spark, sf_dir, "fx_scan"))
+    )
+
+
+@register
+def reconnect_similar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Photo table after hashes with one photo and with several were re-linked, types renewed."""
+    scan = view(spark, sf_dir, "fx_scan").withColumn("ftype", F.lit("png"))
+    after = reconnect.reconnect(
+        _catalog(spark, sf_dir), scan, "/new", MOMENT, local=True, how="similar"
+    )
+    return after.photo.select("path", "fname", "ftype", "md5hash", "dt_import")
+
+
+@register
+def reconnect_same_second(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches and photos per batch when the second of the run is taken by another batch."""
+    catalog = _catalog(spark, sf_dir)
+    taken, _ = changes.register_batch(catalog.imports, "/other", True, "import", MOMENT)
+    after = reconnect.reconnect(
+        catalog.replace(imports=taken), view(spark, sf_dir, "fx_scan"), "/new", MOMENT
     )
-    return relink.match_trailing_path(free.join(hashes, "md5hash", "left_semi"))
+    counts = changes.batch_is_empty(after.imports, after.photo)
+    return after.imports.join(counts, "import_date").drop("is_empty")
 
 
 # --- look-ups ----------------------------------------------------------------
@@ -182,7 +203,15 @@ def _scanned_photos(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def register_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     imports = view(spark, sf_dir, "fx_import")
-    return changes.register_batch(imports, "/new/", False, "update", MOMENT)
+    return changes.register_batch(imports, "/new/", False, "update", MOMENT)[0]
+
+
+@register
+def register_batch_taken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two batches in one second: the later one takes the next."""
+    imports = view(spark, sf_dir, "fx_import")
+    imports, _ = changes.register_batch(imports, "/new", False, "update", MOMENT)
+    return changes.register_batch(imports, "/next", True, "import", MOMENT)[0]
 
 
 @register
@@ -263,11 +292,6 @@ def cascade_delete_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.photo.select("path", "md5hash")
 
 
-@register
-def wipe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.wipe(_catalog(spark, sf_dir)).hash
-
-
 @register
 def batch_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.batch_counts(view(spark, sf_dir, "fx_photo"))
@@ -471,12 +495,6 @@ def sniff_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@register
-def sniff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = images.sniff_type(F.encode("html", "UTF-8"))
-    return table(spark, sf_dir, "pages").select("page_id", kind.alias("ftype"))
-
-
 @register
 def json_tag_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
@@ -593,33 +611,23 @@ def filter_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files -------------------------------------------------------------------
 
 
-@register
-def scan_parquet_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name, size and hash of the table files themselves."""
-    return files.scan_files(spark, sf_dir).select(
-        paths.basename(F.col("path")).alias("fname"),
-        "length",
-        hashes.content_hash(F.col("content")).alias("md5hash"),
-        files.modified_at(F.col("modificationTime"), "UTC").alias("dt_mod"),
-    )
-
-
 @register
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages written out one file each, scanned in batches into a catalog."""
+    """Pages written out one file each, scanned in batches into a catalog, in two runs."""
     work = _scratch(spark)
     pages = table(spark, sf_dir, "pages")
     text = F.concat(F.lit("GIF89a"), F.regexp_replace("html", "[\r\n]", " "))
     marked = pages.repartition("page_id").select(text.alias("value"))
-    marked.write.option("maxRecordsPerFile", 1).text(f"{work}/files")
     empty_catalog(spark, f"{work}/catalog")
-    stream = ingest_stream(
-        spark, f"{work}/files", f"{work}/catalog", f"{work}/state", MOMENT,
-        files_per_batch=max(100, pages.count() // 2), local=True,
-    )
-    stream.awaitTermination()
+    for part in ("first", "second"):
+        own = marked if part == "first" else marked.where(F.length("value") % 2 == 0)
+        own.write.option("maxRecordsPerFile", 1).text(f"{work}/files/{part}")
+        ingest_stream(
+            spark, f"{work}/files", f"{work}/catalog", f"{work}/state", MOMENT,
+            files_per_batch=1_000, local=True,
+        ).awaitTermination()
     photo = catalogs.read_catalog(spark, f"{work}/catalog").photo
-    return photo.select("ftype", "md5hash", paths.dirname(F.col("path")).alias("dir"))
+    return photo.select("ftype", "md5hash", "dt_import", paths.dirname(F.col("path")).alias("dir"))
 
 
 def _scratch(spark: SparkSession) -> str:

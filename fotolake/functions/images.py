@@ -5,13 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# File extensions of raster images.
-RASTER_EXTS = (
-    ".jpeg .jpg .jp2 .tif .tiff .png .gif .bmp .ppm .pgm .pbm .pnm .webp .hdr .dib .heif .heic "
-    ".bpg .iff .lbm .drw .ecw .fit .fits .fts .flif .img .jxr .hdp .wdp .liff .nrrd .pam .pcx "
-    ".pgf .rgb .sgi .sid .ras .sun .ico .tga .icb .vda .vst .vicar .vic .xisf"
-).split()
-
 # Leading bytes, in hex, of each type.
 _MAGIC = {
     "png": ("89504E470D0A1A0A",),

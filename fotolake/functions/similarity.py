@@ -1,104 +1,18 @@
-"""Similarity of two paths, from 0 to 100."""
+"""Similarity of two paths."""
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
-
-_MATCHES = ArrayType(
-    StructType(
-        [
-            StructField("old_path", StringType()),
-            StructField("new_path", StringType()),
-            StructField("ratio", IntegerType()),
-        ]
-    )
-)
-
-
-def _best_window(one: str, two: str) -> int:
-    """Score of the shorter text against its best equally long window of the longer."""
-    short, long = sorted((one, two), key=len)
-    size = len(short)
-    if size == 0:
-        return 0
-    if short in long:
-        return 100
-    matcher = SequenceMatcher(autojunk=False)
-    matcher.set_seq2(short)
-    best = 0
-    for bound, start in sorted(_bounds(short, long), reverse=True):
-        if bound <= best:
-            break
-        matcher.set_seq1(long[start : start + size])
-        best = max(best, sum(block.size for block in matcher.get_matching_blocks()))
-    return round(100 * best / size)
-
-
-def _bounds(short: str, long: str) -> list[tuple[int, int]]:
-    """Characters each window shares with ``short``: no more than these can match."""
-    size = len(short)
-    missing = Counter(short)
-    missing.subtract(long[:size])
-    shared = size - sum(count for count in missing.values() if count > 0)
-    bounds = [(shared, 0)]
-    for start in range(1, len(long) - size + 1):
-        leaves, enters = long[start - 1], long[start + size - 1]
-        missing[leaves] += 1
-        shared -= missing[leaves] > 0
-        shared += missing[enters] > 0
-        missing[enters] -= 1
-        bounds.append((shared, start))
-    return bounds
 
 
 def partial_ratio(one: Column, two: Column) -> Column:
-    """Best-window similarity by matching runs of characters."""
-
-    @F.pandas_udf(IntegerType())
-    def score(ones: pd.Series, twos: pd.Series) -> pd.Series:
-        return pd.Series(
-            [None if a is None or b is None else _best_window(a, b) for a, b in zip(ones, twos)],
-            dtype="Int32",
-        )
-
-    return score(one, two)
-
-
-def greedy_matches(old_paths: Column, new_paths: Column) -> Column:
-    """Array of (old_path, new_path, ratio): the pairs of two bounded arrays, best first.
-
-    Pairs are taken by ratio, then new path, then old path, while both are free.
-    """
-
-    @F.pandas_udf(_MATCHES)
-    def match(olds: pd.Series, news: pd.Series) -> pd.Series:
-        return pd.Series([_take_best_free(o, n) for o, n in zip(olds, news)])
-
-    return match(old_paths, new_paths)
-
-
-def _take_best_free(olds: Iterable[str], news: Iterable[str]) -> list[tuple[str, str, int]]:
-    ranked = sorted((-_best_window(new, old), new, old) for new in news for old in olds)
-    used_old: set[str] = set()
-    used_new: set[str] = set()
-    taken = []
-    for score, new, old in ranked:
-        if old not in used_old and new not in used_new:
-            used_old.add(old)
-            used_new.add(new)
-            taken.append((old, new, -score))
-    return taken
+    """Best-window similarity as a whole number from 0 to 100."""
+    return F.round(100 * partial_levenshtein(one, two)).cast("int")
 
 
 def partial_levenshtein(one: Column, two: Column) -> Column:
-    """Best-window similarity by edit distance, without Python; between 0 and 1."""
+    """Best-window similarity by edit distance, between 0 and 1."""
     swap = F.length(one) > F.length(two)
     short = F.when(swap, two).otherwise(one)
     long = F.when(swap, one).otherwise(two)

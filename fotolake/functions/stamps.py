@@ -39,6 +39,22 @@ ZONE_MINUTES = {
     "AKST": -540,
     "AKDT": -480,
     "HST": -600,
+    "IST": 330,
+    "PKT": 300,
+    "ICT": 420,
+    "WIB": 420,
+    "SGT": 480,
+    "HKT": 480,
+    "AWST": 480,
+    "ACST": 570,
+    "SAST": 120,
+    "CAT": 120,
+    "EAT": 180,
+    "WAT": 60,
+    "BRT": -180,
+    "ART": -180,
+    "COT": -300,
+    "PET": -300,
 }
 
 # Fixed value: the stamp's time, e.g. ``Mon Jan 05 2024 01:02:03 MST``.
@@ -47,17 +63,21 @@ _STAMP_TIME = (
     r"(Jan|Feb|Mar|Apr|May|Jun|Jul|Aug|Sep|Oct|Nov|Dec)\s+"
     r"([0-3]\d)\s+([12][09]\d{2})\s+([0-2]\d):?([0-5]\d):?([0-5]\d)\s+([A-Z]+)"
 )
+# Fixed value: what stands between the parts of a stamp.
+_BETWEEN_PARTS = r"(?U)(?:\s*-\s*|\n)"
 _MONTHS = "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec"
+# Fixed value: the word before the exposure, and its digits.
 _EXPOSURE = r"[Ee][Xx][A-Za-z]+[:;]\s*(\d+)"
 
 
 def stamp_parts(text: Column) -> Column:
     """Split at dashes with their blanks, and at line ends."""
-    return F.split(text, r"(?U)(?:\s*-\s*|\n)")
+    return F.split(text, _BETWEEN_PARTS)
 
 
 def strip_brackets(text: Column) -> Column:
-    return F.regexp_replace(text, r"(?d)^\[*(.+?)\]*$", "$1")
+    """Text without brackets at its ends; one character always stays."""
+    return F.regexp_replace(F.regexp_replace(text, r"^\[+(?=.)", ""), r"(?<=.)\]+$", "")
 
 
 def _stamp_time(text: Column) -> Column:

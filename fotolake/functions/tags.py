@@ -25,8 +25,10 @@ def coerce_tag(value: Column, field_type: Column, key: Column) -> Column:
 
     A maker note keeps its raw values. NULL stays NULL.
     """
-    is_integer = field_type.isin(*INTEGER_FIELDS) & value.rlike(r"^\s*[+-]?\d{1,38}\s*$")
-    integer = F.trim(value).try_cast("decimal(38,0)").cast("string")
+    is_integer = field_type.isin(*INTEGER_FIELDS) & value.rlike(r"^\s*[+-]?\d+\s*$")
+    # The digits as they are: an integer may have more than any numeric type holds.
+    digits = F.regexp_replace(F.regexp_replace(value, r"\s", ""), r"^\+|(?<=^[+-]?)0+(?=\d)", "")
+    integer = F.when(digits == "-0", "0").otherwise(digits)
     real = F.when(field_type.isin(*FLOAT_FIELDS), F.trim(value).try_cast("double"))
     finite = F.when(F.abs(real) < F.lit(float("inf")), real.cast("string"))
     number = F.when(is_integer, integer).otherwise(finite)

@@ -11,7 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotolake.functions import paths, tags, times
+from fotolake.operators.ranking import number_rows
 from fotolake.schemas import LOCATION, PHOTO, TAG, Catalog
+from fotolake.session import cut_lineage
 
 BATCH_KINDS = ("import", "update", "rename")
 
@@ -54,19 +56,51 @@ def _insert_absent(table: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return table.unionByName(absent_rows(table, new, key).select(*table.columns))
 
 
-def register_batch(
-    imports: DataFrame, base: str, local: bool, kind: str, moment: datetime
-) -> DataFrame:
-    """Add a batch; a batch already keyed by that second stays as it is."""
+def second_of(key: Column) -> Column:
+    """A batch key as seconds, NULL if it is none."""
+    return F.unix_seconds(F.try_to_timestamp(key, F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")))
+
+
+def key_of(second: Column) -> Column:
+    return F.date_format(F.timestamp_seconds(second), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def free_key(imports: DataFrame, moment: datetime) -> str:
+    """The key of the first second from ``moment`` on that no batch has."""
+    start = int(in_utc(moment).replace(tzinfo=timezone.utc).timestamp())
+    taken = (
+        imports.where(F.col("import_date") >= batch_key(moment))
+        .select(second_of(F.col("import_date")).alias("second"))
+        .dropna()
+        .distinct()
+    )
+    starts = imports.sparkSession.range(start, start + 1).select(F.col("id").alias("second"))
+    after = taken.select((F.col("second") + 1).alias("second")).unionByName(starts)
+    free = after.join(taken, "second", "left_anti").agg(F.min("second")).first()[0]
+    return batch_key(datetime.fromtimestamp(free, timezone.utc))
+
+
+def batch_row(imports: DataFrame, base: str, local: bool, kind: str, key: str) -> DataFrame:
+    """One row of the batch table."""
     if kind not in BATCH_KINDS:
         raise ValueError(f"kind must be one of {BATCH_KINDS}, not {kind!r}")
-    row = imports.sparkSession.range(1).select(
-        F.lit(batch_key(moment)).alias("import_date"),
+    return imports.sparkSession.range(1).select(
+        F.lit(key).alias("import_date"),
         paths.normalize_base(F.lit(base)).alias("base_path"),
         F.lit(local).alias("local"),
         F.lit(kind).alias("type"),
     )
-    return _insert_absent(imports, row, "import_date")
+
+
+def register_batch(
+    imports: DataFrame, base: str, local: bool, kind: str, moment: datetime
+) -> tuple[DataFrame, str]:
+    """Batches with a new one at the first free second from ``moment`` on, and its key."""
+    if kind not in BATCH_KINDS:
+        raise ValueError(f"kind must be one of {BATCH_KINDS}, not {kind!r}")
+    key = free_key(imports, moment)
+    row = batch_row(imports, base, local, kind, key)
+    return imports.unionByName(row.select(*imports.columns)), key
 
 
 def register_bases(
@@ -74,27 +108,29 @@ def register_bases(
 ) -> DataFrame:
     """New batches, one per base, at the first free seconds from ``moment`` on.
 
-    ``bases`` has a ``base_path`` column. Only base names and batch keys are
-    brought together, and those number one per run of the tool.
+    ``bases`` has a ``base_path`` column. Bases in their order and free seconds in theirs
+    are numbered and joined by their numbers.
     """
-    start = F.lit(in_utc(moment).strftime("%Y-%m-%d %H:%M:%S")).cast("timestamp_ntz")
-    later = imports.where(F.col("import_date") >= batch_key(moment))
-    taken = later.agg(F.collect_set("import_date").alias("taken"))
-    names = bases.where(F.col("base_path").isNotNull()).select("base_path").distinct()
-    named = names.agg(F.array_sort(F.collect_set("base_path")).alias("names")).withColumn(
-        "taken", taken.scalar()
+    if kind not in BATCH_KINDS:
+        raise ValueError(f"kind must be one of {BATCH_KINDS}, not {kind!r}")
+    start = int(in_utc(moment).replace(tzinfo=timezone.utc).timestamp())
+    names = cut_lineage(
+        bases.where(F.col("base_path").isNotNull()).select("base_path").distinct()
     )
-    seconds = F.sequence(F.lit(0), F.size("names") + F.size("taken"))
-    keys = F.transform(
-        seconds,
-        lambda second: F.date_format(
-            start + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), second.cast("decimal(18,6)")),
-            "yyyy-MM-dd'T'HH:mm:ss'Z'",
-        ),
+    taken = cut_lineage(
+        imports.where(F.col("import_date") >= batch_key(moment))
+        .select(second_of(F.col("import_date")).alias("second"))
+        .dropna()
+        .distinct()
     )
-    free = F.array_except(keys, F.col("taken"))
-    return named.select(F.posexplode("names").alias("at", "base_path"), free.alias("free")).select(
-        F.get("free", F.col("at")).alias("import_date"),
+    last = start + names.count() + taken.count()
+    seconds = imports.sparkSession.range(start, last).select(F.col("id").alias("second"))
+    free = seconds.join(taken, "second", "left_anti")
+    one = F.lit(0).alias("_all")
+    numbered = number_rows(names.select("base_path", one), ["_all"], ["base_path"], "_at")
+    keys = number_rows(free.select("second", one), ["_all"], ["second"], "_at")
+    return numbered.join(keys, "_at").select(
+        key_of(F.col("second")).alias("import_date"),
         "base_path",
         F.lit(local).alias("local"),
         F.lit(kind).alias("type"),

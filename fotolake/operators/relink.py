@@ -13,19 +13,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolake.functions import paths
-from fotolake.functions.similarity import greedy_matches, partial_ratio
+from fotolake.functions.similarity import partial_ratio
 from fotolake.operators.changes import hash_multiplicity
 from fotolake.operators.lookups import attach_batch, known_hashes
 from fotolake.operators.ranking import HOT_GROUP_ROWS, hot_groups, number_rows
 from fotolake.session import cut_lineage
 
-# A hash with more old x new pairs than this is matched by shared trailing
-# path instead of by comparing every pair.
-PAIR_LIMIT = 10_000
-
-# Path steps the trailing-path match starts from.
-TRAILING_DEPTH = 3
-
 _OLD, _NEW = 0, 1
 
 
@@ -105,14 +98,12 @@ def _pairs(numbered: DataFrame, keys: list[str]) -> DataFrame:
 # --- most similar old path ---------------------------------------------------
 
 
-def moved_paths(photo: DataFrame, scan: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Paths to re-link and the hashes they belong to.
+def moved_paths(photo: DataFrame, scan: DataFrame) -> DataFrame:
+    """Paths (md5hash, side, path) to re-link, of hashes that several photos have.
 
-    The paths (md5hash, side, path) are those in the catalog only (side 0) and
-    in the scan only (side 1); a file still at its path is no change. The
-    hashes (md5hash, pairs) are those with several photos that have paths on
-    both sides, and the number of pairs these make. They are written to the
-    checkpoint folder, being few and used more than once.
+    They are those in the catalog only (side 0) and in the scan only (side 1); a file
+    still at its path is no change. Hashes without paths on both sides are left out. The
+    rows are written to the checkpoint folder, as they are used more than once.
     """
     sides = photo.select("md5hash", "path", F.lit(_OLD).alias("side")).unionByName(
         scan.select("md5hash", "path", F.lit(_NEW).alias("side"))
@@ -127,111 +118,73 @@ def moved_paths(photo: DataFrame, scan: DataFrame) -> tuple[DataFrame, DataFrame
         paths_seen.groupBy("md5hash")
         .agg(
             F.count_if(old).alias("photos"),
-            (F.count_if(old & ~stays).cast("double") * F.count_if(~old)).alias("pairs"),
+            F.count_if(old & ~stays).alias("gone"),
+            F.count_if(~old).alias("found"),
         )
-        .where((F.col("photos") > 1) & (F.col("pairs") > 0))
-        .select("md5hash", "pairs")
+        .where((F.col("photos") > 1) & (F.col("gone") > 0) & (F.col("found") > 0))
+        .select("md5hash")
     )
-    return paths_seen.where(~stays).select("md5hash", "side", "path"), cut_lineage(hashes)
-
-
-def _tasks(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    moved = paths_seen.where(~stays).select("md5hash", "side", "path")
+    return cut_lineage(moved.join(hashes, "md5hash", "left_semi"))
 
 
-def _bounded_groups(free: DataFrame, hashes: DataFrame) -> DataFrame:
-    """Old and new paths of each hash as two arrays; ``hashes`` bounds their size."""
+def _steps(path: Column) -> Column:
+    return F.split(F.lower(paths.normalize_separators(path)), "/")
 
-    def side_paths(side: int) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.col("path"))))
 
-    # Large groups are gone before rows of a hash come together. The comparison
-    # is much work on little data, so its tasks are not coalesced.
-    return (
-        free.join(hashes.select("md5hash"), "md5hash", "left_semi")
-        .repartition(_tasks(free), "md5hash")
-        .groupBy("md5hash")
-        .agg(side_paths(_OLD).alias("old_paths"), side_paths(_NEW).alias("new_paths"))
+def _tails(free: DataFrame, side: int) -> DataFrame:
+    """Every run of last steps of the paths of one side: md5hash, path, n (steps), tail."""
+    steps = F.col("_steps")
+    tails = F.transform(
+        F.sequence(F.lit(0), F.size(steps)),
+        lambda n: F.array_join(F.slice(steps, F.size(steps) - n + 1, n), "/"),
     )
+    rows = free.where(F.col("side") == side).withColumn("_steps", _steps(F.col("path")))
+    return rows.select("md5hash", "path", F.posexplode(tails).alias("n", "tail"))
 
 
-def _large_groups(
-    free: DataFrame, hashes: DataFrame, pair_limit: int, hot_rows: int
-) -> DataFrame | None:
-    """Matches of the hashes with more than ``pair_limit`` pairs; None if there are none."""
-    large = hashes.where(F.col("pairs") > pair_limit).select("md5hash")
-    if large.isEmpty():
-        return None
-    return match_trailing_path(free.join(large, "md5hash", "left_semi"), hot_rows=hot_rows)
+def best_match(free: DataFrame) -> DataFrame:
+    """For each new path the old path that shares most of its last steps.
 
-
-def candidate_pairs(
-    photo: DataFrame,
-    scan: DataFrame,
-    pair_limit: int = PAIR_LIMIT,
-    hot_rows: int = HOT_GROUP_ROWS,
-) -> DataFrame:
-    """Old and new paths to compare.
-
-    Hashes of up to ``pair_limit`` pairs give all of them. Larger ones give one
-    old path per file, by :func:`match_trailing_path`, so that no group's pairs
-    grow with the square of its size.
+    ``free`` has md5hash, side, path. The smallest path wins a tie; letter case does not
+    count. Old paths are first reduced to one per run of last steps, so the work grows
+    with the paths, not with their pairs. Returns md5hash, old_path, new_path, steps.
     """
-    free, hashes = moved_paths(photo, scan)
-    groups = _bounded_groups(free, hashes.where(F.col("pairs") <= pair_limit))
-    pairs = groups.select("md5hash", "old_paths", F.explode("new_paths").alias("new_path")).select(
-        "md5hash", F.explode("old_paths").alias("old_path"), "new_path"
-    )
-    large = _large_groups(free, hashes, pair_limit, hot_rows)
-    pairs = pairs if large is None else pairs.unionByName(large)
-    return pairs.repartition(_tasks(free), "md5hash", "new_path")
-
-
-def best_match(scored: DataFrame, score: str = "ratio") -> DataFrame:
-    """For each new path the old path of the highest score; the smaller path on a tie."""
-    best = F.min(F.struct((-F.col(score)).alias("rank"), "old_path"))
+    keys = ["md5hash", "n", "tail"]
+    old = cut_lineage(_tails(free, _OLD).groupBy(*keys).agg(F.min("path").alias("old_path")))
     return (
-        scored.groupBy("md5hash", "new_path")
-        .agg(best.alias("best"))
-        .select("md5hash", "best.old_path", "new_path", (-F.col("best.rank")).alias(score))
+        _tails(free, _NEW)
+        .join(old, keys)
+        .groupBy("md5hash", F.col("path").alias("new_path"))
+        .agg(F.max_by("old_path", "n").alias("old_path"), F.max("n").alias("steps"))
+        .select("md5hash", "old_path", "new_path", "steps")
     )
 
 
 def relink_ambiguous(
-    photo: DataFrame,
-    scan: DataFrame,
-    pair_limit: int = PAIR_LIMIT,
-    hot_rows: int = HOT_GROUP_ROWS,
+    photo: DataFrame, scan: DataFrame, hot_rows: int = HOT_GROUP_ROWS
 ) -> DataFrame:
-    """Each file of a hash with several photos takes the most similar old path.
+    """Each file of a hash with several photos takes a free old path of that hash.
 
-    Within a hash, pairs are taken from the highest ratio down (then by new and
-    old path) while both paths are free. A hash of more than ``pair_limit``
-    pairs is matched by :func:`match_trailing_path` instead, whose work does
-    not grow with the square of the group. The result has a ``ratio`` column.
+    Paths are matched one to one by the steps they share at the end, most first (see
+    :func:`match_trailing_path`), whatever the size of a group. ``ratio`` is the similarity
+    of the two paths.
     """
-    free, hashes = moved_paths(photo, scan)
-    groups = _bounded_groups(free, hashes.where(F.col("pairs") <= pair_limit))
-    matched = greedy_matches(F.col("old_paths"), F.col("new_paths"))
-    pairs = groups.select("md5hash", F.inline(matched))
-    large = _large_groups(free, hashes, pair_limit, hot_rows)
-    if large is None:
-        return pairs
-    ratio = partial_ratio(F.col("new_path"), F.col("old_path"))
-    return pairs.unionByName(large.withColumn("ratio", ratio))
+    matched = match_trailing_path(moved_paths(photo, scan), hot_rows=hot_rows)
+    return matched.withColumn("ratio", partial_ratio(F.col("new_path"), F.col("old_path")))
 
 
 def match_trailing_path(
-    free: DataFrame, depth: int = TRAILING_DEPTH, hot_rows: int = HOT_GROUP_ROWS
+    free: DataFrame, hot_rows: int = HOT_GROUP_ROWS
 ) -> DataFrame:
     """Match the paths (md5hash, side, path) of a hash by the steps they share at the end.
 
-    Paths with the same last ``depth`` steps are matched first, in path order,
-    then those with one step less, and so on; what is left is matched in path
-    order. Letter case does not count. The number of passes is fixed, whatever
-    the size of a group.
+    Paths that agree in all steps of the deepest path are matched first, in path order,
+    then those that agree in one step less, and so on; what is left is matched in path
+    order. Letter case does not count. The number of passes is the depth of the tree.
     """
     free = _hashed(free)
+    depth = free.agg(F.max(F.size(_steps(F.col("path"))))).first()[0] or 0
     hot = hot_groups(free, ["md5hash"], hot_rows)
     if hot is None:
         return _match_in_place(free, depth)
@@ -301,11 +254,17 @@ def stored_path(new_path: Column, base: str, local: bool) -> Column:
 
 
 def apply_changes(
-    photo: DataFrame, changes: DataFrame, dt_import: str, ftypes: DataFrame | None = None
+    photo: DataFrame,
+    changes: DataFrame,
+    dt_import: str,
+    ftypes: DataFrame | None = None,
+    base: str | None = None,
+    local: bool = False,
 ) -> DataFrame:
     """Photos with the paths and names of ``changes``; others stay as they are.
 
-    ``ftypes`` (new_path, ftype) also renews the type.
+    ``ftypes`` (new_path, ftype) also renews the type. With ``base``, the new paths are kept
+    as the catalog keeps those of a batch scanned there.
     """
     if ftypes is not None:
         changes = changes.join(ftypes.select("new_path", "ftype"), "new_path", "left")
@@ -315,8 +274,9 @@ def apply_changes(
         F.col("old_path").alias("path"), "new_path", F.col("ftype").alias("new_ftype")
     )
     moved = F.col("new_path").isNotNull()
+    kept = F.col("new_path") if base is None else stored_path(F.col("new_path"), base, local)
     return photo.join(moves, "path", "left").select(
-        F.coalesce("new_path", "path").alias("path"),
+        F.when(moved, kept).otherwise(F.col("path")).alias("path"),
         F.when(moved, paths.basename(F.col("new_path"))).otherwise(F.col("fname")).alias("fname"),
         F.coalesce("new_ftype", "ftype").alias("ftype"),
         "md5hash",

@@ -21,14 +21,18 @@ def new_rows(
     local: bool = False,
     zone: str | None = None,
     geo: bool = True,
+    key: str | None = None,
 ) -> dict[str, DataFrame]:
     """Rows of each table that a scan adds; nothing for an empty batch.
 
+    The photos join a batch at the first free second from ``moment`` on, or the batch
+    ``key`` of a scan that adds its rows in several parts.
+
     The scanned rows, which do not hold the files' bytes, are written to the
     checkpoint folder, and so are the accepted ones among them: every file is
     read once, and compared with the known photos once, for all five tables.
     """
-    key = changes.batch_key(moment)
+    key = key or changes.free_key(catalog.imports, moment)
     found = changes.photo_rows(records, key, base if local else None, zone)
     found = cut_lineage(changes.one_row_per_path(found))
     accepted = cut_lineage(changes.absent_rows(catalog.photo, found, "path"))
@@ -37,7 +41,7 @@ def new_rows(
     tag = changes.first_by_path(accepted, TAG.fieldNames()[1:])
     tag = changes.absent_rows(catalog.tag, tag, "md5hash")
     location = lookups.gps_location(tag, photo) if geo else catalog.location.limit(0)
-    batch = changes.register_batch(catalog.imports.limit(0), base, local, "import", moment)
+    batch = changes.batch_row(catalog.imports, base, local, "import", key)
     imports = changes.absent_rows(catalog.imports, batch, "import_date").join(
         photo.select(F.col("dt_import").alias("import_date")).limit(1), "import_date", "left_semi"
     )
@@ -63,10 +67,15 @@ def scan_into(
     skip_check: bool = False,
     thumb: bool = False,
     maker: bool = False,
+    geo: bool = True,
+    file_zone: str = "UTC",
 ) -> Catalog:
-    """Scan a tree and add what is new. Bytes of known files are not read."""
-    listing = files.scan_files(spark, root).drop("content")
+    """Scan a tree and add what is new. Bytes of known files are not read.
+
+    ``zone`` is the camera's, ``file_zone`` that in which file times are kept.
+    """
+    listing = files.list_files(spark, root)
     wanted = lookups.new_files_only(listing, catalog.photo, catalog.imports, skip_check)
-    records = files.scan_records(files.read_listed(wanted), thumb=thumb, maker=maker)
+    records = files.scan_listed(cut_lineage(wanted), file_zone, thumb=thumb, maker=maker)
     base = files.plain_root(root)
-    return add_rows(catalog, new_rows(catalog, records, base, moment, local, zone))
+    return add_rows(catalog, new_rows(catalog, records, base, moment, local, zone, geo))

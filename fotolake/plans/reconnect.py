@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from fotolake.operators import changes, relink
 from fotolake.schemas import Catalog
+from fotolake.session import cut_lineage
 
 
 def apply_relink(
@@ -21,22 +22,41 @@ def apply_relink(
 ) -> Catalog:
     """Catalog with the new paths of ``relinked`` (md5hash, old_path, new_path).
 
-    ``base`` is the folder that was scanned. The photos join an ``update``
-    batch, which is not kept when nothing was re-linked.
+    ``base`` is the folder that was scanned. The re-linked photos, and no others, join an
+    ``update`` batch at a free second, which is not kept when nothing was re-linked.
     """
-    key = changes.batch_key(moment)
-    imports = changes.register_batch(catalog.imports, base, local, "update", moment)
-    photo = relink.apply_changes(catalog.photo, relinked, key, ftypes)
-    path = F.col("path")
-    stored = relink.stored_path(path, base, local)
-    photo = photo.withColumn("path", F.when(F.col("dt_import") == key, stored).otherwise(path))
-    imports = changes.drop_empty_batches(imports, photo, F.col("import_date") == key)
-    return catalog.replace(imports=imports, photo=photo)
+    relinked = cut_lineage(relinked.select("md5hash", "old_path", "new_path"))
+    key = changes.free_key(catalog.imports, moment)
+    batch = changes.batch_row(catalog.imports, base, local, "update", key)
+    some = relinked.limit(1).select(F.lit(key).alias("import_date"))
+    batch = batch.join(some, "import_date", "left_semi").select(*catalog.imports.columns)
+    photo = relink.apply_changes(catalog.photo, relinked, key, ftypes, base, local)
+    return catalog.replace(imports=catalog.imports.unionByName(batch), photo=photo)
 
 
 def reconnect(
-    catalog: Catalog, scan: DataFrame, base: str, moment: datetime, local: bool = False
+    catalog: Catalog,
+    scan: DataFrame,
+    base: str,
+    moment: datetime,
+    local: bool = False,
+    how: str = "ranked",
 ) -> Catalog:
-    """Give the k-th photo of each hash the path of its k-th file found."""
-    relinked = relink.relink_ranked(catalog.photo, catalog.imports, scan)
-    return apply_relink(catalog, relinked, base, moment, local)
+    """Give photos the paths where the scan found their files.
+
+    ``ranked`` gives the k-th photo of each hash its k-th file. ``similar`` gives a hash
+    with one photo the last path found, one with several photos the most similar paths,
+    and renews the type where the scan (then with ``ftype``) has one.
+    """
+    if how == "ranked":
+        found = relink.relink_ranked(catalog.photo, catalog.imports, scan)
+        return apply_relink(catalog, found, base, moment, local)
+    if how != "similar":
+        raise ValueError(f"how must be 'ranked' or 'similar', not {how!r}")
+    columns = ["md5hash", "old_path", "new_path"]
+    unique = relink.relink_unique(catalog.photo, scan).select(*columns)
+    found = unique.unionByName(relink.relink_ambiguous(catalog.photo, scan).select(*columns))
+    ftypes = None
+    if "ftype" in scan.columns:
+        ftypes = scan.groupBy(F.col("path").alias("new_path")).agg(F.max("ftype").alias("ftype"))
+    return apply_relink(catalog, found, base, moment, local, ftypes)

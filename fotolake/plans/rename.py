@@ -78,7 +78,6 @@ def plan_rename(
     rows = rows.select(
         "*",
         F.regexp_replace(F.concat("new_dir", F.lit("/"), "new_name"), "^/", "").alias("_new"),
-        F.concat("new_base", F.lit("/"), "new_dir", F.lit("/"), "new_name").alias("_full"),
     )
     dated = split_dirs is not None or bool(
         templates.template_tokens(template) & set(templates.DATE_TOKENS)
@@ -86,22 +85,27 @@ def plan_rename(
     status = F.when(F.col("dt").isNull(), "missing_date") if dated else F.when(F.lit(False), "")
     if match is not None:
         status = status.when(F.col("regex").isNull(), "no_match")
+    rows = rows.withColumn(
+        "new_path", paths.replace_whitespace(paths.normalize_path(F.col("_new")), whitespace)
+    )
     return rows.select(
         "*",
-        paths.replace_whitespace(paths.normalize_path(F.col("_new")), whitespace).alias("new_path"),
-        paths.replace_whitespace(paths.normalize_path(F.col("_full")), whitespace).alias(
-            "new_full_path"
-        ),
+        new_full_path(F.col("new_path")).alias("new_full_path"),
         status.otherwise("ok").alias("status"),
     ).select(*PLAN_COLUMNS)
 
 
+def new_full_path(new_path: Column) -> Column:
+    """Where a file goes: its new path below the base, which keeps its own spelling."""
+    return paths.normalize_path(F.concat("new_base", F.lit("/"), new_path))
+
+
 def duplicate_targets(plan: DataFrame) -> DataFrame:
     """New paths that more than one photo would get."""
     return (
         plan.where(F.col("new_path").isNotNull())
         .groupBy("new_path")
-        .agg(F.count("md5hash").alias("n"))
+        .agg(F.count("*").alias("n"))
         .where(F.col("n") > 1)
     )
 
@@ -117,10 +121,10 @@ def pad_width(plan: DataFrame) -> DataFrame:
     sizes = (
         plan.where(F.col("new_path").isNotNull())
         .groupBy("new_path")
-        .agg(F.count("md5hash").alias("n"), F.count("*").alias("rows"))
+        .agg(F.count("*").alias("n"))
         .where(F.col("n") > 1)
     )
-    return sizes.agg(F.length(F.max("rows").cast("string")).alias("width"))
+    return sizes.agg(F.length(F.max("n").cast("string")).alias("width"))
 
 
 def numbered_path(path: Column, number: Column, width: Column) -> Column:
@@ -158,9 +162,9 @@ def _clashes(plan: DataFrame) -> tuple[int | None, bool]:
     numbered_look = F.col("_key").rlike(r"-\d+(\.[^./]*)?$")
     sizes = (
         plan.groupBy("_key")
-        .agg(F.count("md5hash").alias("n"), F.count("*").alias("rows"))
+        .agg(F.count("*").alias("n"))
         .select(
-            F.when(F.col("n") > 1, F.col("rows")).alias("clash"),
+            F.when(F.col("n") > 1, F.col("n")).alias("clash"),
             F.when(F.col("n") > 1, paths.extension(F.col("_key")) == "")
             .otherwise(numbered_look)
             .alias("risk"),
@@ -173,7 +177,7 @@ def _clashes(plan: DataFrame) -> tuple[int | None, bool]:
 def _number_clashes(plan: DataFrame, largest: int, hot_rows: int) -> DataFrame:
     """Number every clash once; a row never numbered keeps its name against numbered ones."""
     clashes = (F.col("_n") > 1) & (F.col("_numbered") | ~F.col("_any_numbered"))
-    sizes = [F.count("md5hash").alias("_n"), F.max("_numbered").alias("_any_numbered")]
+    sizes = [F.count("*").alias("_n"), F.max("_numbered").alias("_any_numbered")]
     hot = None
     if largest > hot_rows:
         plan = cut_lineage(plan)  # a hot clash takes several passes
@@ -181,7 +185,7 @@ def _number_clashes(plan: DataFrame, largest: int, hot_rows: int) -> DataFrame:
     cold = plan if hot is None else plan.join(hot, "_key", "left_anti")
     group = Window.partitionBy("_key")
     ranked = (
-        cold.withColumn("_n", F.count("md5hash").over(group))
+        cold.withColumn("_n", F.count("*").over(group))
         .withColumn("_any_numbered", F.max("_numbered").over(group))
         .withColumn("_moves", clashes)
         .withColumn(
@@ -196,7 +200,7 @@ def _number_clashes(plan: DataFrame, largest: int, hot_rows: int) -> DataFrame:
         spread = number_rows(spread, ["_key", "_moves"], ["old_path"], "_rank", hot_rows)
         ranked = ranked.unionByName(spread)
     target = numbered_path(F.col("new_path"), F.col("_rank"), F.lit(len(str(largest))))
-    full = paths.normalize_path(F.concat("new_base", F.lit("/"), target))
+    full = new_full_path(target)
     renamed = {"new_path": target, "new_full_path": full, "_key": target, "_numbered": F.lit(True)}
     return ranked.select(
         *[
@@ -209,9 +213,8 @@ def _number_clashes(plan: DataFrame, largest: int, hot_rows: int) -> DataFrame:
 def move_plan(plan: DataFrame) -> DataFrame:
     """Old and new full path of every file that has a new place."""
     old = paths.full_path(F.col("old_local"), F.col("old_base"), F.col("old_path"))
-    new = F.concat("new_base", F.lit("/"), "new_path")
     rows = plan.where(F.col("new_path").isNotNull() & F.col("new_base").isNotNull()).select(
-        "md5hash", "old_path", "new_base", "new_path", old.alias("_old"), new.alias("_new")
+        "md5hash", "old_path", "new_base", "new_path", "new_full_path", old.alias("_old")
     )
     return rows.select(
         "md5hash",
@@ -219,7 +222,7 @@ def move_plan(plan: DataFrame) -> DataFrame:
         "new_base",
         "new_path",
         paths.normalize_path(F.col("_old")).alias("old_full"),
-        paths.normalize_path(F.col("_new")).alias("new_full"),
+        F.col("new_full_path").alias("new_full"),
     )
 
 
@@ -230,20 +233,20 @@ def apply_rename(
 
     Each new base becomes a ``rename`` batch; bases no photo went to get none.
     """
+    keys = ["_hash", "path"]
+    hashed = catalog.photo.withColumn("_hash", plain_hash(F.col("md5hash")))
+    moved = moved.select(
+        F.col("md5hash").alias("_hash"), F.col("old_path").alias("path"), "new_base", "new_path"
+    )
+    moved = cut_lineage(moved.join(hashed.select(*keys), keys, "left_semi"))
     bases = moved.select(F.col("new_base").alias("base_path"))
-    batches = register_bases(catalog.imports, bases, local, "rename", moment)
+    batches = cut_lineage(register_bases(catalog.imports, bases, local, "rename", moment))
     stored = F.col("new_path") if local else F.concat("new_base", F.lit("/"), "new_path")
     changes = moved.join(
         batches.select(F.col("base_path").alias("new_base"), "import_date"), "new_base"
-    ).select(
-        F.col("md5hash").alias("_hash"),
-        F.col("old_path").alias("path"),
-        stored.alias("stored"),
-        F.col("import_date").alias("renamed"),
-    )
+    ).select(*keys, stored.alias("stored"), F.col("import_date").alias("renamed"))
     is_moved = F.col("stored").isNotNull()
-    hashed = catalog.photo.withColumn("_hash", plain_hash(F.col("md5hash")))
-    photo = hashed.join(changes, ["_hash", "path"], "left").select(
+    photo = hashed.join(changes, keys, "left").select(
         F.coalesce("stored", "path").alias("path"),
         F.when(is_moved, paths.basename(F.col("stored"))).otherwise(F.col("fname")).alias("fname"),
         "ftype",
@@ -252,9 +255,7 @@ def apply_rename(
         "dt_mod",
         F.coalesce("renamed", "dt_import").alias("dt_import"),
     )
-    new = batches.join(
-        photo.select(F.col("dt_import").alias("import_date")).distinct(), "import_date", "left_semi"
-    )
+    new = batches.select(*catalog.imports.columns)
     return catalog.replace(imports=catalog.imports.unionByName(new), photo=photo)
 
 
@@ -312,5 +313,6 @@ def paths_prefix(base: str) -> str:
 
 
 def sample_plan(plan: DataFrame, n: int = 5, seed: int | None = None) -> DataFrame:
-    """``n`` random rows to look over."""
-    return plan.orderBy(F.rand(seed)).limit(n)
+    """``n`` rows to look over, in the order of a hash of seed and path: the same ones each time."""
+    key = F.md5(F.concat(F.lit(f"{seed or 0}:"), "old_path"))
+    return plan.orderBy(key, "old_path", "new_path").limit(n)

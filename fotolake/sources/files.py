@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
 import re
 from collections.abc import Iterable, Iterator
+from datetime import datetime, timezone
+from itertools import islice
 
 import pandas as pd
 import pyarrow.fs
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fotolake import schemas
 from fotolake.functions import images, paths, times
 from fotolake.functions.hashes import content_hash
 from fotolake.functions.templates import java_regex
+from fotolake.session import cut_lineage
 from fotolake.sources.exif import jpeg_dimensions, read_tags
 
+# Bytes of files that one task reads, about; bytes read at once; bytes that tell type and size.
+TASK_BYTES = 256 << 20
+BLOCK_BYTES = 1 << 20
+HEAD_BYTES = 64
+
 # Fixed value: files of a database in use, never scanned.
 SKIPPED_EXTENSIONS = (".sqlite-journal",)
 
@@ -30,27 +41,80 @@ def plain_root(root: str) -> str:
     return re.sub("^file:/+", "/", root)
 
 
-def scan_files(
+def list_files(
     spark: SparkSession,
     roots: str | Iterable[str],
     recursive: bool = True,
     modified_after: str | None = None,
 ) -> DataFrame:
-    """One row per file below ``roots`` (path, modificationTime, length, content).
+    """One row per file below ``roots``: path, modificationTime, length.
 
-    ``content`` is read only by plans that use it. Several roots let one tree
-    be scanned in parts, which bounds the listing the driver holds.
-    ``modified_after`` skips older files before their bytes are read.
+    Tasks list one level of folders after the other; names starting with ``_`` or ``.``
+    are files like any other. Folders that are links are not entered. Each level is
+    written to the checkpoint folder.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    folders = spark.createDataFrame([(plain_root(root),) for root in roots], "path string")
+    found: DataFrame | None = None
+    while True:
+        level = cut_lineage(folders.repartition("path").mapInPandas(_list_level, _LISTED))
+        own = level.where("not folder").drop("folder")
+        found = own if found is None else found.unionByName(own)
+        folders = level.where("folder").select("path")
+        if not recursive or folders.isEmpty():
+            break
     if modified_after is not None:
-        reader = reader.option("modifiedAfter", modified_after)
-    files = reader.load(roots).withColumn("path", local_path(F.col("path")))
-    if not recursive:
-        tops = [paths.normalize_base(F.lit(plain_root(root))) for root in roots]
-        files = files.where(paths.dirname(F.col("path")).isin(*tops))
-    return filter_extension(files, SKIPPED_EXTENSIONS, keep=False)
+        found = found.where(F.col("modificationTime") > F.lit(modified_after).cast("timestamp"))
+    return filter_extension(found, SKIPPED_EXTENSIONS, keep=False)
+
+
+_LISTED = "path string, modificationTime timestamp, length long, folder boolean"
+
+
+def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        for folder in batch["path"]:
+            entries = _remote_entries(folder) if "://" in folder else _local_entries(folder)
+            while rows := list(islice(entries, 10_000)):
+                frame = pd.DataFrame(rows, columns=["path", "modificationTime", "length", "folder"])
+                frame["modificationTime"] = pd.to_datetime(frame["modificationTime"], utc=True)
+                yield frame
+
+
+def _local_entries(folder: str) -> Iterator[tuple]:
+    try:
+        with os.scandir(folder) as entries:
+            for entry in entries:
+                path = f"{folder.rstrip('/')}/{entry.name}"
+                if entry.is_dir(follow_symlinks=False):
+                    yield path, None, 0, True
+                elif entry.is_file():
+                    state = entry.stat()
+                    stamp = datetime.fromtimestamp(state.st_mtime, timezone.utc)
+                    yield path, stamp, state.st_size, False
+    except (FileNotFoundError, NotADirectoryError, PermissionError):
+        return  # gone or closed meanwhile
+
+
+def _remote_entries(folder: str) -> Iterator[tuple]:
+    filesystem, place = pyarrow.fs.FileSystem.from_uri(folder)
+    selector = pyarrow.fs.FileSelector(place, allow_not_found=True)
+    for entry in filesystem.get_file_info(selector):
+        is_folder = entry.type == pyarrow.fs.FileType.Directory
+        yield f"{folder.rstrip('/')}/{entry.base_name}", entry.mtime, entry.size or 0, is_folder
+
+
+def scan_files(
+    spark: SparkSession,
+    roots: str | Iterable[str],
+    recursive: bool = True,
+    modified_after: str | None = None,
+) -> DataFrame:
+    """The files below ``roots`` with their bytes (path, modificationTime, length, content).
+
+    ``scan_listed`` reads the same files and keeps their bytes in the reading tasks.
+    """
+    return read_listed(list_files(spark, roots, recursive, modified_after))
 
 
 def filter_extension(
@@ -145,36 +209,77 @@ def scan_records(
 ) -> DataFrame:
     """Read record of every file that is an image by its content.
 
-    Hash, type and size are computed where the bytes are read; ``content`` is
-    never shuffled. ``update`` leaves out metadata and size. A file whose bytes
-    could not be read keeps its row, without type and hash.
+    ``update`` takes every file, whatever its type, and leaves out metadata and size. A
+    file whose bytes could not be read keeps its row, without type and hash.
     """
     content = F.col("content")
-    kept = ["path", "modificationTime", "ftype", "md5hash", "unread"]
+    header = F.lit(None).cast(schemas.HEADER) if update else image_header(content, thumb, maker)
+    # The header is read for images only.
+    kind = images.sniff_type(content)
     read = files.select(
         "path",
         "modificationTime",
-        images.sniff_type(content).alias("ftype"),
+        content.alias("head"),
+        kind.alias("ftype"),
         content_hash(content).alias("md5hash"),
         content.isNull().alias("unread"),
         content,
-    ).where(F.col("ftype").isNotNull() | F.col("unread"))
-    if update:
-        nothing = [F.lit(None).cast(field.dataType).alias(field.name) for field in schemas.HEADER]
-        read = read.select(*kept, *nothing)
-    else:
-        size = images.header_dimensions(content, F.col("ftype"))
-        read = read.select(
-            *kept,
-            image_header(content, thumb, maker).alias("header"),
-            size.alias("size"),
-        ).select(
-            *kept,
-            F.col("header.tags").alias("tags"),
-            F.coalesce("size.width", "header.width").alias("width"),
-            F.coalesce("size.height", "header.height").alias("height"),
-            F.col("header.failed").alias("failed"),
-        )
+    )
+    if not update:
+        read = read.where(F.col("ftype").isNotNull() | F.col("unread"))
+    return _records(read.withColumn("header", header), zone, update)
+
+
+def scan_listed(
+    listing: DataFrame,
+    zone: str = "UTC",
+    update: bool = False,
+    thumb: bool = False,
+    maker: bool = False,
+) -> DataFrame:
+    """The records of :func:`scan_records` for listed files, read in the tasks that hold the rows.
+
+    Only narrow records leave a reading task: hash, first bytes and metadata. With
+    ``update`` a file passes through in blocks, so it may be of any size.
+    """
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for row in batch.itertuples(index=False):
+                digest, head, data = _digest(row.path, keep=not update)
+                header = (None, None, None, False) if data is None else _header(data, thumb, maker)
+                frame = pd.DataFrame(
+                    [(row.path, row.modificationTime, digest, head, digest is None)],
+                    columns=["path", "modificationTime", "md5hash", "head", "unread"],
+                )
+                names = ("tags", "width", "height", "failed")
+                frame["header"] = [dict(zip(names, header, strict=True))]
+                yield frame
+
+    schema = (
+        T.StructType()
+        .add("path", T.StringType())
+        .add("modificationTime", T.TimestampType())
+        .add("md5hash", T.StringType())
+        .add("head", T.BinaryType())
+        .add("unread", T.BooleanType())
+        .add("header", schemas.HEADER)
+    )
+    rows = spread_by_bytes(listing).select("path", "modificationTime", "length")
+    read_rows = rows.mapInPandas(read, schema).withColumn("ftype", images.sniff_type(F.col("head")))
+    if not update:
+        read_rows = read_rows.where(F.col("ftype").isNotNull() | F.col("unread"))
+    return _records(read_rows, zone, update)
+
+
+def _records(read: DataFrame, zone: str, update: bool) -> DataFrame:
+    size = images.header_dimensions(F.col("head"), F.col("ftype"))
+    kept = ["path", "modificationTime", "ftype", "md5hash", "unread"]
+    read = read.select(*kept, "header", size.alias("size"))
+
+    def known(column: Column) -> Column:
+        return F.lit(None).cast("int") if update else column
+
     return read.select(
         "path",
         paths.dirname(F.col("path")).alias("root"),
@@ -182,13 +287,20 @@ def scan_records(
         "ftype",
         "md5hash",
         modified_at(F.col("modificationTime"), zone).alias("dt_mod"),
-        read_message(F.col("path"), F.col("unread"), F.col("failed")).alias("msg"),
-        "tags",
-        "width",
-        "height",
+        read_message(F.col("path"), F.col("unread"), F.col("header.failed")).alias("msg"),
+        F.col("header.tags").alias("tags"),
+        known(F.coalesce("size.width", "header.width")).alias("width"),
+        known(F.coalesce("size.height", "header.height")).alias("height"),
     )
 
 
+def spread_by_bytes(listing: DataFrame) -> DataFrame:
+    """The listed rows over as many tasks as their files' bytes call for."""
+    n_bytes, n_files = listing.agg(F.sum("length"), F.count(F.lit(1))).first()
+    least = min(n_files, listing.sparkSession.sparkContext.defaultParallelism)
+    return listing.repartition(max(1, least, -(-(n_bytes or 0) // TASK_BYTES)), "path")
+
+
 def read_message(path: Column, unread: Column, failed: Column) -> Column:
     outcome = F.when(unread, "read failure").when(failed, "tag failure").otherwise("read success")
     return F.concat(path, F.lit("|"), outcome)
@@ -219,30 +331,36 @@ def observe_scan(records: DataFrame, name: str = "scan") -> tuple[DataFrame, Obs
 
 
 def read_listed(listing: DataFrame) -> DataFrame:
-    """Read the bytes of exactly the listed files, in the tasks that hold the rows.
+    """The listed files with their bytes; one that cannot be read keeps its row with NULL content.
 
-    For scans that drop known files first: a join after ``scan_files`` would
-    still read every file. Paths must be readable by every executor. A file
-    that cannot be read keeps its row with NULL content.
+    Paths must be readable by every executor.
     """
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for at in range(len(batch)):  # one file per batch bounds the memory
                 row = batch.iloc[at : at + 1].copy()
-                row["content"] = [_read_bytes(row["path"].iloc[0])]
+                row["content"] = [_digest(row["path"].iloc[0], keep=True)[2]]
                 yield row
 
-    return listing.select("path", "modificationTime", "length").mapInPandas(read, schemas.FILE)
+    rows = spread_by_bytes(listing).select("path", "modificationTime", "length")
+    return rows.mapInPandas(read, schemas.FILE)
 
 
-def _read_bytes(path: str) -> bytes | None:
+def _digest(path: str, keep: bool) -> tuple[str | None, bytes | None, bytes | None]:
+    """MD5, first bytes and, if asked for, all bytes of a file; Nones if it cannot be read."""
     try:
         if "://" in path:
             filesystem, path = pyarrow.fs.FileSystem.from_uri(path)
         else:
             filesystem = pyarrow.fs.LocalFileSystem()
+        digest, head, blocks = hashlib.md5(), b"", []
         with filesystem.open_input_stream(path) as stream:
-            return stream.read()
+            while block := stream.read(BLOCK_BYTES):
+                digest.update(block)
+                head = head or block[:HEAD_BYTES]
+                if keep:
+                    blocks.append(block)
+        return digest.hexdigest(), head, b"".join(blocks) if keep else None
     except (OSError, ValueError):
-        return None
+        return None, None, None

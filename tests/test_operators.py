@@ -8,7 +8,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from fotolake import schemas
-from fotolake.functions.similarity import _take_best_free
 from fotolake.operators import changes, lookups, records, relink
 from fotolake.operators.ranking import number_rows
 from fotolake.plans import ingest, reconnect
@@ -69,11 +68,14 @@ def test_number_rows_is_the_same_for_hot_groups(spark, hot_rows):
 
 
 def test_register_batch(catalog):
-    once = changes.register_batch(catalog.imports, "C:\\x\\", False, "update", MOMENT)
+    once, key = changes.register_batch(catalog.imports, "C:\\x\\", False, "update", MOMENT)
     row = once.where("import_date = '2024-03-01T12:00:00Z'").first()
     assert (row.base_path, row.local, row.type) == ("C:/x", False, "update")
-    again = changes.register_batch(once, "/other", True, "import", MOMENT)
-    assert tuples(again, "import_date", "base_path") == tuples(once, "import_date", "base_path")
+    again, second = changes.register_batch(once, "/other", True, "import", MOMENT)
+    assert (key, second) == ("2024-03-01T12:00:00Z", "2024-03-01T12:00:01Z")
+    assert again.where(F.col("import_date") == second).first().base_path == "/other"
+    third = changes.free_key(again.where(F.col("import_date") != key), MOMENT)
+    assert third == key and changes.free_key(again, MOMENT) == "2024-03-01T12:00:02Z"
     with pytest.raises(ValueError):
         changes.register_batch(once, "/x", True, "copy", MOMENT)
 
@@ -93,6 +95,16 @@ def test_register_bases_takes_free_seconds(spark):
     ]
 
 
+def test_many_bases_take_linear_time(spark):
+    bases = spark.range(100_000).selectExpr("concat('/b', id) as base_path")
+    taken = import_table(spark, [("2024-03-01T12:00:01Z", "/a", True)])
+    got = changes.register_bases(taken, bases, True, "rename", MOMENT)
+    low, high, n = got.agg(
+        F.min("import_date"), F.max("import_date"), F.countDistinct("import_date")
+    ).first()
+    assert (low, high, n) == ("2024-03-01T12:00:00Z", "2024-03-02T15:46:40Z", 100_000)
+
+
 def test_upserts_are_idempotent_and_keep_what_is_known(spark, catalog):
     new = photo_table(
         spark, [("x/1.jpg", "changed", "d9"), ("n/1.jpg", "h9", "d9"), ("n/0.jpg", "h9", "d9")]
@@ -271,21 +283,16 @@ def _free_paths(old, new):
             yield key, [o for o in olds if o not in stay], [n for n in news if n not in stay]
 
 
-def test_relink_ambiguous_takes_the_best_free_pair(spark):
-    old, new = _ambiguous_case()
-    photo = photo_table(spark, [(p, k, "d") for p, k in old])
-    got = relink.relink_ambiguous(photo, scan_table(spark, new))
-    want = [
-        (key, *pair) for key, olds, news in _free_paths(old, new) for pair in _take_best_free(olds, news)
-    ]
-    assert tuples(got, "md5hash", "old_path", "new_path", "ratio") == sorted(want)
+def _steps(path):
+    return path.lower().split("/")
 
 
-def _by_trailing_path(olds, news, depth=3):
+def _by_trailing_path(olds, news):
     pairs = []
-    for steps in range(depth, -1, -1):
-        def tail(path, steps=steps):
-            return "/".join(path.lower().split("/")[-steps:]) if steps else ""
+    depth = max((len(_steps(p)) for p in [*olds, *news]), default=0)
+    for n in range(depth, -1, -1):
+        def tail(path, n=n):
+            return "/".join(_steps(path)[-n:]) if n else ""
 
         for key in {tail(p) for p in olds}:
             pairs += zip(
@@ -297,31 +304,62 @@ def _by_trailing_path(olds, news, depth=3):
 
 
 @pytest.mark.parametrize("hot_rows", [10**6, 8, 2])
-def test_large_groups_are_matched_by_trailing_path(spark, hot_rows):
+def test_relink_ambiguous_as_defined(spark, hot_rows):
     old, new = _ambiguous_case()
     photo = photo_table(spark, [(p, k, "d") for p, k in old])
-    got = relink.relink_ambiguous(photo, scan_table(spark, new), pair_limit=0, hot_rows=hot_rows)
+    got = relink.relink_ambiguous(photo, scan_table(spark, new), hot_rows=hot_rows)
     want = [
         (key, *pair) for key, olds, news in _free_paths(old, new) for pair in _by_trailing_path(olds, news)
     ]
     assert tuples(got, "md5hash", "old_path", "new_path") == sorted(want)
+    assert got.where("ratio is null or ratio < 0 or ratio > 100").isEmpty()
+
+
+def test_one_definition_for_any_size_of_a_hash(spark):
+    """101 old and 101 new paths under one hash, in a hurried order."""
+    olds = [f"card/{i % 7}/roll{i // 7}/IMG {i}.jpg" for i in range(101)]
+    news = [f"/disk/a/{i % 7}/ROLL{i // 7}/img {i}.JPG" for i in range(101)]
+    photo = photo_table(spark, [(p, "h", "d") for p in olds])
+    scan = scan_table(spark, [("h", p) for p in reversed(news)])
+    got = relink.relink_ambiguous(photo, scan)
+    assert tuples(got, "old_path", "new_path") == sorted(zip(olds, news))
+    best = relink.best_match(relink.moved_paths(photo, scan))
+    assert tuples(best, "old_path", "new_path", "steps") == sorted((o, n, 3) for o, n in zip(olds, news))
 
 
-def test_mixed_group_sizes_use_both_ways(spark):
+def test_best_match_takes_the_longest_shared_end(spark):
     old, new = _ambiguous_case()
-    photo, scan = photo_table(spark, [(p, k, "d") for p, k in old]), scan_table(spark, new)
-    got = relink.relink_ambiguous(photo, scan, pair_limit=12)
+    photo = photo_table(spark, [(p, k, "d") for p, k in old])
+    got = relink.best_match(relink.moved_paths(photo, scan_table(spark, new)))
+
+    def shared(a, b):
+        n = 0
+        for x, y in zip(reversed(_steps(a)), reversed(_steps(b))):
+            if x != y:
+                break
+            n += 1
+        return n
+
     want = []
     for key, olds, news in _free_paths(old, new):
-        if len(olds) * len(news) <= 12:
-            want += [(key, o, n) for o, n, _ in _take_best_free(olds, news)]
-        else:
-            want += [(key, o, n) for o, n in _by_trailing_path(olds, news)]
-    assert tuples(got, "md5hash", "old_path", "new_path") == sorted(want)
-    pairs = relink.candidate_pairs(photo, scan, pair_limit=12)
-    whole = sum(len(o) * len(n) for _, o, n in _free_paths(old, new) if len(o) * len(n) <= 12)
-    large = sum(min(len(o), len(n)) for _, o, n in _free_paths(old, new) if len(o) * len(n) > 12)
-    assert pairs.count() == whole + large
+        for path in news if olds else []:
+            most = max(shared(o, path) for o in olds)
+            want.append((key, min(o for o in olds if shared(o, path) == most), path, most))
+    assert tuples(got, "md5hash", "old_path", "new_path", "steps") == sorted(want)
+
+
+def test_reconnect_leaves_other_photos_alone(spark, catalog):
+    """A photo of another batch in the same second keeps its path."""
+    key = "2024-03-01T12:00:00Z"
+    photo = catalog.photo.unionByName(photo_table(spark, [("/m/keep.jpg", "hk", key)]))
+    imports = catalog.imports.unionByName(import_table(spark, [(key, "/m", False)]))
+    scan = scan_table(spark, [("h1", "/m/new/1.jpg")])
+    after = reconnect.reconnect(
+        catalog.replace(photo=photo, imports=imports), scan, "/m", MOMENT, local=True
+    )
+    assert tuples(after.photo.where("md5hash = 'hk'"), "path", "dt_import") == [("/m/keep.jpg", key)]
+    moved = after.photo.where("fname = '1.jpg' and dt_import = '2024-03-01T12:00:01Z'")
+    assert tuples(moved, "path") == [("new/1.jpg",)]
 
 
 def test_stored_path(values):

@@ -94,12 +94,29 @@ def test_identical_files_get_different_names(spark):
     assert got == ["x-1.jpg", "x-2.jpg"]
 
 
+def test_files_without_hash_clash_too(spark):
+    rows = [("a", "1.jpg"), ("b", "1.jpg"), ("c", "2.jpg")]
+    plan = plan_of(spark, rows).withColumn("md5hash", F.lit(None).cast("string"))
+    assert sorted(r.new_path for r in rename.dedupe_targets(plan).collect()) == ["1-1.jpg", "1-2.jpg", "2.jpg"]
+    assert [tuple(r) for r in rename.duplicate_targets(plan).collect()] == [("1.jpg", 2)]
+    assert rename.pad_width(plan).first().width == 1 and rename.colliding_rows(plan).count() == 2
+
+
+def test_full_path_has_one_spelling(spark, tables):
+    plan = rename.plan_rename(*tables, new_base="/my base", whitespace="_", level=0, template="x y")
+    for step in (plan, rename.dedupe_targets(plan)):
+        got = {r.old_path: r.new_full_path for r in step.collect()}
+        moves = {r.old_path: r.new_full for r in rename.move_plan(step).collect()}
+        assert got == moves and all(p.startswith("/my base/x_y") for p in got.values())
+
+
 def test_clash_reports(spark):
     plan = plan_of(spark, [("a", "x"), ("b", "x"), ("c", "y"), ("d", None), ("e", None)])
     assert [tuple(r) for r in rename.duplicate_targets(plan).collect()] == [("x", 2)]
     assert sorted(r.old_path for r in rename.colliding_rows(plan).collect()) == ["a", "b"]
     assert rename.pad_width(plan).first().width == 1
-    assert rename.sample_plan(plan, 3, seed=1).count() == 3
+    first = rename.sample_plan(plan, 3, seed=1).collect()
+    assert len(first) == 3 and first == rename.sample_plan(plan.repartition(7), 3, seed=1).collect()
 
 
 @pytest.mark.parametrize("local", [True, False])
