@@ -248,8 +248,8 @@ from rendered
 ORACLE["op10_suffix_dedup"] = """
 with docs as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
 windows as (
-  select doc_id, p, substr(h, 2 * p + 1, 200) as w
-  from docs, unnest(range(0, length(h) // 2 - 99)) t(p)),
+  select doc_id, p, md5_number(substr(h, 2 * p + 1, 200)) as w
+  from (select doc_id, h, unnest(range(0, length(h) // 2 - 99)) as p from docs)),
 later as (
   select doc_id, p from (
     select doc_id, p, row_number() over (partition by w order by doc_id, p) as place from windows)
