@@ -286,27 +286,33 @@ _add(
     where p.md5hash is null""",
     "fx_hash", "fx_photo",
 )
+# A location belongs to each tag with a position; a longitude of exactly 0 has none.
+_LOCATED = """loc as (select md5hash from fx_tag
+      where meta->>'$."GPS GPSLongitude"' not like '[0, 0, 0/%')"""
+_LEFT = """select 'hash' as name, md5hash as key from fx_hash where md5hash in (select md5hash from p)
+    union all select 'tag', md5hash from fx_tag where md5hash in (select md5hash from p)
+    union all select 'location', md5hash from loc where md5hash in (select md5hash from p)"""
 _add(
     "prune_orphan_hashes",
-    "select md5hash from fx_hash where md5hash in (select md5hash from fx_photo)",
-    "fx_hash", "fx_photo",
+    f"+ {_LOCATED}, p as (select * from fx_photo) {_LEFT}",
+    "fx_photo", "fx_hash", "fx_tag",
 )
 _add(
     "cascade_delete_batch",
-    """+ i as (select * from fx_import where not local),
+    f"""+ {_LOCATED}, i as (select * from fx_import where not local),
     p as (select * from fx_photo where dt_import in (select import_date from i))
-    select 'import' as name, import_date as key from i
-    union all select 'photo', path from p
-    union all select 'hash', md5hash from fx_hash where md5hash in (select md5hash from p)
-    union all select 'tag', md5hash from fx_tag where md5hash in (select md5hash from p)""",
+    {_LEFT} union all select 'import', import_date from i union all select 'photo', path from p""",
     "fx_import", "fx_photo", "fx_hash", "fx_tag",
 )
 _add(
     "cascade_delete_hashes",
-    """select path, md5hash from fx_photo where md5hash not in (
-      select md5(text) from documents d join labels l on l.doc_id = d.doc_id and l.toxic = 1)""",
-    "fx_photo",
-)
+    f"""+ {_LOCATED}, gone as (
+      select md5(text) as md5hash from documents d join labels l on l.doc_id = d.doc_id and l.toxic = 1),
+    p as (select md5hash from fx_hash where md5hash not in (select md5hash from gone))
+    {_LEFT} union all
+    select 'photo', path from fx_photo where md5hash not in (select md5hash from gone)""",
+    "fx_photo", "fx_hash", "fx_tag",
+)
 _add("batch_counts", "select dt_import, count(*) as photo_rows from fx_photo group by 1", "fx_photo")
 _add(
     "batch_is_empty",
@@ -565,6 +571,50 @@ _add(
     union all
     select 'gif', 'second', md5(v || chr(10)), '2024-03-01T12:00:01Z' from t where length(v) % 2 = 0""",
 )
+_CONTENTS = """with f as (select '/d/' || source || '/' || cast(doc_id as varchar) as path, source, doc_id,
+      case when lang = 'en' then 'gif' end as ftype,
+      md5(case when lang = 'en' then 'GIF89a' || chr(cast(doc_id % 100 + 1 as int)) || chr(1)
+        || chr(cast(doc_id % 90 + 2 as int)) || chr(2) || text else '#' || text end) as md5hash
+    from documents) """
+_add(
+    "scan_contents",
+    _CONTENTS
+    + """select path, '/d/' || source as root, cast(doc_id as varchar) as fname, ftype, md5hash,
+      timestamp '1970-01-01' + to_seconds(doc_id * 4000 + 1700000000 + 32400) as dt_mod,
+      path || '|read success' as msg, cast(doc_id % 100 + 257 as int) as width,
+      cast(doc_id % 90 + 514 as int) as height from f where ftype is not null""",
+)
+_add(
+    "scan_contents_update",
+    _CONTENTS + "select path, ftype, md5hash, cast(null as int) as width from f",
+)
+_add(
+    "scan_status",
+    _CONTENTS
+    + """select path, path || case when ftype is null then '|type failure' else '|read success' end as msg
+    from f""",
+)
+_add("event_wall_clock", "select event_id, date_trunc('second', ts) - interval 5 hour as dt_mod from events")
+_add(
+    "csv_stamps",
+    ORACLE["stamp_parse"].rpartition("select substr(path, 7)")[0]
+    + r"""select substr(path, 7) as path,
+      case when len(parts) >= 4 then regexp_replace(parts[1], '^\[*(.+?)\]*$', '\1') end as camera_name,
+      case when len(parts) >= 4 then strftime(t, '%Y-%m-%d %H:%M:%S')
+        || case when off < 0 then '-' else '+' end || lpad(cast(abs(off) // 60 as varchar), 2, '0')
+        || ':' || lpad(cast(abs(off) % 60 as varchar), 2, '0') end as dt_iso,
+      case when len(parts) >= 4 then regexp_extract(ocr, 'Exposure: (\d+)', 1) end as exposure, ocr
+    from s""",
+)
+_add(
+    "csv_plan",
+    f"""+ s as (select md5hash, path as old_path,
+      regexp_replace({_DIR} || '/' || fname, '^/', '') as new_path from {_JOINED})
+    select *, 'ok' as status from s""",
+    "fx_photo", "fx_import",
+)
+for _name in ("pipe_wide", "parquet_wide"):
+    ORACLE[_name] = ORACLE["tags_wide"]
 _add(
     "filter_name",
     r"""select path from fx_photo

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +16,7 @@ from fotolake.functions import gps, hashes, images, paths, similarity, stamps, t
 from fotolake.operators import changes, lookups, records, relink
 from fotolake.plans import reconnect, rename
 from fotolake.schemas import Catalog
-from fotolake.sources import catalogs, files
+from fotolake.sources import catalogs, files, sinks
 from fotolake.streaming.ingest import empty_catalog, ingest_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -260,28 +262,35 @@ def orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return changes.orphans(_catalog(spark, sf_dir))
 
 
+def _rows(catalog: Catalog, *names: str) -> DataFrame:
+    """Table name and key of every row of the named tables."""
+    keys = {"import": "import_date", "photo": "path"}
+    rows = [
+        catalog.tables()[name].select(
+            F.lit(name).alias("name"), F.col(keys.get(name, "md5hash")).alias("key")
+        )
+        for name in names
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
 @register
 def prune_orphan_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return changes.prune_orphan_hashes(_catalog(spark, sf_dir)).hash
+    left = changes.prune_orphan_hashes(_catalog(spark, sf_dir))
+    return _rows(left, "hash", "tag", "location")
 
 
 @register
 def cascade_delete_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Table name and key of all rows left after the batches with local paths are deleted."""
-    catalog = _catalog(spark, sf_dir)
-    left = changes.cascade_delete_batches(catalog, catalog.imports.where("local"))
-    keys = {"import": "import_date", "hash": "md5hash", "photo": "path", "tag": "md5hash"}
-    return records.union_records(
-        *[
-            left.tables()[name].select(F.lit(name).alias("name"), F.col(key).alias("key"))
-            for name, key in keys.items()
-        ]
-    )
+    """What is left when the local batches are deleted."""
+    local = view(spark, sf_dir, "fx_import").where("local")
+    left = changes.cascade_delete_batches(_catalog(spark, sf_dir), local)
+    return _rows(left, "import", "photo", "hash", "tag", "location")
 
 
 @register
 def cascade_delete_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Photos left after all hashes of toxic documents are deleted."""
+    """What is left when all hashes of toxic documents are deleted."""
     gone = query(
         spark,
         sf_dir,
@@ -289,7 +298,7 @@ def cascade_delete_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
         "on l.doc_id = d.doc_id and l.toxic = 1",
     )
     left = changes.cascade_delete_hashes(_catalog(spark, sf_dir), gone)
-    return left.photo.select("path", "md5hash")
+    return _rows(left, "photo", "hash", "tag", "location")
 
 
 @register
@@ -611,6 +620,88 @@ def filter_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- files -------------------------------------------------------------------
 
 
+def _contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files: English ones are GIF pictures, the others are text."""
+    documents = table(spark, sf_dir, "documents")
+    number = F.col("doc_id").cast("int")
+    head = F.concat(
+        F.lit("GIF89a"), F.char(number % 100 + 1), F.lit("\x01"), F.char(number % 90 + 2), F.lit("\x02")
+    )
+    text = F.when(F.col("lang") == "en", F.concat(head, "text")).otherwise(F.concat(F.lit("#"), "text"))
+    return documents.select(
+        F.concat(F.lit("/d/"), "source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"),
+        F.timestamp_seconds(F.col("doc_id") * 4000 + 1_700_000_000).alias("modificationTime"),
+        F.octet_length("text").cast("long").alias("length"),
+        F.encode(text, "UTF-8").alias("content"),
+    )
+
+
+@register
+def scan_contents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the picture files, file times kept in a zone nine hours ahead."""
+    return files.scan_records(_contents(spark, sf_dir), zone="Asia/Tokyo").drop("tags")
+
+
+@register
+def scan_contents_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hashes of all files, whatever their type."""
+    records = files.scan_records(_contents(spark, sf_dir), update=True)
+    return records.select("path", "ftype", "md5hash", "width")
+
+
+@register
+def scan_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of every file of a scan."""
+    contents = _contents(spark, sf_dir)
+    return files.read_status(contents, files.scan_records(contents))
+
+
+@register
+def event_wall_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """File times of the events, west of Greenwich."""
+    instant = F.to_utc_timestamp("ts", "UTC")
+    return table(spark, sf_dir, "events").select(
+        "event_id", files.modified_at(instant, "Etc/GMT+5").alias("dt_mod")
+    )
+
+
+@register
+def csv_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamps written as a delimited file and read back."""
+    out = f"{_scratch(spark)}/stamps"
+    sinks.write_stamps_csv(records.stamp_records(view(spark, sf_dir, "fx_stamp"), "/cams"), out)
+    return _read_csv(spark, out).select("path", "camera_name", "dt_iso", "exposure", "ocr")
+
+
+@register
+def csv_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A rename plan written as a delimited file and read back."""
+    out = f"{_scratch(spark)}/plan"
+    sinks.write_plan_csv(_plan(spark, sf_dir), out)
+    return _read_csv(spark, out).select("md5hash", "old_path", "new_path", "status")
+
+
+@register
+def pipe_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide metadata written as a pipe-separated file and read back."""
+    out = f"{_scratch(spark)}/wide"
+    sinks.write_wide_pipe(tags_wide(spark, sf_dir), out)
+    return _read_csv(spark, out, "|")
+
+
+@register
+def parquet_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Wide metadata written as a table folder and read back."""
+    out = f"{_scratch(spark)}/wide"
+    sinks.write_wide_parquet(tags_wide(spark, sf_dir), out)
+    return spark.read.parquet(out)
+
+
+def _read_csv(spark: SparkSession, folder: str, sep: str = ",") -> DataFrame:
+    reader = spark.read.option("header", True).option("multiLine", True).option("sep", sep)
+    return reader.option("escape", '"').csv(folder)
+
+
 @register
 def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written out one file each, scanned in batches into a catalog, in two runs."""
@@ -637,4 +728,4 @@ def _scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         return tempfile.mkdtemp(prefix="fotolake-")
-    return f"{shared}/ingest-{datetime.now().strftime('%Y%m%d%H%M%S%f')}"
+    return f"{shared}/query-{uuid.uuid4().hex}"
