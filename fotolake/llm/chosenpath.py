@@ -204,7 +204,9 @@ def met_pairs(sets: DataFrame, similarity: float, recall: float, small: int, dep
     buckets = None
     for level in range(1, depth + 1):
         nodes = stored(nodes, "nodes")
+        # Written, so that the join is one of two plain shuffles, in which Spark splits hot nodes.
         full = nodes.groupBy("node").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+        full = stored(full, "full")
         shared = stored(nodes.join(full, "node"), "shared")
         drop_stored(nodes)
         own = shared.where(F.col("size") <= small).select(F.col("node").alias("bucket"), "set")
@@ -240,7 +242,7 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float, size: in
     Returns rows ``a, b, links``: parts of the number of documents that a's set is linked to,
     and b, a linked set that leads to all others of its class in this comparison, or a itself.
     """
-    sizes = members.groupBy("group").agg(F.count(F.lit(1)).alias("size"))
+    sizes = stored(members.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "sizes")
     dealt = (
         members.join(sizes, "group")
         .withColumn("_n", F.ceil(F.col("size") / block).cast("int"))
@@ -248,7 +250,8 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float, size: in
         .select("row", "set", "copies", "group", "_n", "_block")
     )
     texts = docs.select(row_key().alias("row"), packed(text_bytes()).alias("packed"))
-    joined = texts.join(dealt, "row").select("packed", "set", "copies", "group", "_n", "_block")
+    # The members grow with the documents, so they are never broadcast.
+    joined = texts.join(dealt.hint("merge"), "row").select("packed", "set", "copies", "group", "_n", "_block")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -382,12 +385,13 @@ def near_duplicates(
         .join(roots, F.col("set") == F.col("node"), "left")
         .withColumn("root", F.coalesce("root", "set"))
     )
-    classes = named.groupBy("root").agg(F.min("first").alias("head"))
+    classes = stored(named.groupBy("root").agg(F.min("first").alias("head")), "classes")
     by_set = (
         named.join(classes, "root")
         .join(numbers, "set", "left")
         .select("set", "head", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     )
+    by_set = stored(by_set, "by_set")
     return found.drop("minima").join(by_set, "set", "left").select(
         "doc_id",
         "row",

@@ -13,16 +13,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     A large star ties each node's larger neighbours to its smallest one, a small star its
     smaller ones; after about log n rounds every node hangs on its root. The smallest
-    neighbour is an aggregate combined before its shuffle, and is joined back by a join
-    that splits skewed nodes, so a hub is never gathered in one task. Each round is a
+    neighbour is an aggregate combined before its shuffle and written; the join that brings
+    it back is one of two plain shuffles, in which Spark splits a hub. Each round is a
     written table; that before it is deleted.
     """
     edges = _ordered(edges.select(F.col("a").cast("long"), F.col("b").cast("long")))
     edges = stored(edges, "edges")
     state = _state(edges)
     while state[0]:
-        starred = _small_star(_large_star(edges))
-        after = stored(starred, "edges")
+        large = stored(_large_star(edges), "edges")
+        after = stored(_small_star(large), "edges")
+        drop_stored(large)
         new = _state(after)
         drop_stored(edges)
         edges = after
@@ -53,12 +54,12 @@ def _state(edges: DataFrame) -> tuple:
 
 def _large_star(edges: DataFrame) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+    least = stored(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "least")
     return _ordered(both.join(least, "a").where("b > a").select("b", F.col("m").alias("a")))
 
 
 def _small_star(edges: DataFrame) -> DataFrame:
-    least = edges.groupBy("b").agg(F.min("a").alias("m"))
+    least = stored(edges.groupBy("b").agg(F.min("a").alias("m")), "least")
     pulled = edges.join(least, "b").select(F.col("m").alias("a"), F.col("a").alias("b"))
     own = least.select(F.col("m").alias("a"), "b")
     return _ordered(pulled.unionByName(own))
