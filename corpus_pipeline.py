@@ -21,18 +21,25 @@ ORACLE_SQL = None
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that neither the base rule nor the learned decision list rejects."""
     rules = quality.learn_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return quality.judge(docs, rules).where("kept").select(*docs.columns)
+    # Whole rows travel as one column, so that no name of theirs clashes.
+    rows = docs.select("text", F.struct("*").alias("doc"))
+    return quality.judge(rows, rules).where("kept").select("doc.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeated runs of lines; those with no line left go."""
-    done = linededup.dedup_lines(docs)
+    rows = docs.select("doc_id", "text", F.struct("*").alias("doc"))
+    done = linededup.dedup_lines(rows)
     left = F.col("line_dedup.n_removed") < F.col("line_dedup.n_lines")
-    return (
-        done.where(left | (F.col("line_dedup.n_lines") == 0))
-        .withColumn("n_chars", F.char_length("text").cast("long"))
-        .select(*docs.columns)
-    )
+    new = {"text": F.col("text"), "n_chars": F.char_length("text").cast("long")}
+
+    def column(name: str):
+        own = F.col("doc")[name]
+        changed = F.col("line_dedup.n_removed") > 0
+        return (F.when(changed, new[name]).otherwise(own) if name in new else own).alias(name)
+
+    kept = done.where(left | (F.col("line_dedup.n_lines") == 0))
+    return kept.select(*map(column, docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

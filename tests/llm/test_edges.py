@@ -439,3 +439,23 @@ def test_swapped_answers(spark):
         [(0, 0, "user", "a"), (0, 1, "assistant", "d"), (1, 0, "user", "c"), (1, 1, "assistant", "b"),
          (None, 0, "user", "n")], key=repr
     )
+
+
+def test_pipeline_keeps_columns_of_any_name(spark, work):
+    import corpus_pipeline
+
+    clash = "kept string, quality_counts string, line_dedup string, doc string, _c string, `set` string, lang string"
+    schema = f"doc_id long, text string, source string, n_chars long, {clash}"
+    rows = [(d, t, "s", 1, *"abcdefg") for d, t in [*TEXTS, (None, LONG), (None, None), (6, LONG)]]
+    for table in (rows, []):
+        docs = spark.createDataFrame(table, schema)
+        for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            path = f"{work}/{len(table)}-{i}"
+            stage(spark, docs, "/root/testdata/sf0.001").write.parquet(path)
+            after = spark.read.parquet(path)
+            if name != "mixing":
+                assert after.columns == docs.columns
+                assert after.where("kept <> 'a' or line_dedup <> 'c' or doc <> 'd'").isEmpty()
+            docs = after
+        assert docs.columns == ["doc_id", "size", "source_size", "target", "taken"]
+        assert (docs.count() > 0) == bool(table)
