@@ -112,8 +112,13 @@ def fingerprints(docs: DataFrame, min_lines: int = MIN_LINES, min_words: int = M
 
 
 def repeated_windows(prints: DataFrame) -> DataFrame:
-    """Windows that also start earlier: doc_id, text_key, start, end."""
+    """Windows that also start earlier: doc_id, text_key, start, end.
+
+    The counts are written before they are joined: a join of two plain shuffles lets Spark
+    split a print or window that very many documents share.
+    """
     often = prints.groupBy("print").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("print")
+    often = stored(often, "often")
     windows = prints.join(often, "print").select("doc_id", "text_key", F.inline("windows"))
     # Documents without id come last.
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_key", "start")
@@ -123,6 +128,7 @@ def repeated_windows(prints: DataFrame) -> DataFrame:
         .where("n > 1")
         .select("window", "first")
     )
+    firsts = stored(firsts, "firsts")
     return (
         windows.join(firsts, "window")
         .where(~place.eqNullSafe(F.col("first")))
