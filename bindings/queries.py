@@ -715,7 +715,7 @@ def incremental_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
         own.write.option("maxRecordsPerFile", 1).text(f"{work}/files/{part}")
         ingest_stream(
             spark, f"{work}/files", f"{work}/catalog", f"{work}/state", MOMENT,
-            files_per_batch=1_000, local=True,
+            files_per_batch=2_000, local=True,
         ).awaitTermination()
     photo = catalogs.read_catalog(spark, f"{work}/catalog").photo
     return photo.select("ftype", "md5hash", "dt_import", paths.dirname(F.col("path")).alias("dir"))

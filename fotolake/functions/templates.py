@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from fotolake.functions.times import strftime
 
+# Tags printed as a date and time, and those printed as True or False.
+DATE_TIME_TOKENS = ("dt", "old_dt_orig")
+FLAG_TOKENS = ("old_local",)
 INTEGER_TOKENS = ("year", "month", "isoyear", "isoweek", "isoday")
 DATE_TOKENS = ("timestamp", *INTEGER_TOKENS, "dt")
 
@@ -91,9 +94,9 @@ def capture(path: Column, match: str, expand: str | None = None) -> Column:
 
 
 def _render(token: str, value: Column, spec: str) -> Column:
-    if token == "dt":
+    if token in DATE_TIME_TOKENS:
         return strftime(value, spec or "%Y-%m-%d %H:%M:%S")
-    text = value.cast("string")
+    text = F.initcap(value.cast("string")) if token in FLAG_TOKENS else value.cast("string")
     if token in INTEGER_TOKENS:
         number = re.fullmatch(r"(0?)(\d*)d?", spec)
         if number is None:

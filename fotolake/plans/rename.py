@@ -67,7 +67,10 @@ def plan_rename(
     if template is None:
         name = F.col("old_name")
     else:
-        tokens = ("regex", *templates.DATE_TOKENS, "old_name", "md5hash", "old_dir", "old_base")
+        tokens = (
+            "regex", *templates.DATE_TOKENS, "old_name", "md5hash", "old_dir", "old_base",
+            "old_path", "new_base", "old_local", "old_dt_orig",
+        )
         name = templates.render_name(
             template, {t: F.col(t) for t in tokens}, paths.extension(F.col("old_name"))
         )
@@ -80,7 +83,7 @@ def plan_rename(
         F.regexp_replace(F.concat("new_dir", F.lit("/"), "new_name"), "^/", "").alias("_new"),
     )
     dated = split_dirs is not None or bool(
-        templates.template_tokens(template) & set(templates.DATE_TOKENS)
+        templates.template_tokens(template) & {*templates.DATE_TOKENS, "old_dt_orig"}
     )
     status = F.when(F.col("dt").isNull(), "missing_date") if dated else F.when(F.lit(False), "")
     if match is not None:

@@ -61,6 +61,12 @@ def test_plan_with_all_options(tables):
     assert plan["lone.jpg"].new_path == "2021/Mar/_2021-063_03.jpg"
 
 
+def test_all_fields_can_be_tags(tables):
+    template = "{old_path}|{new_base}|{old_local}|{old_dt_orig:%Y}|{old_dt_orig}"
+    row = by_path(rename.plan_rename(*tables, template=template))["a/b/IMG 1.jpg"]
+    assert row.new_name == "a/b/IMG 1.jpg|/near|True|2021|2021-03-04 05:06:07.jpg"
+
+
 def plan_of(spark, rows):
     full = [(f"h{i}", old, "/n", new, f"/n/{new}" if new else None) for i, (old, new) in enumerate(rows)]
     return spark.createDataFrame(
