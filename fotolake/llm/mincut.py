@@ -316,13 +316,12 @@ def extract(page: str, weights: np.ndarray) -> str:
 
 def learn_costs(pages: DataFrame, fit_pages: int = FIT_PAGES) -> np.ndarray:
     """Weights from the blocks of at most ``fit_pages`` pages whose markup names them."""
-    chosen = (
-        pages.select(F.col("page_id"), F.col("html"))
-        .where("html is not null")
-        .select(F.xxhash64("page_id", "html").alias("_order"), "html")
-        .orderBy("_order")
-        .limit(fit_pages)
+    keyed = pages.where("html is not null").select(
+        F.xxhash64("page_id", "html").alias("_order"), "html"
     )
+    # Only keys are ordered; there are at most ``fit_pages`` of them to broadcast.
+    keys = keyed.select("_order").orderBy("_order").limit(fit_pages).distinct()
+    chosen = keyed.join(F.broadcast(keys), "_order").select("_order", "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
