@@ -459,3 +459,26 @@ def test_pipeline_keeps_columns_of_any_name(spark, work):
             docs = after
         assert docs.columns == ["doc_id", "size", "source_size", "target", "taken"]
         assert (docs.count() > 0) == bool(table)
+
+
+@pytest.mark.parametrize("rows", [1, 3, 11])
+def test_results_do_not_depend_on_batches(spark, docs, rows):
+    """Groups that run across Arrow batches."""
+    rng = np.random.default_rng(rows)
+    parts = ["".join(rng.choice(list("abcde "), 150)) for _ in range(8)]
+    texts = [(i, "".join(rng.choice(parts, 4))) for i in range(40)]
+    texts += [(i + 50, texts[i][1][:-3] + "xyz") for i in range(20)] + [(80, "xy" * 300), (None, texts[0][1])]
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        table = docs_of(spark, texts)
+        same(substrings_of(table), brute.op10(texts))
+        found = chosenpath.near_duplicates(table, small=4, block=8).collect()
+        assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found if r["doc_id"] is not None} == {
+            d: v for d, v in brute.op8(texts[:-1] + [(99, texts[0][1])]).items() if d != 99
+        }
+        found = linededup.dedup_lines(docs).collect()
+        assert {r["doc_id"]: r["line_dedup"]["n_removed"] for r in found} == {r[0]: r[2] for r in brute.op6(TEXTS)}
+    finally:
+        spark.conf.set(name, before)
