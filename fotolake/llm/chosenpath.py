@@ -199,7 +199,8 @@ def _top(group: np.ndarray, x: int) -> int:
 def met_pairs(sets: DataFrame, similarity: float, recall: float, small: int, depth: int) -> DataFrame:
     """Ties between the sets of ``set, minima, codes`` that meet in a node of some run."""
     n_runs = runs_needed(recall, depth)
-    starts = F.array(*(F.lit(int(v) - (1 << 63)) for v in mix(np.arange(1, n_runs + 1, dtype=np.uint64)).tolist()))
+    names = mix(np.arange(1, n_runs + 1, dtype=np.uint64)).tolist()
+    starts = F.array(*(F.lit(name - (1 << 63)) for name in names))
     nodes = split(sets.select(F.explode(starts).alias("node"), "set", "minima"), similarity)
     buckets = None
     for level in range(1, depth + 1):

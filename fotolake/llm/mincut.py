@@ -327,7 +327,8 @@ def learn_costs(pages: DataFrame, fit_pages: int = FIT_PAGES) -> np.ndarray:
         for batch in batches:
             for order, page in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 blocks, _ = read_blocks(page.as_py())
-                named = [(x, b.named > 0) for x, b in zip(block_features(blocks), blocks, strict=True) if b.named]
+                rows = zip(block_features(blocks), blocks, strict=True)
+                named = [(x, b.named > 0) for x, b in rows if b.named]
                 named = named[:: max(1, len(named) * fit_pages // FIT_BLOCKS)]
                 if named:
                     yield pa.record_batch(
