@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fotolake.llm.common import stored
+
 CHUNK_BYTES = 1 << 20
 DATE = "2024-01-01T00:00:00Z"
 _END = "\r\n\r\n"
@@ -49,6 +51,8 @@ def mark_revisits(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
         .where("_n > 1")
         .select("_digest", "_first")
     )
+    # Written, so that the join is one of two plain shuffles and hot payloads are split.
+    firsts = stored(firsts, "firsts")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("_first")), F.col("_first"))
     return (
         rows.withColumn("_digest", digest)
