@@ -86,7 +86,10 @@ def link_targets(url: Column, html: Column) -> Column:
         html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*(?:canonical|refresh|og:url)[^>]*>)"), 1
     )
     quoted = r"(?i)(?:href|content)\s*=\s*(?:\"|')?\s*(?:[0-9.]+\s*;\s*url\s*=\s*)?'?([^\"'>\s]+)"
-    found = F.transform(tags, lambda tag: F.replace(F.regexp_extract(tag, quoted, 1), F.lit("&amp;"), F.lit("&")))
+    found = F.transform(
+        tags,
+        lambda tag: F.replace(F.regexp_extract(tag, quoted, 1), F.lit("&amp;"), F.lit("&")),
+    )
     scheme = F.concat(F.substring_index(url, "://", 1), F.lit(":"))
     site = F.concat(scheme, F.lit("//"), host_of(url))
     folder = F.concat(site, F.regexp_extract(path_of(url), r"^(.*/)?", 0))
@@ -156,6 +159,7 @@ def judge_urls(pages: DataFrame, edges: DataFrame, rules: list[UrlRule]) -> Data
         .where("blocked and not allowed")
         .select("class", F.lit("block").alias("by_class"))
     )
+    decided = stored(decided, "decided")
     open_rows = judged.where("own is null").join(decided, "class", "left")
     verdict = F.when(F.col("alone"), "allow").otherwise(F.coalesce("by_class", F.lit("allow")))
     columns = ["page_id", "host", "path"]
