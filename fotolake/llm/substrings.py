@@ -93,7 +93,10 @@ def _pieces_of(texts: list, length: int):
     start = window[head]
     digest = xxhash.xxh3_64_intdigest
     body = np.fromiter(
-        (digest(joined[a:b]) for a, b in zip(start.tolist(), (start + width + length - 1).tolist(), strict=True)),
+        (
+            digest(joined[a:b])
+            for a, b in zip(start.tolist(), (start + width + length - 1).tolist(), strict=True)
+        ),
         np.uint64,
         len(start),
     )
@@ -205,13 +208,9 @@ def settle(found: DataFrame) -> DataFrame:
             )
             heads = np.flatnonzero(fresh)
             before = ~new_anchor[heads]
-            if held:
-                before[0] = held[1]
             after = np.append(before[1:], False)
             if held:
-                after[:-1] = ~new_anchor[heads[1:]]
-            else:
-                after[:-1] = before[1:]
+                before[0] = held[1]
             several = before | after
             # Whether the last body has a successor is seen with the next batch.
             last = int(heads[-1])
@@ -440,6 +439,7 @@ def hot_windows(opened: DataFrame, length: int) -> DataFrame:
     windows = opened.mapInArrow(run, _WINDOWS)
     at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
     firsts = windows.groupBy("anchor", "one", "two").agg(F.min(at).alias("first"))
+    firsts = stored(firsts, "firsts")
     start = F.col("place").bitwiseAND((1 << _PLACE_BITS) - 1)
     return (
         windows.join(firsts, ["anchor", "one", "two"])
