@@ -45,9 +45,9 @@ _BLOCK_PIECES = 1 << 19
 _EXPAND_BYTES = 1 << 22
 
 _U = np.uint64
-_PLACE_BITS = 32
 _WIDTH_BITS = _U(8)
-_PIECES = "anchor long, body long, doc_id long, place long, width int, done boolean"
+# A place is a document (doc_id and the 64-bit key of its text) and a start in it.
+_PIECES = "anchor long, body long, doc_id long, key long, start long, width int, done boolean"
 
 
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
@@ -143,38 +143,41 @@ def _combined(found: list) -> Iterator[pa.RecordBatch]:
     missing = np.array([key[0] is None for key in ids])
     doc_id = np.array([key[0] or 0 for key in ids], np.int64)
     key = np.array([key[1] for key in ids], np.int64)
-    place = (key[doc] << _PLACE_BITS) | start
-    order = np.lexsort((place, doc_id[doc], missing[doc], body, anchor))
+    missing, doc_id, key = missing[doc], doc_id[doc], key[doc]
+    order = np.lexsort((start, key, doc_id, missing, body, anchor))
     same = np.zeros(len(order), bool)
     a, b = order[1:], order[:-1]
     same[1:] = (anchor[a] == anchor[b]) & (body[a] == body[b])
     head = np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))
     lead = order[head]
     later = np.zeros(len(order), bool)
-    later[order] = same & (
-        (place[order] != place[lead])
-        | (doc_id[doc[order]] != doc_id[doc[lead]])
-        | (missing[doc[order]] != missing[doc[lead]])
-    )
+    later[order] = same & _other_place((missing, doc_id, key, start), order, lead)
     body = (body & ~_U(0xFF)) | (width.astype(np.uint64) & _U(0xFF))
     # Pieces that are settled need no partner: they are spread by their place.
-    anchor = np.where(later, mix(place.astype(np.uint64) + doc_id[doc].astype(np.uint64)), anchor)
+    spread = mix(key.view(np.uint64) + doc_id.view(np.uint64)) + start.astype(np.uint64)
+    anchor = np.where(later, mix(spread), anchor)
     for i in range(0, len(order), 1 << 17):
         cut = slice(i, i + (1 << 17))
         yield pa.record_batch(
             [
                 pa.array(signed(anchor[cut]), pa.int64()),
                 pa.array(signed(body[cut]), pa.int64()),
-                pa.array(doc_id[doc[cut]], pa.int64(), mask=missing[doc[cut]]),
-                pa.array(place[cut], pa.int64()),
+                pa.array(doc_id[cut], pa.int64(), mask=missing[cut]),
+                pa.array(key[cut], pa.int64()),
+                pa.array(start[cut], pa.int64()),
                 pa.array(width[cut], pa.int32()),
                 pa.array(later[cut]),
             ],
-            names=["anchor", "body", "doc_id", "place", "width", "done"],
+            names=["anchor", "body", "doc_id", "key", "start", "width", "done"],
         )
 
 
-_SETTLED = "doc_id long, place long, width int, anchor long"
+def _other_place(columns: tuple, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether rows ``a`` and ``b`` differ in one of the columns that make a place."""
+    return np.logical_or.reduce([column[a] != column[b] for column in columns])
+
+
+_SETTLED = "doc_id long, key long, start long, width int, anchor long"
 
 
 def settle(found: DataFrame) -> DataFrame:
@@ -187,7 +190,7 @@ def settle(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
         for batch in batches:
-            done = np.asarray(batch.column(5))
+            done = np.asarray(batch.column(6))
             if done.any():
                 yield _settled(batch.filter(pa.array(done)), False)
                 batch = batch.filter(pa.array(~done))
@@ -195,7 +198,7 @@ def settle(found: DataFrame) -> DataFrame:
                 continue
             table = pa.Table.from_batches([*([held[0]] if held else []), batch]).combine_chunks()
             rows = table.to_batches()[0]
-            anchor, body, place = (np.asarray(rows.column(k)) for k in (0, 1, 3))
+            anchor, body, key, start = (np.asarray(rows.column(k)) for k in (0, 1, 3, 4))
             doc_id = np.asarray(rows.column(2).fill_null(0))
             missing = np.asarray(rows.column(2).is_null())
             new_anchor = np.ones(len(anchor), bool)
@@ -203,9 +206,7 @@ def settle(found: DataFrame) -> DataFrame:
             fresh = new_anchor.copy()
             fresh[1:] |= body[1:] != body[:-1]
             head = np.maximum.accumulate(np.where(fresh, np.arange(len(anchor)), 0))
-            later = ~fresh & (
-                (place != place[head]) | (doc_id != doc_id[head]) | (missing != missing[head])
-            )
+            later = ~fresh & _other_place((missing, doc_id, key, start), np.arange(len(head)), head)
             heads = np.flatnonzero(fresh)
             before = ~new_anchor[heads]
             after = np.append(before[1:], False)
@@ -224,7 +225,7 @@ def settle(found: DataFrame) -> DataFrame:
             yield _settled(held[0], True)
 
     dealt = found.repartition("anchor").sortWithinPartitions(
-        "anchor", "body", F.col("doc_id").asc_nulls_last(), "place"
+        "anchor", "body", F.col("doc_id").asc_nulls_last(), "key", "start"
     )
     return dealt.mapInArrow(run, _SETTLED)
 
@@ -232,32 +233,32 @@ def settle(found: DataFrame) -> DataFrame:
 def _settled(rows: pa.RecordBatch, is_open: bool) -> pa.RecordBatch:
     anchor = rows.column(0) if is_open else pa.nulls(rows.num_rows, pa.int64())
     return pa.record_batch(
-        [rows.column(2), rows.column(3), rows.column(4), anchor],
-        names=["doc_id", "place", "width", "anchor"],
+        [*(rows.column(k) for k in (2, 3, 4, 5)), anchor],
+        names=["doc_id", "key", "start", "width", "anchor"],
     )
 
 
-_OPEN = "anchor long, doc_id long, place long, width int, body binary"
+_OPEN = "anchor long, doc_id long, key long, start long, width int, body binary"
 
 
 def open_bodies(docs: DataFrame, settled: DataFrame, length: int) -> DataFrame:
     """The bytes of the pieces that have to be compared."""
     own = (
         settled.where("anchor is not null")
-        .groupBy("doc_id", F.shiftright("place", _PLACE_BITS).alias("key"))
-        .agg(F.collect_list(F.struct("anchor", "place", "width")).alias("open"))
+        .groupBy("doc_id", "key")
+        .agg(F.collect_list(F.struct("anchor", "start", "width")).alias("open"))
     )
-    joined = _join_docs(docs, own, "inner").select("doc_id", "packed", "open")
+    joined = _join_docs(docs, own, "inner").select("doc_id", "key", "packed", "open")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for doc_id, text, found in zip(*(batch.column(k) for k in range(3)), strict=True):
-                data = unpack(text.as_py())
+            for doc_id, key, text, found in zip(*(batch.column(k) for k in range(4)), strict=True):
+                data, own = unpack(text.as_py()), {"doc_id": doc_id.as_py(), "key": key.as_py()}
                 for piece in found.as_py():
-                    start = piece["place"] & ((1 << _PLACE_BITS) - 1)
+                    start = piece["start"]
                     body = data[start : start + piece["width"] + length - 1]
-                    rows.append({**piece, "doc_id": doc_id.as_py(), "body": body})
+                    rows.append({**piece, **own, "body": body})
                     size += len(body)
                 if size > 1 << 24:
                     yield pa.RecordBatch.from_pylist(rows, _OPEN_TYPE)
@@ -273,7 +274,8 @@ _OPEN_TYPE = pa.schema(
     [
         ("anchor", pa.int64()),
         ("doc_id", pa.int64()),
-        ("place", pa.int64()),
+        ("key", pa.int64()),
+        ("start", pa.int64()),
         ("width", pa.int32()),
         ("body", pa.binary()),
     ]
@@ -364,7 +366,7 @@ def _anchor_parts(table: pa.Table) -> Iterator[pa.RecordBatch]:
 
 def _expanded(table: pa.Table, length: int) -> pa.RecordBatch:
     rows = table.to_batches()[0]
-    bodies = bytes_of(rows.column(4))
+    bodies = bytes_of(rows.column(5))
     data = np.frombuffer(b"".join(bodies), np.uint8)
     size = np.array([len(body) for body in bodies])
     width = size - length + 1
@@ -372,34 +374,31 @@ def _expanded(table: pa.Table, length: int) -> pa.RecordBatch:
     piece = np.repeat(np.arange(len(size)), width)
     offset = np.arange(len(piece)) - np.repeat(np.cumsum(width) - width, width)
     group = last_intervals(data, first[piece] + offset, length)
-    place = np.asarray(rows.column(2))[piece] + offset
+    start = np.asarray(rows.column(3))[piece] + offset
+    key = np.asarray(rows.column(2))[piece]
     doc_id = np.asarray(rows.column(1).fill_null(0))[piece]
     missing = np.asarray(rows.column(1).is_null())[piece]
+    place = missing, doc_id, key, start
     inside = np.flatnonzero(group >= 0)
-    order = inside[np.lexsort((place[inside], doc_id[inside], missing[inside], group[inside]))]
+    order = inside[np.lexsort((*(column[inside] for column in place[::-1]), group[inside]))]
     fresh = np.ones(len(order), bool)
     fresh[1:] = group[order[1:]] != group[order[:-1]]
     lead = order[np.maximum.accumulate(np.where(fresh, np.arange(len(order)), 0))] if len(order) else order
-    later = order[
-        (place[order] != place[lead])
-        | (doc_id[order] != doc_id[lead])
-        | (missing[order] != missing[lead])
-    ]
-    return _runs(np.sort(later), piece, place, doc_id, missing, length)
+    later = order[_other_place(place, order, lead)]
+    return _runs(np.sort(later), piece, place, length)
 
 
-def _runs(windows, piece, place, doc_id, missing, length) -> pa.RecordBatch:
+def _runs(windows, piece, place, length) -> pa.RecordBatch:
     """Consecutive removed windows of a piece as one span."""
     fresh = np.ones(len(windows), bool)
     fresh[1:] = (windows[1:] != windows[:-1] + 1) | (piece[windows[1:]] != piece[windows[:-1]])
     head = np.flatnonzero(fresh)
     n = np.diff(head, append=len(windows))
-    first = windows[head]
-    start = place[first] & ((1 << _PLACE_BITS) - 1)
+    missing, doc_id, key, start = (column[windows[head]] for column in place)
     return pa.record_batch(
         [
-            pa.array(doc_id[first], pa.int64(), mask=missing[first]),
-            pa.array(place[first] >> _PLACE_BITS, pa.int64()),
+            pa.array(doc_id, pa.int64(), mask=missing),
+            pa.array(key, pa.int64()),
             pa.array(start, pa.int64()),
             pa.array(start + n + length - 1, pa.int64()),
         ],
@@ -407,7 +406,7 @@ def _runs(windows, piece, place, doc_id, missing, length) -> pa.RecordBatch:
     )
 
 
-_WINDOWS = "anchor long, one long, two long, doc_id long, place long"
+_WINDOWS = "anchor long, one long, two long, doc_id long, key long, start long"
 
 
 def hot_windows(opened: DataFrame, length: int) -> DataFrame:
@@ -416,7 +415,7 @@ def hot_windows(opened: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, hashes, offset = [], [], []
-            for i, body in enumerate(bytes_of(batch.column(4))):
+            for i, body in enumerate(bytes_of(batch.column(5))):
                 for k in range(len(body) - length + 1):
                     row.append(i)
                     offset.append(k)
@@ -424,44 +423,38 @@ def hot_windows(opened: DataFrame, length: int) -> DataFrame:
             if not row:
                 continue
             both = np.frombuffer(b"".join(hashes), np.int64).reshape(-1, 2)
-            place = np.asarray(batch.column(2))[row] + np.array(offset)
+            start = np.asarray(batch.column(3))[row] + np.array(offset)
             yield pa.record_batch(
                 [
                     batch.column(0).take(pa.array(row)),
                     pa.array(both[:, 0].copy()),
                     pa.array(both[:, 1].copy()),
                     batch.column(1).take(pa.array(row)),
-                    pa.array(place, pa.int64()),
+                    batch.column(2).take(pa.array(row)),
+                    pa.array(start, pa.int64()),
                 ],
-                names=["anchor", "one", "two", "doc_id", "place"],
+                names=["anchor", "one", "two", "doc_id", "key", "start"],
             )
 
     windows = opened.mapInArrow(run, _WINDOWS)
-    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "place")
+    at = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "start")
     firsts = windows.groupBy("anchor", "one", "two").agg(F.min(at).alias("first"))
     firsts = stored(firsts, "firsts")
-    start = F.col("place").bitwiseAND((1 << _PLACE_BITS) - 1)
     return (
         windows.join(firsts, ["anchor", "one", "two"])
         .where(~at.eqNullSafe(F.col("first")))
-        .select(
-            "doc_id",
-            F.shiftright("place", _PLACE_BITS).alias("key"),
-            start.alias("start"),
-            (start + length).alias("end"),
-        )
+        .select("doc_id", "key", "start", (F.col("start") + length).alias("end"))
     )
 
 
 def removed_spans(docs: DataFrame, length: int = LENGTH, hot_pieces: int = HOT_PIECES) -> DataFrame:
     """doc_id, key, start, end of byte spans to remove; spans may overlap. ``docs`` is keyed."""
     settled = stored(settle(pieces(docs, length)), "settled")
-    start = F.col("place").bitwiseAND((1 << _PLACE_BITS) - 1)
     whole = settled.where("anchor is null").select(
         "doc_id",
-        F.shiftright("place", _PLACE_BITS).alias("key"),
-        start.alias("start"),
-        (start + F.col("width") + (length - 1)).alias("end"),
+        "key",
+        "start",
+        (F.col("start") + F.col("width") + (length - 1)).alias("end"),
     )
     hot = (
         settled.where("anchor is not null")
@@ -517,7 +510,7 @@ def _kept_texts(with_text: bool):
 
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, key, row, n_bytes, text (bytes): key tells texts of one doc_id apart."""
-    key = F.xxhash64(F.col("text").cast("binary")).bitwiseAND(0x7FFFFFFF)
+    key = F.xxhash64(F.col("text").cast("binary"))
     doc_id = F.col("doc_id").cast("long")
     return docs.select(
         doc_id.alias("doc_id"),

@@ -1,7 +1,10 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
+import hashlib
+
 import numpy as np
 import pytest
+import xxhash
 from fotolake.llm import (
     chat,
     chosenpath,
@@ -96,6 +99,35 @@ def test_substrings_without_id_and_repeated(spark):
     ]
 
 
+def texts_of_one_short_key(bits=31):
+    """Two texts of one size that share their end only, whose hashes agree in their low bits."""
+    seen = {}
+    for i in range(1 << 20):
+        text = hashlib.sha512(str(i).encode()).hexdigest() + LINES
+        key = xxhash.xxh64_intdigest(text.encode(), seed=42) & ((1 << bits) - 1)
+        if key in seen:
+            return seen[key], text
+        seen[key] = text
+
+
+@pytest.mark.parametrize("hot_pieces", [substrings.HOT_PIECES, 1])
+def test_substrings_of_texts_without_id_whose_short_keys_agree(spark, hot_pieces):
+    one, other = texts_of_one_short_key()
+
+    def removed(texts):
+        found = substrings_of(docs_of(spark, texts), hot_pieces=hot_pieces)
+        return sorted((r["doc_id"] or 0, r["n_removed"]) for r in found)
+
+    # The shared end starts at the same place of both, and goes from one of them.
+    n = len(LINES)
+    assert removed([(None, one), (None, other)]) == [(0, 0), (0, n)]
+    assert removed([(7, one), (7, other)]) == [(7, 0), (7, n)]
+    # What only one of them repeats goes from this one.
+    head, ends = one[:120] + "!", "?" + LINES
+    assert removed([(1, head), (2, ends), (None, one), (None, other)]) == [(0, n), (0, n + 120), (1, 0), (2, 0)]
+    assert removed([(1, one), (None, one), (None, other)]) == [(0, n), (0, len(one)), (1, 0)]
+
+
 def test_last_intervals_name_equal_windows():
     data = np.frombuffer(b"abcabcabcxabcabc", np.uint8)
     windows = np.arange(len(data) - 5)
