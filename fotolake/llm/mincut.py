@@ -9,7 +9,10 @@ The minimum cut, found by maximum flow, is the cheapest labelling.
 The classifier is a logistic regression on what a block looks like (length, links, marks,
 place), fitted on blocks of a bounded sample of pages whose markup names them: inside an
 article or main element, or inside navigation, footers, notices and the like. Where a block
-has such a name itself, that adds to its costs.
+has such a name itself, that adds to its costs; looks and neighbours can outvote it. Names
+are whole class tokens, ids and roles. A form that holds most of a page's text is its
+wrapper and says nothing, and an article or main element below a form or a named wrapper
+starts afresh.
 
 Defined results: null and empty html, and pages without content blocks, give an empty text;
 markup that is cut off or never closed is read as far as it goes; repeated rows are read
@@ -32,7 +35,9 @@ from pyspark.sql import functions as F
 FIT_PAGES = 2_000
 FIT_BLOCKS = 100_000
 
-NAMED_COST = 6.0
+# Below what looks alone can reach, above what all edges of a block sum to.
+NAMED_COST = 4.0
+LOOKS_COST = 6.0
 NEIGHBOUR_COST = 0.6
 CONTAINER_COST = 0.4
 
@@ -46,7 +51,7 @@ _TOKEN = re.compile(
     re.S | re.I,
 )
 _NAME = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_WORDS = re.compile(r"[a-z]+")
+_COUNTED = re.compile(r"[-_]*\d+\Z")
 
 _CONTAINERS = frozenset(
     "html body main article section div nav header footer aside form ul ol dl table tbody thead "
@@ -57,56 +62,72 @@ _BLOCKS = _CONTAINERS | frozenset(
     "head center".split()
 )
 # What elements and names say about the text below them.
-_BOILER_TAGS = frozenset("nav footer aside form menu dialog fieldset head".split())
+_BOILER_TAGS = frozenset("nav footer aside menu dialog fieldset head".split())
 _CONTENT_TAGS = frozenset("article main".split())
 _BOILER_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising sponsor sponsored promo banner nav navbar "
     "navigation menu menubar breadcrumb breadcrumbs header masthead footer sidebar aside widget "
     "cookie cookies consent notice notices alert popup modal overlay dialog subscribe newsletter "
     "signup login form search share sharing social related recommended comment comments reply "
-    "replies disqus respond complementary contentinfo pagination pager toolbar skip".split()
+    "replies disqus respond complementary contentinfo pagination pager toolbar skip "
+    "nav-bar main-nav site-nav site-navigation main-navigation site-header page-header site-footer "
+    "page-footer side-bar cookie-banner cookie-notice comment-list comments-area related-posts "
+    "share-buttons social-links".split()
+)
+# Articles below these are other texts: comments and teasers.
+_OTHERS_NAMES = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored promo nav navbar navigation "
+    "footer sidebar side-bar aside widget related recommended comment comments reply replies disqus "
+    "respond complementary comment-list comments-area related-posts".split()
+)
+_CONTENT_NAMES = frozenset(
+    "article content post entry story main body text article-body article-content entry-content "
+    "main-content post-body post-content story-body".split()
 )
-_CONTENT_NAMES = frozenset("article content post entry story main body text".split())
 
 
 class _Block:
-    __slots__ = ("text", "parent", "named", "links", "tag")
+    __slots__ = ("text", "parent", "named", "links", "tag", "form")
 
-    def __init__(self, text, parent, named, links, tag):
+    def __init__(self, text, parent, named, links, tag, form):
         self.text, self.parent, self.named, self.links, self.tag = text, parent, named, links, tag
+        self.form = form
 
 
-def _named(tag: str, attributes: str, inherited: int, in_article: bool) -> int:
-    """1 for content, -1 for boilerplate, else what the element around says."""
+def _named(tag: str, attributes: str, inherited: int, in_article: bool, others: bool) -> tuple[int, bool]:
+    """1 for content, -1 for boilerplate, else what the element around says; whether articles
+    below are other texts."""
     if tag in _BOILER_TAGS:
-        return -1
+        return -1, True
     if tag == "header":
         # The head of an article is part of it.
-        return inherited if in_article else -1
+        return (inherited, others) if in_article else (-1, True)
     if tag in _CONTENT_TAGS:
         # Comments are often articles within a list of comments.
-        return -1 if inherited < 0 else 1
+        return (-1, others) if inherited < 0 and (others or in_article) else (1, False)
     if attributes:
         tokens = {
-            word
+            _COUNTED.sub("", token)
             for match in _NAME.finditer(attributes)
-            for word in _WORDS.findall((match[1] or match[2] or match[3] or "").lower())
+            for token in (match[1] or match[2] or match[3] or "").lower().split()
         }
         if in_article:
             tokens -= {"header"}
         if tokens & _BOILER_NAMES and tag not in ("html", "body"):
-            return -1
+            return -1, others or bool(tokens & _OTHERS_NAMES)
         if tokens & _CONTENT_NAMES and inherited >= 0 and tag not in ("html", "body"):
-            return 1
-    return inherited
+            return 1, others
+    return inherited, others
 
 
 def read_blocks(page: str) -> tuple[list[_Block], list[int]]:
     """Blocks in page order, and for each container the number of the one around it."""
     blocks: list[_Block] = []
     around = [-1]
-    # Name of the element, its container, what names say, whether inside an article.
-    stack = [("", 0, 0, False)]
+    # Name of the element, its container, what names say, whether inside an article, whether
+    # articles are other texts, number of the form around.
+    stack = [("", 0, 0, False, False, -1)]
+    n_forms = 0
     pieces: list[str] = []
     linked: list[int] = [0]
     in_link, tag_now, at = 0, "", 0
@@ -115,7 +136,8 @@ def read_blocks(page: str) -> tuple[list[_Block], list[int]]:
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                blocks.append(_Block(text, stack[-1][1], stack[-1][2], min(linked[0], len(text)), tag_now))
+                _, container, named, _, _, form = stack[-1]
+                blocks.append(_Block(text, container, named, min(linked[0], len(text)), tag_now, form))
             pieces.clear()
         linked[0] = 0
 
@@ -150,13 +172,17 @@ def read_blocks(page: str) -> tuple[list[_Block], list[int]]:
                 if depth:
                     del stack[depth:]
             elif not match[4].endswith("/"):
-                _, container, inherited, in_article = stack[-1]
+                _, container, inherited, in_article, others, form = stack[-1]
                 around.append(container)
-                own = _named(tag, match[4], inherited, in_article)
+                own, others = _named(tag, match[4], inherited, in_article, others)
                 inside = in_article or tag in _CONTENT_TAGS
-                stack.append((tag, len(around) - 1, own, inside))
+                if tag == "form" and form < 0:
+                    form, n_forms = n_forms, n_forms + 1
+                elif tag in _CONTENT_TAGS and own > 0:
+                    form = -1
+                stack.append((tag, len(around) - 1, own, inside, others, form))
         elif match[4] and not closing:
-            own = _named(tag, match[4], stack[-1][2], stack[-1][3])
+            own, _ = _named(tag, match[4], *stack[-1][2:5])
             if own != stack[-1][2]:
                 # A named paragraph is a container of itself, up to the next block.
                 tag_now = f"{tag}:{own}"
@@ -166,6 +192,15 @@ def read_blocks(page: str) -> tuple[list[_Block], list[int]]:
         if ":" in block.tag:
             block.tag, own = block.tag.split(":")
             block.named = int(own)
+    total, inside = 0, [0] * n_forms
+    for block in blocks:
+        total += len(block.text)
+        if block.form >= 0:
+            inside[block.form] += len(block.text)
+    for block in blocks:
+        # A form that holds most of the text is a wrapper of the page.
+        if block.form >= 0 and 2 * inside[block.form] <= total:
+            block.named = -1
     return blocks, around
 
 
@@ -275,8 +310,8 @@ def label_blocks(blocks: list[_Block], around: list[int], weights: np.ndarray) -
     """Whether each block is content, by the minimum cut."""
     if not blocks:
         return []
-    # Bounded, so that what the markup says outweighs the looks.
-    score = np.clip(block_features(blocks) @ weights, -4, 4)
+    # Bounded, so that neither looks nor names decide alone.
+    score = np.clip(block_features(blocks) @ weights, -LOOKS_COST, LOOKS_COST)
     as_boiler = np.log1p(np.exp(score))
     as_content = np.log1p(np.exp(-score))
     named = np.array([block.named for block in blocks])

@@ -416,6 +416,36 @@ def test_main_text_of_odd_pages(spark):
     assert mincut.main_texts(empty, mincut.learn_costs(empty)).collect() == []
 
 
+def test_main_text_below_wrappers():
+    weights = np.zeros(mincut.FEATURES)
+    article = "<h1>head</h1><p>one two three</p>"
+    cases = {
+        f"<body><form action='./'><div><nav>m</nav><main>{article}</main></div></form></body>": "head\none two three",
+        f"<form><nav>m</nav><div class='content'>{article}</div><footer>z</footer></form>": "head\none two three",
+        f"<div class='search'><article>{article}</article></div>": "head\none two three",
+        f"<div class='page has-sidebar with-header'><div id='main'>{article}</div></div>": "head\none two three",
+        f"<article class='share-enabled'>{article}</article><form><p>send</p></form>": "head\none two three",
+        # Comments and teasers are not the article.
+        f"<main>{article}</main><div class='comments'><article>me too</article></div>": "head\none two three",
+        f"<main>{article}</main><div id='sidebar-2'><article>teaser</article></div>": "head\none two three",
+    }
+    for page, text in cases.items():
+        assert mincut.extract(page, weights) == text
+
+
+def test_looks_outvote_a_name():
+    """A list of links in an article goes, prose in a named wrapper stays."""
+    # Links speak against content, marks for it.
+    weights = np.zeros(mincut.FEATURES)
+    weights[3], weights[4] = -9.0, 9.0
+    links = "".join(f"<li><a href='{i}'>link {i}</a></li>" for i in range(4))
+    prose = "<p>" + "Words, and more words; " * 9 + "end.</p>"
+    page = f"<article><p>in</p>{prose}<ul>{links}</ul></article>"
+    text = mincut.extract(page, weights)
+    assert "link" not in text and text.startswith("in\nWords")
+    assert mincut.extract(f"<div class='banner'>{prose}</div>", weights).startswith("Words")
+
+
 def test_cut_is_the_cheapest_labelling():
     """Against all labellings of small pages."""
     import itertools
