@@ -492,6 +492,48 @@ def test_preferences(spark):
     assert chat.preference_rows(empty, empty).collect() == []
 
 
+def test_preferences_of_rows_without_id(spark):
+    """Each is a pair of its own, also where all of them have one turn or none."""
+    ddl = "pair_id long, turn long, role string, text string"
+    both = [(None, 0, "user", "a"), (None, 0, "assistant", "b"), (None, 0, "user", "a"), (None, None, None, None)]
+    chosen = both + [(None, 0, "assistant", "c")]
+    rejected = both + [(None, 0, "user", "a")]
+    found = chat.preference_rows(spark.createDataFrame(chosen, ddl), spark.createDataFrame(rejected, ddl))
+    a, b, c = ("<|user|>\na<|end|>\n", "<|assistant|>\nb<|end|>\n", "<|assistant|>\nc<|end|>\n")
+    none = "<||>\n<|end|>\n"
+    same(
+        found.collect(),
+        [(None, "prompt", 0, a, len(a), len(a), len(a), True)] * 2
+        + [(None, "prompt", 0, b, len(b), len(b), len(b), True)]
+        + [(None, "prompt", None, none, len(none), len(none), len(none), True)]
+        + [(None, "chosen", 0, c, len(c), len("<|assistant|>\n"), len(c), False)]
+        + [(None, "rejected", 0, a, len(a), len(a), len(a), False)],
+    )
+
+
+def test_preferences_of_large_turns_row_by_row(spark):
+    ddl = "pair_id long, turn long, role string, text string"
+    start = [(1, 0, "user", f"u{i:02}") for i in range(30)] + [(2, 0, "user", "x")]
+    chosen = start + [(1, 1, r, f"{t}{i:02}") for r, t in (("user", "q"), ("assistant", "y")) for i in range(30)]
+    rejected = start + start[:5] + [(1, 1, "assistant", f"n{i:02}") for i in range(30)] + [(2, 1, "assistant", "z")]
+    tables = [spark.createDataFrame(rows, ddl) for rows in (chosen, rejected)]
+    whole = chat.preference_rows(*tables).collect()
+    found = chat.preference_rows(*tables, large_turn=40).collect()
+    assert len(found) == 30 + 60 + 30 + 2 and len(whole) == 3 + 2
+
+    def joined(rows):
+        texts = {}
+        for r in sorted(rows, key=lambda r: r["text"]):
+            key = r["pair_id"], r["part"], r["turn"], r["complete"]
+            texts[key] = texts.get(key, "") + r["text"]
+        return texts
+
+    assert joined(found) == joined(whole)
+    for r in found:
+        own = r["part"] != "prompt" and r["text"].startswith("<|assistant|>")
+        assert (r["loss_start"] == len("<|assistant|>\n")) if own else (r["loss_start"] == r["loss_end"])
+
+
 def test_swapped_answers(spark):
     rows = [(0, 0, "user", "a"), (0, 1, "assistant", "b"), (1, 0, "user", "c"), (1, 1, "assistant", "d"),
             (4, 0, "user", "e"), (None, 0, "user", "n")]
