@@ -59,6 +59,8 @@ SMALL = 256
 DEPTH = 3
 # Sets of one block when a group is compared exactly.
 BLOCK = 512
+# Shingles of one block on average: 64 MB of hashes.
+BLOCK_SHINGLES = 1 << 23
 # Met pairs go on from this estimated similarity: four standard deviations below the bound.
 _MARGIN = 0.14
 
@@ -237,16 +239,23 @@ _MEMBERS = "bucket long, cross boolean, side int, set long, copies long, shingle
 _LINKS = "a long, b long, links long"
 
 
-def exact_links(docs: DataFrame, members: DataFrame, similarity: float, size: int, block: int):
-    """Links by the shingle sets themselves, within the groups of ``group, set, row, copies``.
+def exact_links(
+    docs: DataFrame, members: DataFrame, similarity: float, size: int, block: int, block_shingles: int
+):
+    """Links by the shingle sets themselves, within the groups of ``group, set, row, copies, n``.
 
     Returns rows ``a, b, links``: parts of the number of documents that a's set is linked to,
     and b, a linked set that leads to all others of its class in this comparison, or a itself.
     """
-    sizes = stored(members.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "sizes")
+    sizes = members.groupBy("group").agg(
+        F.count(F.lit(1)).alias("size"), F.sum("n").alias("shingles")
+    )
+    sizes = stored(sizes, "sizes")
+    # Blocks are bounded by their sets and by the bytes of these.
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.ceil(F.col("shingles") / block_shingles))
     dealt = (
         members.join(sizes, "group")
-        .withColumn("_n", F.ceil(F.col("size") / block).cast("int"))
+        .withColumn("_n", F.least(blocks, F.col("size")).cast("int"))
         .withColumn("_block", F.pmod(F.xxhash64("set", F.lit(2)), F.col("_n")).cast("int"))
         .select("row", "set", "copies", "group", "_n", "_block")
     )
@@ -276,25 +285,29 @@ def exact_links(docs: DataFrame, members: DataFrame, similarity: float, size: in
                 yield _member_batch(rows)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_keys(batches, ["bucket"]):
-            rows = table.to_batches()[0]
-            bucket = np.asarray(rows.column(0))
-            ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
-            first, out = 0, []
-            for end in ends.tolist():
-                if end - first > 1:
-                    out.append(_compared(rows.slice(first, end - first), similarity))
-                first = end
-            if out:
-                a, b, links = (np.concatenate([part[k] for part in out]) for k in range(3))
-                yield pa.record_batch(
-                    [pa.array(a), pa.array(b), pa.array(links, pa.int64())], names=["a", "b", "links"]
-                )
+        yield from compared_buckets(whole_keys(batches, ["bucket"]), similarity)
 
     cut_rows = joined.mapInArrow(cut, _MEMBERS).repartition("bucket")
     return cut_rows.sortWithinPartitions("bucket", "set").mapInArrow(compare, _LINKS)
 
 
+def compared_buckets(tables: Iterator[pa.Table], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Links of all buckets of tables that hold whole buckets, in any number of chunks."""
+    for table in tables:
+        bucket = table.column("bucket").to_numpy()
+        ends = np.append(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket))
+        first, out = 0, []
+        for end in ends.tolist():
+            if end - first > 1:
+                out.append(_compared(table.slice(first, end - first), similarity))
+            first = end
+        if out:
+            a, b, links = (np.concatenate([part[k] for part in out]) for k in range(3))
+            yield pa.record_batch(
+                [pa.array(a), pa.array(b), pa.array(links, pa.int64())], names=["a", "b", "links"]
+            )
+
+
 def _member_batch(rows: list) -> pa.RecordBatch:
     columns = list(zip(*rows, strict=True))
     kinds = (pa.int64(), pa.bool_(), pa.int32(), pa.int64(), pa.int64(), pa.binary())
@@ -304,14 +317,15 @@ def _member_batch(rows: list) -> pa.RecordBatch:
     )
 
 
-def _compared(rows: pa.RecordBatch, similarity: float):
+def _compared(rows: pa.Table, similarity: float):
     """Exact links among the members of one bucket, as (set, tie, number of linked documents)."""
-    names = np.asarray(rows.column(3))
+    names = rows.column(3).to_numpy()
     # A document that is there twice brings its set twice.
     keep = np.flatnonzero(np.append(True, names[1:] != names[:-1]))
-    names, side = names[keep], np.asarray(rows.column(2))[keep]
-    copies = np.asarray(rows.column(4))[keep]
-    data = bytes_of(rows.column(5))
+    names, side = names[keep], rows.column(2).to_numpy()[keep]
+    copies = rows.column(4).to_numpy()[keep]
+    # More than 2 GiB of shingles are several chunks.
+    data = [value for chunk in rows.column(5).chunks for value in bytes_of(chunk)]
     sets = [np.frombuffer(data[i], np.uint64) for i in keep.tolist()]
     sizes = np.array([len(own) for own in sets])
     m = len(sets)
@@ -353,6 +367,7 @@ def near_duplicates(
     small: int = SMALL,
     depth: int = DEPTH,
     block: int = BLOCK,
+    block_shingles: int = BLOCK_SHINGLES,
 ) -> DataFrame:
     """One row per document: doc_id, row (``row_key``), class_id, class_row, n_links.
 
@@ -367,18 +382,19 @@ def near_duplicates(
         .agg(
             F.min(first).alias("first"),
             F.count(F.lit(1)).alias("copies"),
+            F.first("n").alias("n"),
             F.first("minima").alias("minima"),
         )
     )
     sets = stored(sets.withColumn("codes", _low_bytes(F.col("minima"))), "distinct")
     groups = components(met_pairs(sets, similarity, recall, small, depth))
     members = stored(
-        groups.join(sets.select("set", "first", "copies"), groups["node"] == sets["set"]).select(
-            F.col("root").alias("group"), "set", F.col("first.row").alias("row"), "copies"
+        groups.join(sets.select("set", "first", "copies", "n"), groups["node"] == sets["set"]).select(
+            F.col("root").alias("group"), "set", F.col("first.row").alias("row"), "copies", "n"
         ),
         "members",
     )
-    links = stored(exact_links(docs, members, similarity, size, block), "links")
+    links = stored(exact_links(docs, members, similarity, size, block, block_shingles), "links")
     roots = components(links.select("a", "b"))
     numbers = links.groupBy(F.col("a").alias("set")).agg(F.sum("links").alias("links"))
     named = (

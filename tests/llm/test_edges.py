@@ -3,6 +3,7 @@
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from fotolake.llm import (
@@ -161,6 +162,21 @@ def test_chosen_path_in_crowded_nodes_and_blocks(spark):
     assert {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found} == brute.op8(texts)
 
 
+def test_chosen_path_compares_all_chunks_of_a_bucket(spark):
+    """Sets of over 2 GiB come in several chunks; blocks are bounded by bytes as well."""
+    shingles = np.arange(100, dtype=np.uint64)
+    rows = [(bucket, False, 0, name, 1, shingles.tobytes()) for bucket in (7, 8) for name in range(6)]
+    parts = [chosenpath._member_batch(rows[i : i + 4]) for i in (0, 4, 8)]
+    found = list(chosenpath.compared_buckets(iter([pa.Table.from_batches(parts)]), 0.8))
+    assert [r for part in found for r in part.to_pylist()] == [
+        {"a": name, "b": 0, "links": 5} for _ in (7, 8) for name in range(6)
+    ]
+    texts = [(i, " ".join(f"w{k}" for k in range(200)) + f" end{i}") for i in range(40)]
+    found = chosenpath.near_duplicates(docs_of(spark, texts), block_shingles=1000).collect()
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in found}
+    assert got == brute.op8(texts)
+
+
 def test_chosen_path_copies_and_missing_ids(spark):
     texts = [(None, LINES), (3, LINES), (3, LINES), (4, LINES.upper()), (None, None)]
     found = chosenpath.near_duplicates(docs_of(spark, texts)).collect()
