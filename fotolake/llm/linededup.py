@@ -3,9 +3,10 @@
 A line is a stretch between line feeds that is not blank, compared without white space at
 its ends. From each line runs a window: the shortest run of lines that has ``min_lines``
 lines or ``min_words`` words. The smallest line hash of a window is its fingerprint, so two
-equal windows always share one. Fingerprints that occur once are dropped; for the others
-positions are joined and extended both ways, window by window, to the earliest place that
-holds the same lines. Lines in a window that also starts earlier (smaller doc_id, or the
+equal windows always share one. Fingerprints that occur once are dropped; the windows of the
+others are grouped by the hash of all their lines. This takes the place of joining positions
+and extending matches: every window of a longer match is a window itself, so the groups cover
+the same lines, without pairs of places of a common fingerprint. Lines in a window that also starts earlier (smaller doc_id, or the
 same document further up) are deleted.
 
 Defined results: null and empty texts stay as they are; documents without id come last, in
