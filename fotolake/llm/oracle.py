@@ -273,3 +273,78 @@ select doc_id, length(h) // 2 as n_bytes, cast(coalesce(n_removed, 0) as bigint)
        coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(k, ''))) as kept_sha256
 from docs left join kept using (doc_id) left join numbers using (doc_id)
 """
+
+
+def _merkle_sql(source_levels: int = 6, top_levels: int = 5) -> str:
+    """Levels one by one: enough for 16 ** 6 leaves of a source and 16 ** 5 sources."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+    def leaf(text):
+        fields = ["doc_id", "source", "lang", "n_chars", text]
+        parts = (f"coalesce(strlen({f}::varchar) || ':' || {f}::varchar, '-')" for f in fields)
+        return f"sha256({' || '.join(parts)})"
+
+    ctes = [
+        """bits(i, k, c) as (select i, 0, i from range(256) t(i) union all
+             select i, k + 1, case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end
+             from bits where k < 8)""",
+        "crc(t) as (select list(c order by i) from bits where k = 8)",
+        f"""docs as (select doc_id, source, {leaf("text")} as leaf,
+             case when xor(list_reduce(list_prepend(4294967295, list_transform(
+                    string_split(doc_id::varchar, ''), lambda ch: ascii(ch)::bigint)),
+                    lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295) % 5 = 0
+               then {leaf(f"translate(text, '{upper}', '{lower}')")} end as changed
+             from documents, crc)""",
+        """rows_ as (select doc_id, leaf, coalesce(changed, leaf) as used,
+             dense_rank() over (order by source nulls first) - 1 as tree,
+             row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as idx,
+             count(*) over (partition by source) as n from docs)""",
+        "s0 as (select tree, idx, n, leaf as digest from rows_)",
+    ]
+
+    def climb(name, levels):
+        for k in range(levels):
+            ctes.append(
+                f"{name}g{k} as (select tree, idx // 16 as run, max(n) as n, "
+                f"list(digest order by idx) as d from {name}{k} where n > 1 group by all)"
+            )
+            ctes.append(
+                f"{name}{k + 1} as (select tree, run as idx, (n + 15) // 16 as n, "
+                f"sha256(array_to_string(d, '')) as digest from {name}g{k})"
+            )
+
+    climb("s", source_levels)
+    last = " union all ".join(
+        f"select tree, digest from s{k} where n = 1" for k in range(source_levels + 1)
+    )
+    ctes.append(f"subroots as ({last})")
+    ctes.append(
+        "t0 as (select -1 as tree, tree as idx, count(*) over () as n, digest from subroots)"
+    )
+    climb("t", top_levels)
+    last = " union all ".join(f"select digest from t{k} where n = 1" for k in range(top_levels + 1))
+    ctes.append(f"root as ({last})")
+    ctes.append("p0 as (select *, '' as proof, used as folded from rows_)")
+    steps = [("s", k, "p.tree", "p.idx") for k in range(source_levels)]
+    steps += [("t", k, "-1", "p.tree") for k in range(top_levels)]
+    for i, (name, k, tree, idx) in enumerate(steps):
+        at = f"({idx} // {16**k}) % 16"
+        left = f"array_to_string(d[1 : {at}], '')"
+        right = f"array_to_string(d[{at} + 2 : 16], '')"
+        ctes.append(
+            f"p{i + 1} as (select p.* replace ("
+            f"proof || case when d is null then '' else {left} || {right} end as proof, "
+            f"case when d is null then folded else sha256({left} || folded || {right}) end as folded) "
+            f"from p{i} p left join {name}g{k} g on g.tree = {tree} and g.run = {idx} // {16 ** (k + 1)})"
+        )
+    return (
+        "with recursive "
+        + ",\n".join(ctes)
+        + f"""
+select doc_id, leaf, s.digest as subroot, root.digest as root, sha256(proof) as proof_sha256,
+       folded as folded_root, folded = root.digest as verified
+from p{len(steps)} p join subroots s using (tree), root"""
+    )
+
+
+ORACLE["op11_merkle_manifest"] = _merkle_sql()

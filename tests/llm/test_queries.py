@@ -28,8 +28,8 @@ def test_same_rows_as_sql(spark, duck, name):
     assert equal, message
 
 
-def test_ten_operators():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 11))
+def test_all_operators():
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 12))
 
 
 def test_quality_counts_and_verdicts(spark):
