@@ -348,3 +348,36 @@ from p{len(steps)} p join subroots s using (tree), root"""
 
 
 ORACLE["op11_merkle_manifest"] = _merkle_sql()
+
+ORACLE["op12_phrase_collocations"] = f"""
+with pieces as (
+  select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w
+  from (select coalesce(lang, 'und') as lang,
+               unnest(regexp_split_to_array({_LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents)),
+sizes as (select lang, sum(len(w)) as n from pieces group by lang),
+grams as (
+  select lang, w[i : i + k - 1] as g, count(*) as f
+  from (select lang, w, unnest(range(1, 6)) as k from pieces), unnest(range(1, len(w) - k + 2)) t(i)
+  group by all having count(*) >= 100),
+cuts as (
+  select c.lang, c.g, c.f as a, k, x.f as l, y.f as r, s.n,
+         (1000::hugeint * c.f * s.n) // (x.f::hugeint * y.f) as score
+  from (select *, unnest(range(1, len(g))) as k from grams) c
+  join grams x on x.lang = c.lang and x.g = c.g[1 : k]
+  join grams y on y.lang = c.lang and y.g = c.g[k + 1 :]
+  join sizes s on s.lang = c.lang),
+lowest as (
+  select * from cuts qualify row_number() over (partition by lang, g order by score, k) = 1),
+inner_ as (
+  select lang, g[i : i + k - 1] as g, max(f) as longer
+  from (select *, unnest(range(2, len(g))) as k from grams where len(g) > 2),
+       unnest(range(1, len(g) - k + 2)) t(i)
+  group by all),
+ranked as (
+  select lang, array_to_string(g, ' ') as phrase, a, l, r, n, score
+  from lowest left join inner_ using (lang, g) where longer is null or 100 * longer < 100 * a)
+select lang, rank, phrase, a, l, r, n::bigint as n, score::bigint as score
+from (select *, row_number() over (
+        partition by lang order by score desc, a desc, phrase) as rank from ranked)
+where rank <= 2000
+"""

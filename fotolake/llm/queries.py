@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from fotolake.llm import (
     chat,
     chosenpath,
+    collocations,
     decontaminate,
     linededup,
     merkle,
@@ -130,6 +131,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verify(_table(spark, sf_dir, "documents"))[0]
 
 
+@register
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 def _local_scratch(spark: SparkSession) -> str:
     """A temporary folder where no shared folder is named: local mode only."""
     import tempfile

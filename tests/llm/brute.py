@@ -242,3 +242,38 @@ def op11(rows):
                 digest = _h(*left, digest, *right)
             out.append((row[0], leaf, subroots[i], root, proof, digest, digest == root))
     return out
+
+
+def op12(docs, support=100, top=2000):
+    """rows are (lang, text)."""
+    counts, words = {}, Counter()
+    for lang, text in docs:
+        lang = "und" if lang is None else lang
+        own = counts.setdefault(lang, Counter())
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            found = re.findall(r"[^\x20\x09]+", piece)
+            words[lang] += len(found)
+            for k in range(1, 6):
+                own.update(tuple(found[i : i + k]) for i in range(len(found) - k + 1))
+    out = []
+    for lang, own in counts.items():
+        phrases = {p: a for p, a in own.items() if len(p) > 1 and a >= support}
+        dropped = set()
+        for p, a in phrases.items():
+            for k in range(2, len(p)):
+                for i in range(len(p) - k + 1):
+                    if 100 * a >= 100 * own[p[i : i + k]]:
+                        dropped.add(p[i : i + k])
+        rows = []
+        for p, a in phrases.items():
+            n = words[lang]
+            score, k = min(
+                (1000 * a * n // (own[p[:k]] * own[p[k:]]), k) for k in range(1, len(p))
+            )
+            if p not in dropped:
+                name = " ".join(p)
+                rows.append((-score, -a, name.encode(), name, own[p[:k]], own[p[k:]], n))
+        rows.sort()
+        for rank, (score, a, _, name, left, right, n) in enumerate(rows[:top], 1):
+            out.append((lang, rank, name, -a, left, right, n, -score))
+    return out
