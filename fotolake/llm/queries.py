@@ -11,6 +11,7 @@ from fotolake.llm import (
     chat,
     chosenpath,
     collocations,
+    contexttree,
     decontaminate,
     linededup,
     merkle,
@@ -136,6 +137,12 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
 
+@register
+def op13_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contexttree.score_texts(_table(spark, sf_dir, "documents"))
+    return found.withColumn("bits_per_byte", contexttree.bits_per_byte())
+
+
 def _local_scratch(spark: SparkSession) -> str:
     """A temporary folder where no shared folder is named: local mode only."""
     import tempfile

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import re
 import zlib
 from collections import Counter
@@ -277,3 +278,67 @@ def op12(docs, support=100, top=2000):
         for rank, (score, a, _, name, left, right, n) in enumerate(rows[:top], 1):
             out.append((lang, rank, name, -a, left, right, n, -score))
     return out
+
+
+def _pad(text, depth):
+    return bytes(depth) + (text or "").translate(LOWER).encode() + b"\xff"
+
+
+def op13_held_out(doc_id):
+    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 10 == 0
+
+
+def op13_base(docs):
+    """rows are (doc_id, text)."""
+    cut = {  # the end is None
+        i: [*PLAIN.findall((text or "").translate(LOWER)), None] for i, (_, text) in enumerate(docs)
+    }
+    counts = Counter()
+    for i, (doc_id, _) in enumerate(docs):
+        if not op13_held_out(doc_id):
+            counts.update(cut[i])
+    n, v = sum(counts.values()), len(counts)
+    out = []
+    for i, (doc_id, _) in enumerate(docs):
+        own = [counts[t] for t in cut[i]]
+        score = sum(math.log10((c + 0.1) / (n + 0.1 * (v + 1))) for c in own)
+        out.append((doc_id, op13_held_out(doc_id), len(own), sum(c > 0 for c in own), n, score))
+    return out
+
+
+def op13_score(train, text, depth):
+    """log10 probability of a text: the mixture of all trees with and without each decision."""
+
+    def decisions(text):
+        data = _pad(text, depth)
+        for i in range(depth, len(data)):
+            for k in range(8):
+                node = (1 << k) | (data[i] >> (8 - k))
+                yield node, data[i - depth : i], data[i] >> (7 - k) & 1
+
+    seen = {}
+    for one in train:
+        for node, context, bit in decisions(one):
+            seen.setdefault(node, []).append((context, bit))
+
+    def mixture(rows, d):
+        if not rows:
+            return 0.0
+        a = sum(bit for _, bit in rows)
+        b = len(rows) - a
+        own = math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1)
+        own -= math.log(math.pi)
+        if d == depth:
+            return own
+        children = {}
+        for context, bit in rows:
+            children.setdefault(context[-d - 1], []).append((context, bit))
+        below = sum(mixture(part, d + 1) for part in children.values())
+        top = max(own, below)
+        return math.log(0.5) + top + math.log(math.exp(own - top) + math.exp(below - top))
+
+    total = 0.0
+    for node, context, bit in decisions(text):
+        rows = seen.get(node, [])
+        total += mixture([*rows, (context, bit)], 0) - mixture(rows, 0)
+    return total / math.log(10)

@@ -29,7 +29,7 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_all_operators():
-    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 13))
+    assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
 
 def test_quality_counts_and_verdicts(spark):
