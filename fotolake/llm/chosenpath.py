@@ -131,28 +131,32 @@ def _children(node: np.ndarray, minima: np.ndarray, similarity: float):
 
 
 def split(nodes: DataFrame, similarity: float) -> DataFrame:
-    """The children (``node, set``) of ``node, set, minima``."""
+    """The children (``run, node, set``) of ``run, node, set, minima``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, batch.num_rows, 2048):
                 part = batch.slice(i, 2048)
-                node = np.asarray(part.column(0)).view(np.uint64)
-                minima = np.frombuffer(b"".join(bytes_of(part.column(2))), np.uint32)
+                node = np.asarray(part.column(1)).view(np.uint64)
+                minima = np.frombuffer(b"".join(bytes_of(part.column(3))), np.uint32)
                 row, child = _children(node, minima.reshape(-1, COORDINATES), similarity)
+                at = pa.array(row)
                 yield pa.record_batch(
-                    [pa.array(signed(child)), part.column(1).take(pa.array(row))],
-                    names=["node", "set"],
+                    [part.column(0).take(at), pa.array(signed(child)), part.column(2).take(at)],
+                    names=["run", "node", "set"],
                 )
 
-    return nodes.select("node", "set", "minima").mapInArrow(run, "node long, set long")
+    rows = nodes.select("run", "node", "set", "minima")
+    return rows.mapInArrow(run, "run int, node long, set long")
 
 
 def meet(buckets: DataFrame, similarity: float) -> DataFrame:
     """Ties (``a, b``) between sets of one bucket whose embeddings look similar.
 
-    All pairs of a bucket are looked at, by their distance in the order of rows; of the
-    similar ones only those are returned that join two groups not yet joined.
+    ``buckets`` has bucket, set, group and codes. All pairs of a bucket are looked at, by
+    their distance in the order of rows, but for those of one group; of the similar ones
+    only those are returned that join two groups not yet joined, so a bucket gives fewer
+    ties than it has groups.
     """
     least = round((similarity - _MARGIN) * COORDINATES)
 
@@ -161,9 +165,9 @@ def meet(buckets: DataFrame, similarity: float) -> DataFrame:
             rows = table.to_batches()[0]
             bucket = np.asarray(rows.column(0))
             name = np.asarray(rows.column(1))
-            codes = np.frombuffer(b"".join(bytes_of(rows.column(2))), np.uint8)
+            codes = np.frombuffer(b"".join(bytes_of(rows.column(3))), np.uint8)
             codes = codes.reshape(-1, COORDINATES)
-            group = np.arange(len(bucket))
+            group = _first_of_group(bucket, np.asarray(rows.column(2)))
             ties = []
             for distance in range(1, len(bucket)):
                 near = np.flatnonzero(bucket[distance:] == bucket[:-distance])
@@ -188,23 +192,46 @@ def meet(buckets: DataFrame, similarity: float) -> DataFrame:
                     [pa.array(name[pairs[:, 0]]), pa.array(name[pairs[:, 1]])], names=["a", "b"]
                 )
 
-    dealt = buckets.select("bucket", "set", "codes").repartition("bucket")
+    dealt = buckets.select("bucket", "set", "group", "codes").repartition("bucket")
     return dealt.sortWithinPartitions("bucket", "set").mapInArrow(run, "a long, b long")
 
 
+def _first_of_group(bucket: np.ndarray, group: np.ndarray) -> np.ndarray:
+    """For every row the first row of its bucket that has the same group."""
+    order = np.lexsort((np.arange(len(bucket)), group, bucket))
+    sorted_bucket, sorted_group = bucket[order], group[order]
+    fresh = np.append(
+        True,
+        (sorted_bucket[1:] != sorted_bucket[:-1]) | (sorted_group[1:] != sorted_group[:-1]),
+    )
+    starts = np.flatnonzero(fresh)
+    out = np.empty(len(bucket), np.int64)
+    out[order] = order[starts][np.cumsum(fresh) - 1]
+    return out
+
+
 def _top(group: np.ndarray, x: int) -> int:
     while group[x] != x:
         x = int(group[x])
     return x
 
 
-def met_pairs(sets: DataFrame, similarity: float, recall: float, small: int, depth: int) -> DataFrame:
-    """Ties between the sets of ``set, minima, codes`` that meet in a node of some run."""
+def candidate_groups(
+    sets: DataFrame, similarity: float, recall: float, small: int, depth: int
+) -> DataFrame:
+    """``node, root`` of the sets of ``set, minima, codes`` tied by meetings in some run.
+
+    The nodes are met in three steps, with the sets contracted to groups after each, so
+    that what is already joined is neither compared nor tied again: the small nodes and
+    blocks of the first run; one set of each group in the blocks of large nodes, so that
+    the blocks of one group of near copies become one; and all that is left, of all runs,
+    where a bucket holds sets of several groups.
+    """
     n_runs = runs_needed(recall, depth)
     names = mix(np.arange(1, n_runs + 1, dtype=np.uint64)).tolist()
-    starts = F.array(*(F.lit(name - (1 << 63)) for name in names))
-    nodes = split(sets.select(F.explode(starts).alias("node"), "set", "minima"), similarity)
-    buckets = None
+    starts = F.posexplode(F.array(*(F.lit(name - (1 << 63)) for name in names)))
+    nodes = split(sets.select(starts.alias("run", "node"), "set", "minima"), similarity)
+    own = None
     for level in range(1, depth + 1):
         nodes = stored(nodes, "nodes")
         # Written, so that the join is one of two plain shuffles, in which Spark splits hot nodes.
@@ -212,27 +239,103 @@ def met_pairs(sets: DataFrame, similarity: float, recall: float, small: int, dep
         full = stored(full, "full")
         shared = stored(nodes.join(full, "node"), "shared")
         drop_stored(nodes)
-        own = shared.where(F.col("size") <= small).select(F.col("node").alias("bucket"), "set")
+        met = shared.where(F.col("size") <= small).select(
+            "run", F.col("node").alias("bucket"), "set"
+        )
+        own = met if own is None else own.unionByName(met)
         large = shared.where(F.col("size") > small)
-        if level == depth:
-            own = own.unionByName(_in_blocks(large, "node", "size", small, "set"))
-        buckets = own if buckets is None else buckets.unionByName(own)
         if level == depth or large.isEmpty():
             break
         nodes = split(large.join(sets.select("set", "minima"), "set"), similarity)
-    return meet(buckets.join(sets.select("set", "codes"), "set"), similarity)
-
-
-def _in_blocks(rows: DataFrame, node: str, size: str, most: int, name: str) -> DataFrame:
-    """Buckets that bring any two members of a large node together, each of bounded size."""
-    n = F.ceil(F.col(size) / most).cast("int")
-    block = F.pmod(F.xxhash64(name, F.lit(1)), n).cast("int")
-    return rows.withColumn("_n", n).withColumn("_block", block).select(
-        F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_other"), node, name, "_block"
-    ).select(
-        F.xxhash64(node, F.least("_block", "_other"), F.greatest("_block", "_other")).alias("bucket"),
-        name,
+    block = F.pmod(F.xxhash64("set", F.lit(1)), F.ceil(F.col("size") / small)).cast("int")
+    large = large.select("run", "node", "set", block.alias("block"))
+    within = large.select("run", F.xxhash64("node", "block").alias("bucket"), "set")
+
+    first = own.where("run = 0").unionByName(within.where("run = 0")).drop("run")
+    ties = stored(meet(_several(first, sets, None), similarity), "ties")
+    groups = components(ties)
+    if not large.isEmpty():
+        heads = (
+            _grouped(large, groups)
+            .groupBy("node", "group")
+            .agg(F.min("set").alias("set"))
+        )
+        heads = stored(_blocks(heads, small), "heads")
+        more = stored(meet(_several(_pairs_of_blocks(heads), sets, groups), similarity), "ties")
+        ties = ties.unionByName(more)
+        groups = components(ties)
+    rest = own.unionByName(within).select("bucket", "set")
+    if not large.isEmpty():
+        # Members in the blocks of their group; blocks of one group only meet others.
+        placed = stored(_blocks(_grouped(large.select("node", "set"), groups), small), "placed")
+        rest = rest.unionByName(_pairs_of_blocks(placed))
+    more = stored(meet(_several(rest, sets, groups), similarity), "ties")
+    return components(ties.unionByName(more))
+
+
+def _grouped(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """``rows`` with the ``group`` of their set: itself where nothing is tied to it."""
+    if groups is None:
+        return rows.withColumn("group", F.col("set"))
+    roots = groups.select(F.col("node").alias("set"), F.col("root").alias("_root"))
+    return (
+        rows.join(roots, "set", "left").withColumn("group", F.coalesce("_root", "set")).drop("_root")
+    )
+
+
+def _several(buckets: DataFrame, sets: DataFrame, groups: DataFrame | None) -> DataFrame:
+    """The rows of buckets that hold sets of several groups, with group and codes."""
+    rows = stored(_grouped(buckets, groups).select("bucket", "set", "group"), "buckets")
+    many = (
+        rows.groupBy("bucket")
+        .agg((F.min("group") != F.max("group")).alias("many"))
+        .where("many")
+        .select("bucket")
+    )
+    many = stored(many, "many")
+    return rows.join(many, "bucket").join(sets.select("set", "codes"), "set")
+
+
+def _blocks(rows: DataFrame, small: int) -> DataFrame:
+    """``node, set, group`` with a ``block``: about ``small`` members each, of one group where
+    that is large enough, else of several small groups (``only`` is null)."""
+    sizes = rows.groupBy("node", "group").agg(F.count(F.lit(1)).alias("_own"))
+    sizes = stored(sizes, "sizes")
+    nodes = stored(
+        sizes.groupBy("node").agg(
+            F.sum(F.when(F.col("_own") < small, F.col("_own")).otherwise(F.lit(0))).alias("_mixed")
+        ),
+        "mixed",
+    )
+    big = F.col("_own") >= small
+    count = F.ceil(F.when(big, F.col("_own")).otherwise(F.col("_mixed")) / small)
+    at = F.pmod(
+        F.when(big, F.xxhash64("set", F.lit(3))).otherwise(F.xxhash64("group", F.lit(3))), count
+    )
+    only = F.when(big, F.col("group"))
+    return rows.join(sizes, ["node", "group"]).join(nodes, "node").select(
+        "node", "set", "group", only.alias("only"), F.xxhash64(only, at).alias("block")
+    )
+
+
+def _pairs_of_blocks(placed: DataFrame) -> DataFrame:
+    """Buckets that bring any two members of a node together that are of different groups.
+
+    Only blocks are paired, never members; two blocks of one group are left out.
+    """
+    blocks = stored(placed.select("node", "block", "only").distinct(), "blocks")
+    one = blocks.select("node", "block", F.col("only"))
+    two = blocks.select("node", F.col("block").alias("_block"), F.col("only").alias("_only"))
+    pairs = (
+        one.join(two, "node")
+        .where("block <= _block and (only is null or _only is null or only <> _only)")
+        .select("node", "block", "_block", F.xxhash64("node", "block", "_block").alias("bucket"))
+    )
+    sides = pairs.select("node", "block", "bucket").unionByName(
+        pairs.where("block < _block").select("node", F.col("_block").alias("block"), "bucket")
     )
+    sides = stored(sides, "block-pairs")
+    return placed.select("node", "block", "set").join(sides, ["node", "block"]).select("bucket", "set")
 
 
 _MEMBERS = "bucket long, cross boolean, side int, set long, copies long, shingles binary"
@@ -387,7 +490,7 @@ def near_duplicates(
         )
     )
     sets = stored(sets.withColumn("codes", _low_bytes(F.col("minima"))), "distinct")
-    groups = components(met_pairs(sets, similarity, recall, small, depth))
+    groups = candidate_groups(sets, similarity, recall, small, depth)
     members = stored(
         groups.join(sets.select("set", "first", "copies", "n"), groups["node"] == sets["set"]).select(
             F.col("root").alias("group"), "set", F.col("first.row").alias("row"), "copies", "n"
