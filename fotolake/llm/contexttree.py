@@ -10,7 +10,7 @@ code length.
 The counts of the whole training part are a table of byte strings of ``DEPTH + 1`` bytes,
 and the tree is a table per depth: going up, nodes are grouped to their shorter contexts;
 going down, every node takes the mixture of its shorter context by a join. No table is
-broadcast or sent to the driver.
+sent to the driver.
 
 The model comes to the texts by shards: a task gathers whole texts up to ``SHARD_BYTES``
 and writes the words and byte strings that occur in them once, with their counts in
@@ -37,9 +37,9 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fotolake.llm.common import bytes_of, stored, text_bytes
+from fotolake.llm.common import bytes_of, stored, text_bytes, whole_keys
 
-DEPTH = 5
+DEPTH = 4
 SHARD_BYTES = 1 << 26
 HELD_OUT_OF = 10
 # Distinct byte strings that are merged at once.
@@ -219,15 +219,38 @@ def _with_estimate(nodes: DataFrame) -> DataFrame:
     return nodes.withColumn("own", F.when(F.col("n0") + F.col("n1") > 0, block).otherwise(F.lit(0.0)))
 
 
-def _decisions(grams: DataFrame) -> DataFrame:
-    """The eight decisions of every byte string: context, node (bits so far) and bit."""
-    k, byte = F.col("k"), F.col("gram").bitwiseAND(F.lit(255))
-    return grams.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(7)))).select(
-        F.shiftrightunsigned("gram", 8).alias("context"),
-        F.expr("cast(shiftleft(1, k) | shiftright(cast(gram & 255 as int), 8 - k) as int)").alias("node"),
-        F.expr("shiftright(cast(gram & 255 as int), 7 - k) & 1").alias("bit"),
-        *(c for c in grams.columns),
-    )
+_NODES = "context long, node int, n0 long, n1 long"
+
+
+def deepest_nodes(grams: DataFrame) -> DataFrame:
+    """context, node, n0, n1: the decisions in every context of the byte strings.
+
+    Byte strings are dealt by their contexts, which have 256 strings at most, and sorted.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches, ["context"]):
+            context, gram, n = (table.column(c).to_numpy() for c in ("context", "gram", "n"))
+            byte, parts = gram & 255, []
+            for k in range(8):
+                name, bit = _decision(byte, k)
+                key = context * 256 + name
+                first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+                ones = np.add.reduceat(n * bit, first)
+                all_of = np.add.reduceat(n, first)
+                parts.append((context[first], name[first], all_of - ones, ones))
+            columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+            columns[1] = columns[1].astype(np.int32)
+            yield pa.record_batch(list(map(pa.array, columns)), names=["context", "node", "n0", "n1"])
+
+    rows = grams.select(F.shiftrightunsigned("gram", 8).alias("context"), "gram", "n")
+    dealt = rows.repartition("context").sortWithinPartitions("context", "gram")
+    return dealt.mapInArrow(run, _NODES)
+
+
+def _decision(byte: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Node and bit of the k-th decision of bytes."""
+    return (1 << k) | (byte >> (8 - k)), (byte >> (7 - k)) & 1
 
 
 def grow(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -235,17 +258,8 @@ def grow(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
 
     ``grams`` has gram and n; strings with n = 0 only have their contexts named.
     """
-    bit, n = F.col("bit"), F.col("n")
-    deepest = (
-        _decisions(grams)
-        .groupBy("context", "node")
-        .agg(
-            F.sum(F.when(bit == 0, n).otherwise(F.lit(0))).alias("n0"),
-            F.sum(F.when(bit == 1, n).otherwise(F.lit(0))).alias("n1"),
-        )
-    )
     half = math.log(0.5)
-    deepest = _with_estimate(deepest).select(
+    deepest = _with_estimate(deepest_nodes(grams)).select(
         "context", "node", "n0", "n1", F.col("own").alias("mixed"),
         F.lit(1.0).alias("stay"), F.lit(0.0).alias("go"),
     )
@@ -291,14 +305,35 @@ def grow(grams: DataFrame, depth: int = DEPTH) -> DataFrame:
 
 
 def string_scores(grams: DataFrame, tree: DataFrame) -> DataFrame:
-    """gram, value: log10 probability of the last byte of every string after the others."""
-    p = F.col("p")
-    return (
-        _decisions(grams.select("gram"))
-        .join(tree, ["context", "node"])
-        .groupBy("gram")
-        .agg(F.sum(F.log10(F.when(F.col("bit") == 1, p).otherwise(1 - p))).alias("value"))
+    """gram, value: log10 probability of the last byte of every string after the others.
+
+    The strings and the nodes of a context, 256 and 255 at most, come to one task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_keys(batches, ["context"]):
+            context, gram, node, p = (table.column(c).to_numpy() for c in range(4))
+            is_node = gram < 0
+            # Sorted, as the rows are.
+            names, p = context[is_node] * 256 + node[is_node], p[is_node]
+            context, gram = context[~is_node], gram[~is_node]
+            value = np.zeros(len(gram))
+            for k in range(8):
+                own, bit = _decision(gram & 255, k)
+                one = p[np.searchsorted(names, context * 256 + own)]
+                value += np.log10(np.where(bit == 1, one, 1 - one))
+            yield pa.record_batch([pa.array(gram), pa.array(value)], names=["gram", "value"])
+
+    strings = grams.select(
+        F.shiftrightunsigned("gram", 8).alias("context"),
+        "gram",
+        F.lit(0).alias("node"),
+        F.lit(0.0).alias("p"),
     )
+    nodes = tree.select("context", F.lit(-1).cast("long").alias("gram"), "node", "p")
+    dealt = nodes.unionByName(strings).repartition("context")
+    dealt = dealt.sortWithinPartitions("context", "gram", "node")
+    return dealt.mapInArrow(run, "gram long, value double")
 
 
 # --- scores --------------------------------------------------------------------
