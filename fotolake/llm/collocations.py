@@ -6,7 +6,7 @@ completely in memory, level by level, at the support lowered to its share of the
 language's bytes: a phrase frequent everywhere together is frequent in at least one shard.
 The union of the locally frequent phrases, less those whose counts, with all that the
 other shards may have kept silent, cannot reach the support, are the candidates. A second
-pass counts the candidates exactly in all shards.
+pass counts the candidates in the shards that kept them silent, which makes all counts exact.
 
 Words and pairs come first and longer phrases after them: a longer phrase is only looked
 at where all its pairs are frequent. Pairs and candidates are told to the tasks by bit
@@ -196,7 +196,7 @@ def _mine(
 ) -> DataFrame:
     """Phrases of the lengths of ``report`` with their counts in each shard.
 
-    Those of ``wanted`` (a bit set), or else the locally frequent ones. A row without phrase
+    The locally frequent ones, or else those of ``wanted`` (a bit set) that are not. A row without phrase
     has the words of a shard, and in ``silent`` the occurrences that a phrase may have in
     the shard without being reported; other rows repeat that number.
     """
@@ -219,6 +219,8 @@ def _mine(
                 for size, place, name, counts in mined(ids, hashes ^ salt, rules):
                     if size not in report:
                         continue
+                    if wanted is not None:
+                        place, name, counts = (v[counts < least] for v in (place, name, counts))
                     for i in range(0, len(place), 1 << 16):
                         cut = slice(i, i + (1 << 16))
                         words = ids[place[cut, None] + np.arange(size)].tolist()
@@ -312,8 +314,11 @@ def _exact(
         exact = found.select("lang", "phrase", "size", "hash", "f")
     else:
         again = _mine(texts, most, support, report, pairs, bit_set(found))
+        # What is no candidate stays below the support with any part of its count.
+        rest = again.where("phrase is not null").select("lang", "phrase", "size", "hash", "n")
+        known = found.select("lang", "phrase", "size", "hash", F.col("f").alias("n"))
         exact = stored(
-            again.where("phrase is not null")
+            known.unionByName(rest)
             .groupBy("lang", "phrase")
             .agg(
                 F.first("size").alias("size"),
