@@ -78,38 +78,60 @@ _MOVED = """+ amb as (select md5hash from fx_photo
     new as (select md5hash, path as new_path from fx_scan s where md5hash in (select * from amb)
       and not exists (select 1 from fx_photo p where s.md5hash = p.md5hash and s.path = p.path))
 """
-# Each new path with the smallest old path that shares most of its last steps.
-_BEST = _MOVED + """, ot as (select md5hash, n, tail, min(old_path) as old_path from (
-      select md5hash, old_path, n, lower(array_to_string(list_slice(s, len(s) - n + 1, len(s)), '/')) as tail
-      from (select *, string_split(old_path, '/') as s from old), unnest(range(0, len(s) + 1)) t(n))
-      group by all),
-    nt as (
-      select md5hash, new_path, n, lower(array_to_string(list_slice(s, len(s) - n + 1, len(s)), '/')) as tail
-      from (select *, string_split(new_path, '/') as s from new), unnest(range(0, len(s) + 1)) t(n)),
-    best as (select md5hash, new_path, arg_max(old_path, n) as old_path, max(n) as steps
-      from nt join ot using (md5hash, n, tail) group by md5hash, new_path),
-    pairs as (select *,
+# All pairs of a hash: the shorter path over every window of the longer one.
+_PAIRS = _MOVED + """, po as (select *, row_number() over (partition by md5hash order by old_path) as i from old),
+    pn as (select *, row_number() over (partition by md5hash order by new_path) as j from new),
+    pairs as (select md5hash, old_path, new_path, abs(i - j) as gap,
       case when length(new_path) > length(old_path) then old_path else new_path end as s,
       case when length(new_path) > length(old_path) then new_path else old_path end as l
-      from {0}),
-    windows as (select *, unnest(generate_series(1, length(l) - length(s) + 1)) as i from pairs),
-    scored as (select * exclude (s, l, i),
-      max(1 - cast(levenshtein(substr(l, i, length(s)), s) as double) / length(s)) as ratio
-      from windows group by all)
+      from po join pn using (md5hash))
 """
+# Longest common subsequences by bits: a one for every character of s not yet matched.
+_RATIOS = _PAIRS + """, masks as (select *, (1::hugeint << length(s)) - 1 as ones,
+      list_transform(string_split(l, ''), lambda c: list_reduce(list_prepend(0::hugeint,
+        list_transform(range(1, length(s) + 1),
+          lambda k: case when s[k] = c then 1::hugeint << (k - 1) else 0::hugeint end)),
+        lambda a, b: a | b)) as m
+      from pairs),
+    windows as (select * exclude (m, l), unnest(list_transform(range(1, length(l) - length(s) + 2),
+      lambda i: list_reduce(list_prepend(ones, m[i : i + length(s) - 1]),
+        lambda v, k: ((v + (v & k)) | (v & (ones - k))) & ones))) as v from masks),
+    scored as (select md5hash, old_path, new_path, gap,
+      cast(floor((200 * max(length(s) - bit_count(v)) + length(s)) / (2 * length(s))) as int) as ratio
+      from windows group by md5hash, old_path, new_path, gap, s)
+"""
+_FIRST = """qualify row_number() over (
+      partition by md5hash, new_path order by {0} desc, gap, old_path) = 1"""
 _add(
     "relink_best_levenshtein",
-    _BEST.format("best")
-    + "select md5hash, old_path, new_path, steps, round(ratio, 6) as ratio from scored",
+    _PAIRS
+    + """, windows as (select *, unnest(generate_series(1, length(l) - length(s) + 1)) as i from pairs),
+    scored as (select md5hash, old_path, new_path, gap,
+      max(1 - cast(levenshtein(substr(l, i, length(s)), s) as double) / length(s)) as exact
+      from windows group by md5hash, old_path, new_path, gap)
+    select md5hash, old_path, new_path, round(exact, 6) as ratio from scored """
+    + _FIRST.format("exact"),
     "fx_photo", "fx_scan",
 )
 _add(
     "relink_best_partial_ratio",
-    _BEST.format("best")
-    + """select md5hash, old_path, new_path, steps, cast(round(100 * ratio) as int) as ratio
-    from scored""",
+    _RATIOS + "select md5hash, old_path, new_path, ratio from scored " + _FIRST.format("ratio"),
     "fx_photo", "fx_scan",
 )
+# One pair of every hash at a time: the first whose paths are both free.
+_GREEDY = _RATIOS + """, taken as (
+      select md5hash, []::varchar[] as olds, []::varchar[] as news, null::int as ratio
+      from (select distinct md5hash from scored)
+      union all
+      select md5hash, list_append(olds, old_path), list_append(news, new_path), ratio from (
+        select t.md5hash, olds, news, old_path, new_path, s.ratio, gap
+        from taken t join scored s on t.md5hash = s.md5hash
+        where not list_contains(olds, old_path) and not list_contains(news, new_path))
+      qualify row_number() over (
+        partition by md5hash order by ratio desc, gap, new_path, old_path) = 1),
+    matched as (select md5hash, olds[len(olds)] as old_path, news[len(news)] as new_path, ratio
+      from taken where ratio is not null)
+"""
 
 
 def _trailing_path(depth: int) -> str:
@@ -142,17 +164,14 @@ def _trailing_path(depth: int) -> str:
 # No path of the views has more than eight steps.
 _MATCHED = _MOVED + _trailing_path(8)
 _add("relink_trailing_path", _MATCHED + "select * from matched", "fx_photo", "fx_scan")
-_SCORED = _BEST[len(_MOVED):].format("matched")
 _add(
     "relink_ambiguous",
-    _MATCHED
-    + _SCORED
-    + "select md5hash, old_path, new_path, cast(round(100 * ratio) as int) as ratio from scored",
+    _GREEDY + "select * from matched",
     "fx_photo", "fx_scan",
 )
 _add(
     "reconnect_similar",
-    _MATCHED
+    _GREEDY
     + """, one as (select md5hash, max(path) as old_path from fx_photo
       where md5hash is not null group by md5hash having count(*) = 1),
     last as (select md5hash, max(path) as new_path from fx_scan group by md5hash),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from bindings.views import query, table, view
 from fotolake.functions import gps, hashes, images, paths, similarity, stamps, tags, templates, times
-from fotolake.operators import changes, lookups, records, relink
+from fotolake.operators import changes, lookups, pathmatch, records, relink
 from fotolake.plans import reconnect, rename
 from fotolake.schemas import Catalog
 from fotolake.sources import catalogs, files, sinks
@@ -90,21 +90,22 @@ def relink_ambiguous_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _best(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _best(spark: SparkSession, sf_dir: str, score: pathmatch.Score) -> DataFrame:
     free = relink.moved_paths(view(spark, sf_dir, "fx_photo"), view(spark, sf_dir, "fx_scan"))
-    return relink.best_match(free)
+    return pathmatch.best_match(free, score)
 
 
 @register
 def relink_best_levenshtein(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratio = similarity.partial_levenshtein(F.col("new_path"), F.col("old_path"))
-    return _best(spark, sf_dir).withColumn("ratio", F.round(ratio, 6))
+    best = _best(spark, sf_dir, pathmatch.levenshtein_score)
+    ratio = F.round(F.col("score") / 100, 6).alias("ratio")
+    return best.select("md5hash", "old_path", "new_path", ratio)
 
 
 @register
 def relink_best_partial_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ratio = similarity.partial_ratio(F.col("new_path"), F.col("old_path"))
-    return _best(spark, sf_dir).withColumn("ratio", ratio)
+    best = _best(spark, sf_dir, pathmatch.ratio_score)
+    return best.select("md5hash", "old_path", "new_path", F.col("score").cast("int").alias("ratio"))
 
 
 @register

@@ -149,4 +149,4 @@ def duckdb_sql(text: str) -> str:
 def with_views(sql: str, *names: str) -> str:
     """A DuckDB statement that starts from the named views."""
     head = ", ".join(f"{name} as ({duckdb_sql(VIEWS[name])})" for name in names)
-    return f"with {head}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().lstrip('+')}"
+    return f"with recursive {head}{', ' if sql.lstrip().startswith('+') else ' '}{sql.lstrip().lstrip('+')}"

@@ -2,13 +2,103 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+# Characters of the shorter path that fit one machine word.
+_WORD = 64
+# Cells (pairs x window starts) worked on at once.
+_CELLS = 1 << 16
 
-def partial_ratio(one: Column, two: Column) -> Column:
-    """Best-window similarity as a whole number from 0 to 100."""
-    return F.round(100 * partial_levenshtein(one, two)).cast("int")
+
+@F.arrow_udf(T.IntegerType())
+def partial_ratio(one: pa.Array, two: pa.Array) -> pa.Array:
+    """Best-window similarity as a whole number from 0 to 100.
+
+    The shorter path is laid over every window of its length in the longer one; a window
+    counts by the longest common subsequence. An empty path is like nothing (0); null
+    with anything gives null.
+    """
+    scores = np.zeros(len(one), np.int32)
+    pairs = []
+    for i, (a, b) in enumerate(zip(one.to_pylist(), two.to_pylist(), strict=True)):
+        if a and b:
+            pairs.append((i, a, b) if len(a) <= len(b) else (i, b, a))
+    # Pairs of like sizes share their arrays.
+    pairs.sort(key=lambda p: (len(p[1]), len(p[2])))
+    start = 0
+    while start < len(pairs):
+        stop, cells = start, 0
+        while stop < len(pairs) and (stop == start or cells < _CELLS):
+            cells = (stop - start + 1) * (len(pairs[stop][2]) - len(pairs[start][1]) + 1)
+            stop += 1
+        part = pairs[start:stop]
+        if len(part[-1][1]) > _WORD:
+            for i, short, long in part:
+                scores[i] = _score(_long_match(short, long), len(short))
+        else:
+            for (i, short, _), most in zip(part, _matches(part).tolist(), strict=True):
+                scores[i] = _score(most, len(short))
+        start = stop
+    missing = np.asarray(one.is_null()) | np.asarray(two.is_null())
+    return pa.array(scores, pa.int32(), mask=missing)
+
+
+def _score(matched: int, size: int) -> int:
+    """100 * matched / size, halves up."""
+    return (200 * matched + size) // (2 * size)
+
+
+def _matches(pairs: list[tuple[int, str, str]]) -> np.ndarray:
+    """Longest common subsequence with the best window, for pairs of short and long paths.
+
+    A bit per character of the short path; all pairs and windows go one character on at
+    a time (the usual bit-parallel recurrence, which carries upwards only).
+    """
+    short = [np.frombuffer(p[1].encode("utf-32-le"), np.uint32) for p in pairs]
+    long = [np.frombuffer(p[2].encode("utf-32-le"), np.uint32) for p in pairs]
+    sizes = np.array([len(s) for s in short])
+    widths = np.array([len(s) for s in long])
+    letters, number = np.unique(np.concatenate(short), return_inverse=True)
+    # The last column is that of all letters the short paths lack, and of what is beyond the end.
+    masks = np.zeros((len(pairs), len(letters) + 1), np.uint64)
+    row = np.repeat(np.arange(len(pairs)), sizes)
+    place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    np.bitwise_or.at(masks, (row, number), np.uint64(1) << place.astype(np.uint64))
+    padded = np.full((len(pairs), widths.max() + sizes.max()), len(letters))
+    for i, own in enumerate(long):
+        at = np.searchsorted(letters, own)
+        at[at == len(letters)] = 0
+        padded[i, : len(own)] = np.where(letters[at] == own, at, len(letters))
+    n_windows = int((widths - sizes).max()) + 1
+    free = np.full((len(pairs), n_windows), ~np.uint64(0))
+    rows = np.arange(len(pairs))[:, None]
+    for j in range(sizes.max()):
+        mask = masks[rows, padded[:, j : j + n_windows]]
+        mask[sizes <= j] = 0
+        hit = free & mask
+        free = (free + hit) | (free - hit)
+    own_bits = ~np.uint64(0) >> (64 - sizes).astype(np.uint64)
+    # Windows that start too late see fewer letters and never win.
+    return np.bitwise_count(~free & own_bits[:, None]).max(axis=1)
+
+
+def _long_match(short: str, long: str) -> int:
+    """The same with whole numbers of any length."""
+    masks: dict[str, int] = {}
+    for i, c in enumerate(short):
+        masks[c] = masks.get(c, 0) | 1 << i
+    full, best = (1 << len(short)) - 1, 0
+    for start in range(len(long) - len(short) + 1):
+        free = full
+        for c in long[start : start + len(short)]:
+            hit = free & masks.get(c, 0)
+            free = ((free + hit) | (free - hit)) & full
+        best = max(best, len(short) - free.bit_count())
+    return best
 
 
 def partial_levenshtein(one: Column, two: Column) -> Column:

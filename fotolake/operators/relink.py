@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fotolake.functions import paths
-from fotolake.functions.similarity import partial_ratio
 from fotolake.operators.changes import hash_multiplicity
 from fotolake.operators.lookups import attach_batch, known_hashes
+from fotolake.operators.pathmatch import match_one_to_one
 from fotolake.operators.ranking import HOT_GROUP_ROWS, hot_groups, number_rows
 from fotolake.session import cut_lineage
 
@@ -132,46 +132,16 @@ def _steps(path: Column) -> Column:
     return F.split(F.lower(paths.normalize_separators(path)), "/")
 
 
-def _tails(free: DataFrame, side: int) -> DataFrame:
-    """Every run of last steps of the paths of one side: md5hash, path, n (steps), tail."""
-    steps = F.col("_steps")
-    tails = F.transform(
-        F.sequence(F.lit(0), F.size(steps)),
-        lambda n: F.array_join(F.slice(steps, F.size(steps) - n + 1, n), "/"),
-    )
-    rows = free.where(F.col("side") == side).withColumn("_steps", _steps(F.col("path")))
-    return rows.select("md5hash", "path", F.posexplode(tails).alias("n", "tail"))
-
-
-def best_match(free: DataFrame) -> DataFrame:
-    """For each new path the old path that shares most of its last steps.
-
-    ``free`` has md5hash, side, path. The smallest path wins a tie; letter case does not
-    count. Old paths are first reduced to one per run of last steps, so the work grows
-    with the paths, not with their pairs. Returns md5hash, old_path, new_path, steps.
-    """
-    keys = ["md5hash", "n", "tail"]
-    old = cut_lineage(_tails(free, _OLD).groupBy(*keys).agg(F.min("path").alias("old_path")))
-    return (
-        _tails(free, _NEW)
-        .join(old, keys)
-        .groupBy("md5hash", F.col("path").alias("new_path"))
-        .agg(F.max_by("old_path", "n").alias("old_path"), F.max("n").alias("steps"))
-        .select("md5hash", "old_path", "new_path", "steps")
-    )
-
-
 def relink_ambiguous(
     photo: DataFrame, scan: DataFrame, hot_rows: int = HOT_GROUP_ROWS
 ) -> DataFrame:
-    """Each file of a hash with several photos takes a free old path of that hash.
+    """Each file of a hash with several photos takes the free old path most like its own.
 
-    Paths are matched one to one by the steps they share at the end, most first (see
-    :func:`match_trailing_path`), whatever the size of a group. ``ratio`` is the similarity
-    of the two paths.
+    Paths are matched one to one by ``partial_ratio``, the most similar first (see
+    :func:`fotolake.operators.pathmatch.match_one_to_one`). ``ratio`` is that similarity.
     """
-    matched = match_trailing_path(moved_paths(photo, scan), hot_rows=hot_rows)
-    return matched.withColumn("ratio", partial_ratio(F.col("new_path"), F.col("old_path")))
+    matched = match_one_to_one(moved_paths(photo, scan), hot_rows=hot_rows)
+    return matched.select("md5hash", "old_path", "new_path", F.col("score").cast("int").alias("ratio"))
 
 
 def match_trailing_path(

@@ -13,6 +13,8 @@ from fotolake.operators.ranking import number_rows
 from fotolake.plans import ingest, reconnect
 from fotolake.schemas import Catalog
 
+from tests.test_pathmatch import plain_greedy
+
 MOMENT = datetime(2024, 3, 1, 12, 0, 0)
 
 
@@ -304,48 +306,40 @@ def _by_trailing_path(olds, news):
 
 
 @pytest.mark.parametrize("hot_rows", [10**6, 8, 2])
-def test_relink_ambiguous_as_defined(spark, hot_rows):
+def test_trailing_path_as_defined(spark, hot_rows):
     old, new = _ambiguous_case()
     photo = photo_table(spark, [(p, k, "d") for p, k in old])
-    got = relink.relink_ambiguous(photo, scan_table(spark, new), hot_rows=hot_rows)
+    free = relink.moved_paths(photo, scan_table(spark, new))
+    got = relink.match_trailing_path(free, hot_rows=hot_rows)
     want = [
         (key, *pair) for key, olds, news in _free_paths(old, new) for pair in _by_trailing_path(olds, news)
     ]
     assert tuples(got, "md5hash", "old_path", "new_path") == sorted(want)
-    assert got.where("ratio is null or ratio < 0 or ratio > 100").isEmpty()
-
-
-def test_one_definition_for_any_size_of_a_hash(spark):
-    """101 old and 101 new paths under one hash, in a hurried order."""
-    olds = [f"card/{i % 7}/roll{i // 7}/IMG {i}.jpg" for i in range(101)]
-    news = [f"/disk/a/{i % 7}/ROLL{i // 7}/img {i}.JPG" for i in range(101)]
-    photo = photo_table(spark, [(p, "h", "d") for p in olds])
-    scan = scan_table(spark, [("h", p) for p in reversed(news)])
-    got = relink.relink_ambiguous(photo, scan)
-    assert tuples(got, "old_path", "new_path") == sorted(zip(olds, news))
-    best = relink.best_match(relink.moved_paths(photo, scan))
-    assert tuples(best, "old_path", "new_path", "steps") == sorted((o, n, 3) for o, n in zip(olds, news))
 
 
-def test_best_match_takes_the_longest_shared_end(spark):
+@pytest.mark.parametrize("hot_rows", [10**6, 2])
+def test_relink_ambiguous_takes_the_most_similar_pairs_first(spark, hot_rows):
     old, new = _ambiguous_case()
     photo = photo_table(spark, [(p, k, "d") for p, k in old])
-    got = relink.best_match(relink.moved_paths(photo, scan_table(spark, new)))
+    got = relink.relink_ambiguous(photo, scan_table(spark, new), hot_rows=hot_rows)
+    rows = [
+        (key, side, path)
+        for key, olds, news in _free_paths(old, new)
+        for side, own in enumerate((olds, news))
+        for path in own
+    ]
+    want = [(h, o, n, int(score)) for h, o, n, score in plain_greedy(rows)]
+    assert tuples(got, "md5hash", "old_path", "new_path", "ratio") == sorted(want)
 
-    def shared(a, b):
-        n = 0
-        for x, y in zip(reversed(_steps(a)), reversed(_steps(b))):
-            if x != y:
-                break
-            n += 1
-        return n
 
-    want = []
-    for key, olds, news in _free_paths(old, new):
-        for path in news if olds else []:
-            most = max(shared(o, path) for o in olds)
-            want.append((key, min(o for o in olds if shared(o, path) == most), path, most))
-    assert tuples(got, "md5hash", "old_path", "new_path", "steps") == sorted(want)
+def test_a_renamed_file_in_a_renamed_folder_is_found(spark):
+    photo = photo_table(spark, [("card/IMG_0012.jpg", "h", "d"), ("card/scan 9.jpg", "h", "d")])
+    scan = scan_table(spark, [("h", "archive/IMG_0012 copy.jpg"), ("h", "archive/a scan 9.jpg")])
+    got = relink.relink_ambiguous(photo, scan)
+    assert tuples(got, "old_path", "new_path") == [
+        ("card/IMG_0012.jpg", "archive/IMG_0012 copy.jpg"),
+        ("card/scan 9.jpg", "archive/a scan 9.jpg"),
+    ]
 
 
 def test_reconnect_leaves_other_photos_alone(spark, catalog):

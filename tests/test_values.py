@@ -97,8 +97,7 @@ def _windows(one, two):
 
 def test_partial_ratio(values):
     got = values(similarity.partial_ratio(S, F.col("t")), PAIRS, "s string, t string")
-    near = values(similarity.partial_levenshtein(S, F.col("t")), PAIRS, "s string, t string")
-    assert got == [int(100 * n + 0.5) for n in near]
+    assert got == [100, 0, 0, 100, 30, 67, 67]
     assert values(similarity.partial_ratio(S, F.col("t")), [(None, "a")], "s string, t string") == [None]
 
 
