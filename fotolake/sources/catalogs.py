@@ -1,12 +1,18 @@
 """Reading and writing catalogs.
 
-A catalog folder holds one Parquet folder per table, split by ``batch_id``. A
-changed catalog is written to a new folder; new rows may be added to an
-existing one as a further batch.
+A catalog folder holds one Parquet folder per table, split by ``batch_id``, and a manifest
+per batch that names the files of all five tables. The manifest is written last, by a call
+that fails if it is there already, and readers see only what manifests name. So a batch is
+there with all its tables or not at all, what a broken job has left behind is never read,
+and of two writers of one batch the second fails. A changed catalog is written to a new
+folder, which also merges its batches.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,37 +21,115 @@ from fotolake.functions.hashes import plain_hash
 from fotolake.schemas import TABLES, Catalog
 
 BATCH = "batch_id"
+MANIFESTS = "_commits"
 
 
-def write_catalog(catalog: Catalog, folder: str) -> None:
-    """Write a whole catalog to a new folder; an existing one is an error."""
-    for name, table in catalog.tables().items():
-        _batch_writer(table, name).mode("errorifexists").parquet(_batch_folder(folder, name, 0))
-
+class CommitConflict(RuntimeError):
+    """The batch exists already and is another writer's."""
 
-def append_batch(new_rows: dict[str, DataFrame], folder: str, batch_id: int) -> None:
-    """Add rows as batch ``batch_id``; doing it again replaces the same batch."""
-    for name, rows in new_rows.items():
-        _batch_writer(rows, name).mode("overwrite").parquet(_batch_folder(folder, name, batch_id))
 
+def write_catalog(catalog: Catalog, folder: str) -> None:
+    """Write a whole catalog to a new folder; an existing one is an error."""
+    spark = catalog.photo.sparkSession
+    if manifests(spark, folder):
+        raise CommitConflict(f"a catalog exists in {folder}")
+    _commit(spark, folder, 0, "", _write_tables(catalog.tables(), folder, 0))
 
-def _batch_writer(table: DataFrame, name: str):
-    return table.select(*TABLES[name].fieldNames()).write
 
+def append_batch(
+    new_rows: dict[str, DataFrame], folder: str, batch_id: int, writer: str = ""
+) -> bool:
+    """Add rows as batch ``batch_id``. False, with nothing done, if ``writer`` has added it.
 
-def _batch_folder(folder: str, name: str, batch_id: int) -> str:
-    return f"{folder}/{name}/{BATCH}={batch_id}"
+    A batch of the same number by another writer is a ``CommitConflict``.
+    """
+    spark = new_rows["photo"].sparkSession
+    if is_committed(spark, folder, batch_id, writer):
+        return False
+    files = _write_tables(new_rows, folder, batch_id)
+    _commit(spark, folder, batch_id, writer, files)
+    return True
+
+
+def is_committed(spark: SparkSession, folder: str, batch_id: int, writer: str = "") -> bool:
+    """Whether ``writer`` has added the batch."""
+    for manifest in manifests(spark, folder):
+        if manifest["batch"] == batch_id:
+            if manifest["writer"] != writer:
+                raise CommitConflict(f"batch {batch_id} in {folder} is another writer's")
+            return True
+    return False
+
+
+def _write_tables(tables: dict[str, DataFrame], folder: str, batch_id: int) -> dict[str, list[str]]:
+    """Write all tables to folders of this attempt; names of their files, below ``folder``."""
+    attempt, files = uuid.uuid4().hex, {}
+    for name, table in tables.items():
+        place = f"{name}/{BATCH}={batch_id}/{attempt}"
+        table.select(*TABLES[name].fieldNames()).write.parquet(f"{folder}/{place}")
+        files[name] = [
+            f"{place}/{file}"
+            for file in _names(table.sparkSession, f"{folder}/{place}")
+            if not file.startswith(("_", "."))
+        ]
+    return files
+
+
+def _path(spark: SparkSession, name: str):
+    """A path of Spark's file systems, and the system it is on."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(name)
+    return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    path, system = _path(spark, folder)
+    if not system.exists(path):
+        return []
+    return sorted(state.getPath().getName() for state in system.listStatus(path))
+
+
+def _commit(spark: SparkSession, folder: str, batch_id: int, writer: str, files: dict) -> None:
+    text = json.dumps({"batch": batch_id, "writer": writer, "files": files}) + "\n"
+    path, system = _path(spark, f"{folder}/{MANIFESTS}/{batch_id:012d}.json")
+    try:
+        out = system.create(path, False)
+    except Exception as error:
+        if system.exists(path):
+            raise CommitConflict(f"batch {batch_id} in {folder} was added meanwhile") from error
+        raise
+    out.write(text.encode())
+    out.close()
+
+
+def manifests(spark: SparkSession, folder: str, before: int | None = None) -> list[dict]:
+    """The manifests of all batches (below ``before``), in order.
+
+    One that is still being written is not there yet.
+    """
+    found = []
+    for name in _names(spark, f"{folder}/{MANIFESTS}"):
+        if not name.endswith(".json") or (before is not None and int(name[:-5]) >= before):
+            continue
+        path, system = _path(spark, f"{folder}/{MANIFESTS}/{name}")
+        stream = system.open(path)
+        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        if text.endswith("\n"):
+            found.append(json.loads(text))
+    return found
 
 
 def read_catalog(spark: SparkSession, folder: str, before: int | None = None) -> Catalog:
-    """Open a catalog, or its state before batch ``before``."""
+    """Open a catalog, or its state before batch ``before``: the batches with manifests."""
+    batches = manifests(spark, folder, before)
+    if not batches:
+        raise FileNotFoundError(f"no catalog in {folder}")
 
     def table(name: str, schema: T.StructType) -> DataFrame:
-        dated = T.StructType([*schema.fields, T.StructField(BATCH, T.LongType())])
-        rows = spark.read.schema(dated).parquet(f"{folder}/{name}")
-        if before is not None:
-            rows = rows.where(F.col(BATCH) < before)
-        return rows.drop(BATCH)
+        files = [f"{folder}/{file}" for batch in batches for file in batch["files"][name]]
+        if not files:
+            return spark.createDataFrame([], schema)
+        return spark.read.schema(schema).parquet(*files)
 
     return Catalog.of({name: table(name, schema) for name, schema in TABLES.items()})
 

@@ -26,6 +26,11 @@ from fotolake.sources.exif import jpeg_dimensions, read_tags
 TASK_BYTES = 256 << 20
 BLOCK_BYTES = 1 << 20
 HEAD_BYTES = 64
+# Folders that a task lists, and files whose times and sizes it asks for, about.
+FOLDERS_PER_TASK = 64
+FILES_PER_TASK = 1_000
+# Records that leave a reading task at once.
+RECORDS = 1_000
 
 # Fixed value: files of a database in use, never scanned.
 SKIPPED_EXTENSIONS = (".sqlite-journal",)
@@ -51,14 +56,18 @@ def list_files(
 
     Tasks list one level of folders after the other; names starting with ``_`` or ``.``
     are files like any other. Folders that are links are not entered. Each level is
-    written to the checkpoint folder.
+    written to the checkpoint folder. A folder's names are read by one task, its files'
+    sizes and times by many: a flat folder of any number of files is spread over all. A
+    file or folder that has gone meanwhile, or is closed to us, is left out by itself.
     """
     roots = [roots] if isinstance(roots, str) else list(roots)
     folders = spark.createDataFrame([(plain_root(root),) for root in roots], "path string")
     found: DataFrame | None = None
     while True:
-        level = cut_lineage(folders.repartition("path").mapInPandas(_list_level, _LISTED))
-        own = level.where("not folder").drop("folder")
+        dealt = _dealt(folders, FOLDERS_PER_TASK)
+        level = cut_lineage(dealt.mapInPandas(_list_level, _LISTED))
+        own = _dealt(level.where("not folder").drop("folder"), FILES_PER_TASK)
+        own = cut_lineage(own.mapInPandas(_with_state, _FILES))
         found = own if found is None else found.unionByName(own)
         folders = level.where("folder").select("path")
         if not recursive or folders.isEmpty():
@@ -68,7 +77,13 @@ def list_files(
     return filter_extension(found, SKIPPED_EXTENSIONS, keep=False)
 
 
-_LISTED = "path string, modificationTime timestamp, length long, folder boolean"
+def _dealt(rows: DataFrame, per_task: int) -> DataFrame:
+    """Rows over tasks by their number, as each of them costs a call and hardly a byte."""
+    return rows.repartition(max(1, -(-rows.count() // per_task)), "path")
+
+
+_FILES = "path string, modificationTime timestamp, length long"
+_LISTED = f"{_FILES}, folder boolean"
 
 
 def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -78,22 +93,46 @@ def _list_level(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             while rows := list(islice(entries, 10_000)):
                 frame = pd.DataFrame(rows, columns=["path", "modificationTime", "length", "folder"])
                 frame["modificationTime"] = pd.to_datetime(frame["modificationTime"], utc=True)
-                yield frame
+                yield frame.astype({"length": "Int64"})
 
 
 def _local_entries(folder: str) -> Iterator[tuple]:
+    """Names of a folder; times and sizes follow by ``_with_state``."""
     try:
         with os.scandir(folder) as entries:
             for entry in entries:
                 path = f"{folder.rstrip('/')}/{entry.name}"
-                if entry.is_dir(follow_symlinks=False):
-                    yield path, None, 0, True
-                elif entry.is_file():
-                    state = entry.stat()
-                    stamp = datetime.fromtimestamp(state.st_mtime, timezone.utc)
-                    yield path, stamp, state.st_size, False
-    except (FileNotFoundError, NotADirectoryError, PermissionError):
-        return  # gone or closed meanwhile
+                if _holds(entry.is_dir, follow_symlinks=False):
+                    yield path, None, None, True
+                elif _holds(entry.is_file):
+                    yield path, None, None, False
+    except OSError:
+        return  # the folder has gone or is closed
+
+
+def _holds(test, **options) -> bool:
+    try:
+        return test(**options)
+    except OSError:
+        return False
+
+
+def _with_state(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Listed files with time and size; those that have gone have no row."""
+    for batch in batches:
+        rows = []
+        for path, stamp, length in batch.itertuples(index=False):
+            if pd.isna(length):
+                try:
+                    state = os.stat(path)
+                except OSError:
+                    continue
+                stamp = datetime.fromtimestamp(state.st_mtime, timezone.utc)
+                length = state.st_size
+            rows.append((path, stamp, int(length)))
+        frame = pd.DataFrame(rows, columns=["path", "modificationTime", "length"])
+        frame["modificationTime"] = pd.to_datetime(frame["modificationTime"], utc=True)
+        yield frame
 
 
 def _remote_entries(folder: str) -> Iterator[tuple]:
@@ -243,18 +282,24 @@ def scan_listed(
     ``update`` a file passes through in blocks, so it may be of any size.
     """
 
+    names = ("tags", "width", "height", "failed")
+    columns = ["path", "modificationTime", "md5hash", "head", "unread", "header"]
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows, tags = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
                 digest, head, data = _digest(row.path, keep=not update)
                 header = (None, None, None, False) if data is None else _header(data, thumb, maker)
-                frame = pd.DataFrame(
-                    [(row.path, row.modificationTime, digest, head, digest is None)],
-                    columns=["path", "modificationTime", "md5hash", "head", "unread"],
-                )
-                names = ("tags", "width", "height", "failed")
-                frame["header"] = [dict(zip(names, header, strict=True))]
-                yield frame
+                header = dict(zip(names, header, strict=True))
+                rows.append((row.path, row.modificationTime, digest, head, digest is None, header))
+                tags += len(header["tags"] or ())
+                # Records have a first part of the file and its tags.
+                if len(rows) >= RECORDS or tags >= 50 * RECORDS:
+                    yield pd.DataFrame(rows, columns=columns)
+                    rows, tags = [], 0
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
 
     schema = (
         T.StructType()

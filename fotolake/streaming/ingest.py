@@ -60,20 +60,24 @@ def batch_upsert(
     zone: str | None = None,
     geo: bool = True,
     file_zone: str = "UTC",
+    writer: str = "",
 ):
     """A ``foreachBatch`` function that adds the new rows of listed files to a catalog.
 
-    Batch ``n`` is written as batch ``n + 1`` of each table and compared with earlier
-    batches only, so a batch run again writes the same rows in the same place. All batches
-    of a scan share the batch ``key``.
+    Batch ``n`` becomes batch ``n + 1`` of the catalog and is compared with earlier batches
+    only. A batch run again after its commit changes nothing; one that ended before it is
+    written anew. ``writer`` names the stream: two streams on one catalog conflict. All
+    batches of a scan share the batch ``key``.
     """
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         place = batch_id + 1
+        if catalogs.is_committed(spark, folder, place, writer):
+            return
         catalog = catalogs.read_catalog(spark, folder, before=place)
         records = files.scan_listed(batch, file_zone)
         rows = new_rows(catalog, records, base, started, local, zone, geo, key)
-        catalogs.append_batch(rows, folder, place)
+        catalogs.append_batch(rows, folder, place, writer)
 
     return upsert
 
@@ -100,7 +104,9 @@ def ingest_stream(
     extend_listing(spark, root, listing, files_per_batch)
     key = free_key(catalogs.read_catalog(spark, folder).imports, started)
     base = files.plain_root(root)
-    upsert = batch_upsert(spark, folder, base, key, started, local, zone, geo, file_zone)
+    upsert = batch_upsert(
+        spark, folder, base, key, started, local, zone, geo, file_zone, writer=checkpoint
+    )
     return (
         listing_stream(spark, listing)
         .writeStream.foreachBatch(upsert)

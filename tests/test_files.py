@@ -288,11 +288,17 @@ def test_stream_equals_batch_and_runs_once(spark, work, tree):
     assert keys(got) == keys(want)
     assert got.imports.count() == 1
     assert keys(run()) == keys(want)
-    # A batch run again writes the same rows in the same place.
+    # A batch run again after its commit changes nothing; another stream's is a conflict.
     batch = files.list_files(spark, root)
     key = got.imports.first().import_date
-    stream.batch_upsert(spark, f"{work}/c", root, key, MOMENT, local=True)(batch, 0)
-    assert keys(catalogs.read_catalog(spark, f"{work}/c", before=2)) == keys(want)
+    again = stream.batch_upsert(
+        spark, f"{work}/c", root, key, MOMENT, local=True, writer=f"{work}/state"
+    )
+    again(batch, 0)
+    assert keys(catalogs.read_catalog(spark, f"{work}/c")) == keys(want)
+    other = stream.batch_upsert(spark, f"{work}/c", root, key, MOMENT, local=True, writer="b")
+    with pytest.raises(catalogs.CommitConflict):
+        other(batch, 0)
     # A file that arrives late with an old date, and one Spark's own sources would skip.
     for name in ("late.gif", "_under.gif"):
         with open(f"{root}/{name}", "wb") as file:
@@ -303,6 +309,52 @@ def test_stream_equals_batch_and_runs_once(spark, work, tree):
     assert {r.dt_import for r in new} == {"2024-03-01T12:00:01Z"} and len(new) == 2
 
 
+def test_half_written_batches_are_not_seen(spark, work, tree, monkeypatch):
+    root, _ = tree
+    folder = f"{work}/c"
+    stream.empty_catalog(spark, folder)
+    rows = scan_into(spark, Catalog.empty(spark), root, MOMENT).tables()
+
+    broken = dict(rows)
+    broken["location"] = rows["location"].select(F.raise_error(F.lit("stop")).alias("x"))
+    with pytest.raises(Exception):
+        catalogs.append_batch(broken, folder, 1, "w")
+    assert catalogs.read_catalog(spark, folder).photo.count() == 0
+    assert catalogs.append_batch(rows, folder, 1, "w")
+    assert not catalogs.append_batch(rows, folder, 1, "w")
+    n = rows["photo"].count()
+    assert catalogs.read_catalog(spark, folder).photo.count() == n > 0
+    # A manifest that is not whole is not there yet.
+    with open(f"{folder}/{catalogs.MANIFESTS}/000000000002.json", "w") as file:
+        file.write('{"batch": 2')
+    assert len(catalogs.manifests(spark, folder)) == 2
+    # Two writers of one batch: the later manifest fails.
+    monkeypatch.setattr(catalogs, "is_committed", lambda *_: False)
+    with pytest.raises(catalogs.CommitConflict):
+        catalogs.append_batch(rows, folder, 1, "v")
+    assert catalogs.read_catalog(spark, folder).photo.count() == n
+
+
+def test_vanished_and_closed_entries_cost_only_themselves(spark, work, monkeypatch):
+    for i in range(8):
+        with open(f"{work}/{i}.gif", "wb") as file:
+            file.write(b"GIF89a")
+    os.symlink(f"{work}/gone", f"{work}/link.gif")
+    rows = [(f"{work}/{i}.gif", None, None) for i in range(8)] + [(f"{work}/gone.gif", None, None)]
+    names = spark.createDataFrame(rows, files._FILES)
+    left = names.mapInPandas(files._with_state, files._FILES)
+    assert left.count() == 8 and left.where("length = 6").count() == 8
+    assert files.list_files(spark, work).count() == 8
+
+
+def test_files_of_one_folder_are_spread_over_tasks(spark, work):
+    for i in range(2_000):
+        open(f"{work}/{i}.gif", "wb").close()
+    found = files.list_files(spark, work)
+    assert found.count() == 2_000
+    assert found.select(F.spark_partition_id()).distinct().count() > 1
+
+
 def read_parts(folder):
     parts = sorted(glob.glob(f"{folder}/part-*.csv"))
     return "".join(open(part, newline="").read() for part in parts)
