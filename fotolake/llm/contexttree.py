@@ -375,6 +375,27 @@ def score_texts(
     return found.withColumn("train_tokens", F.lit(n_all).cast("long"))
 
 
+class _Finder:
+    """Places of values in a sorted array: by a table of slots, the few others by search."""
+
+    def __init__(self, values: np.ndarray) -> None:
+        self.order = np.argsort(values)
+        self.values = values[self.order]
+        bits = max(8, (4 * len(values)).bit_length())
+        self.shift = np.uint64(64 - bits)
+        self.slots = np.zeros(1 << bits, np.int32)
+        self.slots[self._slot(self.values)] = np.arange(len(values), dtype=np.int32)
+
+    def _slot(self, values: np.ndarray) -> np.ndarray:
+        return (values * np.uint64(0x9E3779B97F4A7C15)) >> self.shift
+
+    def __call__(self, values: np.ndarray) -> np.ndarray:
+        found = self.slots[self._slot(values)]
+        wrong = np.flatnonzero(self.values[found] != values)
+        found[wrong] = np.searchsorted(self.values, values[wrong])
+        return found
+
+
 def _score_shard(texts: pa.Table, model: pa.Table, depth: int, under: float) -> pa.Table:
     gram, value = model.column("gram"), model.column("value")
     is_word = gram.is_null()
@@ -382,8 +403,8 @@ def _score_shard(texts: pa.Table, model: pa.Table, depth: int, under: float) ->
     counts = dict(zip(names, value.filter(is_word).to_pylist(), strict=True))
     gram = gram.filter(gram.is_valid()).to_numpy().view(np.uint64)
     value = value.filter(model.column("gram").is_valid()).to_numpy()
-    order = np.argsort(gram)
-    gram, value = gram[order], value[order]
+    find = _Finder(gram)
+    value = value[find.order]
     unpack = zstandard.ZstdDecompressor().decompress
     out = []
     rows = zip(*(texts.column(c) for c in ("doc_id", "held_out", "packed")), strict=True)
@@ -395,7 +416,7 @@ def _score_shard(texts: pa.Table, model: pa.Table, depth: int, under: float) ->
         for start in range(0, len(data) + 1, _PART):
             stop = min(start + _PART, len(data) + 1)
             own = byte_strings(data, depth, start, stop)
-            score += float(value[np.searchsorted(gram, own)].sum())
+            score += float(value[find(own)].sum())
         out.append(
             (
                 doc_id.as_py(), held_out.as_py(), len(data), len(found), int((count > 0).sum()),
