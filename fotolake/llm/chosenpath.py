@@ -151,12 +151,12 @@ def split(nodes: DataFrame, similarity: float) -> DataFrame:
 
 
 def meet(buckets: DataFrame, similarity: float) -> DataFrame:
-    """Ties (``a, b``) between sets of one bucket whose embeddings look similar.
+    """Ties (``bucket, a, b``) between sets of one bucket whose embeddings look similar.
 
     ``buckets`` has bucket, set, group and codes. All pairs of a bucket are looked at, by
-    their distance in the order of rows, but for those of one group; of the similar ones
-    only those are returned that join two groups not yet joined, so a bucket gives fewer
-    ties than it has groups.
+    their distance in the order of rows, but for those of groups already joined. Each group
+    but the first of those joined gives one tie, from its first set b to the first set a of
+    all, so a bucket has fewer ties than groups.
     """
     least = round((similarity - _MARGIN) * COORDINATES)
 
@@ -168,7 +168,7 @@ def meet(buckets: DataFrame, similarity: float) -> DataFrame:
             codes = np.frombuffer(b"".join(bytes_of(rows.column(3))), np.uint8)
             codes = codes.reshape(-1, COORDINATES)
             group = _first_of_group(bucket, np.asarray(rows.column(2)))
-            ties = []
+            heads = np.flatnonzero(group == np.arange(len(group)))
             for distance in range(1, len(bucket)):
                 near = np.flatnonzero(bucket[distance:] == bucket[:-distance])
                 if not len(near):
@@ -182,18 +182,16 @@ def meet(buckets: DataFrame, similarity: float) -> DataFrame:
                         x, y = _top(group, x), _top(group, y)
                         if x != y:
                             group[max(x, y)] = min(x, y)
-                            ties.append((x, y))
                 # Flat again, so that the next distance skips what is joined.
                 while (group[group] != group).any():
                     group = group[group]
-            if ties:
-                pairs = np.array(ties)
-                yield pa.record_batch(
-                    [pa.array(name[pairs[:, 0]]), pa.array(name[pairs[:, 1]])], names=["a", "b"]
-                )
+            joined = heads[group[heads] != heads]
+            if len(joined):
+                columns = (bucket[joined], name[group[joined]], name[joined])
+                yield pa.record_batch(list(map(pa.array, columns)), names=["bucket", "a", "b"])
 
     dealt = buckets.select("bucket", "set", "group", "codes").repartition("bucket")
-    return dealt.sortWithinPartitions("bucket", "set").mapInArrow(run, "a long, b long")
+    return dealt.sortWithinPartitions("bucket", "set").mapInArrow(run, "bucket long, a long, b long")
 
 
 def _first_of_group(bucket: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -223,9 +221,9 @@ def candidate_groups(
 
     The nodes are met in three steps, with the sets contracted to groups after each, so
     that what is already joined is neither compared nor tied again: the small nodes and
-    blocks of the first run; one set of each group in the blocks of large nodes, so that
-    the blocks of one group of near copies become one; and all that is left, of all runs,
-    where a bucket holds sets of several groups.
+    blocks of the first run; the first set of each group of these blocks, so that the
+    blocks of one group of near copies become one; and all that is left, of all runs, where
+    a bucket holds sets of several groups.
     """
     n_runs = runs_needed(recall, depth)
     names = mix(np.arange(1, n_runs + 1, dtype=np.uint64)).tolist()
@@ -247,43 +245,45 @@ def candidate_groups(
         if level == depth or large.isEmpty():
             break
         nodes = split(large.join(sets.select("set", "minima"), "set"), similarity)
-    block = F.pmod(F.xxhash64("set", F.lit(1)), F.ceil(F.col("size") / small)).cast("int")
-    large = large.select("run", "node", "set", block.alias("block"))
-    within = large.select("run", F.xxhash64("node", "block").alias("bucket"), "set")
-
-    first = own.where("run = 0").unionByName(within.where("run = 0")).drop("run")
-    ties = stored(meet(_several(first, sets, None), similarity), "ties")
-    groups = components(ties)
-    if not large.isEmpty():
-        heads = (
-            _grouped(large, groups)
-            .groupBy("node", "group")
-            .agg(F.min("set").alias("set"))
+    codes = sets.select("set", F.col("set").alias("group"), "codes")
+    own_first = own.where("run = 0").select("bucket", "set")
+    if large.isEmpty():
+        ties = stored(meet(own_first.join(codes, "set"), similarity), "ties")
+        groups = components(ties)
+        rest = own.where("run > 0").select("bucket", "set")
+    else:
+        block = F.pmod(F.xxhash64("set", F.lit(1)), F.ceil(F.col("size") / small))
+        within = large.where("run = 0").select(
+            "node", F.xxhash64("node", block).alias("bucket"), "set"
+        )
+        first = own_first.unionByName(within.select("bucket", "set"))
+        ties = stored(meet(first.join(codes, "set"), similarity), "ties")
+        heads = within.join(ties.select("bucket", F.col("b").alias("set")), ["bucket", "set"], "left_anti")
+        heads = stored(heads.select("node", "set"), "heads")
+        numbers = stored(heads.groupBy("node").agg(F.count(F.lit(1)).alias("n")), "numbers")
+        block = F.pmod(F.xxhash64("set", F.lit(1)), F.ceil(F.col("n") / small))
+        heads = heads.join(numbers, "node").select(
+            "node", "set", F.lit(None).cast("long").alias("only"), block.alias("block")
         )
-        heads = stored(_blocks(heads, small), "heads")
-        more = stored(meet(_several(_pairs_of_blocks(heads), sets, groups), similarity), "ties")
-        ties = ties.unionByName(more)
+        more = meet(_pairs_of_blocks(heads).join(codes, "set"), similarity)
+        ties = ties.unionByName(stored(more, "ties"))
         groups = components(ties)
-    rest = own.unionByName(within).select("bucket", "set")
-    if not large.isEmpty():
         # Members in the blocks of their group; blocks of one group only meet others.
         placed = stored(_blocks(_grouped(large.select("node", "set"), groups), small), "placed")
-        rest = rest.unionByName(_pairs_of_blocks(placed))
+        rest = own.where("run > 0").select("bucket", "set").unionByName(_pairs_of_blocks(placed))
     more = stored(meet(_several(rest, sets, groups), similarity), "ties")
     return components(ties.unionByName(more))
 
 
-def _grouped(rows: DataFrame, groups: DataFrame | None) -> DataFrame:
+def _grouped(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """``rows`` with the ``group`` of their set: itself where nothing is tied to it."""
-    if groups is None:
-        return rows.withColumn("group", F.col("set"))
     roots = groups.select(F.col("node").alias("set"), F.col("root").alias("_root"))
     return (
         rows.join(roots, "set", "left").withColumn("group", F.coalesce("_root", "set")).drop("_root")
     )
 
 
-def _several(buckets: DataFrame, sets: DataFrame, groups: DataFrame | None) -> DataFrame:
+def _several(buckets: DataFrame, sets: DataFrame, groups: DataFrame) -> DataFrame:
     """The rows of buckets that hold sets of several groups, with group and codes."""
     rows = stored(_grouped(buckets, groups).select("bucket", "set", "group"), "buckets")
     many = (
