@@ -332,6 +332,14 @@ _add(
     select 'photo', path from fx_photo where md5hash not in (select md5hash from gone)""",
     "fx_photo", "fx_hash", "fx_tag",
 )
+_add(
+    "wipe_counts",
+    f"""+ {_LOCATED}, n as (select 'import' as name, count(*) as n from fx_import
+      union all select 'hash', count(*) from fx_hash union all select 'photo', count(*) from fx_photo
+      union all select 'tag', count(*) from fx_tag union all select 'location', count(*) from loc)
+    select name, n as rows_before, 0 as rows_after from n""",
+    "fx_import", "fx_photo", "fx_hash", "fx_tag",
+)
 _add("batch_counts", "select dt_import, count(*) as photo_rows from fx_photo group by 1", "fx_photo")
 _add(
     "batch_is_empty",
@@ -543,6 +551,32 @@ _add(
       round(a + b / 60, 6) as degrees from r""",
 )
 
+_add(
+    "stamp_zones",
+    """with z as (select event_id, ts, ['MST', 'CEST', 'UTC', 'EDT', 'EST', 'JST', 'AEDT', 'PDT',
+        'HST', 'IST', 'CST', 'NZDT', 'XYZ'][1 + event_id % 13] as zone from events),
+    o as (select *, case zone when 'MST' then -420 when 'CEST' then 120 when 'UTC' then 0
+      when 'EDT' then -240 when 'EST' then -300 when 'JST' then 540 when 'AEDT' then 660
+      when 'PDT' then -420 when 'HST' then -600 when 'IST' then 330 when 'CST' then -360
+      when 'NZDT' then 780 end as off from z)
+    select event_id,
+      strftime(ts, '%Y-%m-%d %H:%M:%S') || case when off < 0 then '-' else '+' end
+        || lpad(cast(abs(off) // 60 as varchar), 2, '0') || ':'
+        || lpad(cast(abs(off) % 60 as varchar), 2, '0') as dt_iso,
+      case when off is not null
+        then strftime(ts - to_minutes(off), '%Y-%m-%d %H:%M:%S') end as dt_utc
+    from o""",
+)
+_add(
+    "typed_tags",
+    """select md5hash, cast(meta->>'$."EXIF ISOSpeedRatings"' as bigint) as iso,
+      cast(meta->>'$."EXIF ISOSpeedRatings"' as double) as iso_real,
+      meta->>'$."Image Model"' as model, cast(null as bigint) as model_number,
+      meta->>'$."GPS GPSAltitude"' as altitude, meta->>'$."EXIF LensModel"' as lens
+    from fx_tag""",
+    "fx_tag",
+)
+
 _ZONE = r"regexp_extract(ocr, '\d{2}:\d{2}:\d{2} ([A-Z]+)', 1)"
 # The zones that the view has.
 _OFFSET = f"case {_ZONE} when 'MST' then -420 when 'CEST' then 120 when 'UTC' then 0 end"

@@ -583,6 +583,52 @@ def stamp_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.stamp_records(view(spark, sf_dir, "fx_stamp"), base="/cams").drop("ocr")
 
 
+@register
+def stamp_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stamp times of all events, each in one of a dozen zones."""
+    names = F.split(F.lit(ZONES), " ")
+    zone = F.get(names, (F.col("event_id") % F.size(names)).cast("int"))
+    stamp = F.concat(F.date_format("ts", "EEE MMM dd yyyy HH:mm:ss"), F.lit(" "), zone)
+    read = stamps.parse_stamp_datetime(stamp).alias("t")
+    events = table(spark, sf_dir, "events").select("event_id", read)
+    return events.select("event_id", "t.dt_iso", F.date_format("t.dt_utc", "yyyy-MM-dd HH:mm:ss").alias("dt_utc"))
+
+
+ZONES = "MST CEST UTC EDT EST JST AEDT PDT HST IST CST NZDT XYZ"
+
+
+@register
+def typed_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A number, a text that holds a fraction, a text, and tags that are absent or of another kind."""
+    return records.typed_tags(
+        view(spark, sf_dir, "fx_tag"),
+        {
+            "iso": ("EXIF ISOSpeedRatings", "bigint"),
+            "iso_real": ("EXIF ISOSpeedRatings", "double"),
+            "model": ("Image Model", "string"),
+            "model_number": ("Image Model", "bigint"),
+            "altitude": ("GPS GPSAltitude", "string"),
+            "lens": ("EXIF LensModel", "string"),
+        },
+    )
+
+
+@register
+def wipe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of all five tables before and after a wipe."""
+    before = _catalog(spark, sf_dir)
+    after = changes.wipe(before).tables()
+    n, none = F.count(F.lit(1)), F.lit(0).cast("long")
+    counts = [
+        own.agg(now.alias("rows_before"), later.alias("rows_after")).withColumn("name", F.lit(name))
+        for tables, now, later in ((before.tables(), n, none), (after, none, n))
+        for name, own in tables.items()
+    ]
+    every = reduce(DataFrame.unionByName, counts)
+    sums = (F.sum(c).alias(c) for c in ("rows_before", "rows_after"))
+    return every.groupBy("name").agg(*sums)
+
+
 @register
 def stamp_exposure(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "fx_stamp").select(

@@ -6,56 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from fotolake.functions.binding import bind
-
-# Zone abbreviations and their offset from UTC in minutes.
-ZONE_MINUTES = {
-    "UTC": 0,
-    "GMT": 0,
-    "Z": 0,
-    "WET": 0,
-    "WEST": 60,
-    "BST": 60,
-    "CET": 60,
-    "CEST": 120,
-    "EET": 120,
-    "EEST": 180,
-    "MSK": 180,
-    "JST": 540,
-    "KST": 540,
-    "AEST": 600,
-    "AEDT": 660,
-    "NZST": 720,
-    "NZDT": 780,
-    "AST": -240,
-    "ADT": -180,
-    "EST": -300,
-    "EDT": -240,
-    "CST": -360,
-    "CDT": -300,
-    "MST": -420,
-    "MDT": -360,
-    "PST": -480,
-    "PDT": -420,
-    "AKST": -540,
-    "AKDT": -480,
-    "HST": -600,
-    "IST": 330,
-    "PKT": 300,
-    "ICT": 420,
-    "WIB": 420,
-    "SGT": 480,
-    "HKT": 480,
-    "AWST": 480,
-    "ACST": 570,
-    "SAST": 120,
-    "CAT": 120,
-    "EAT": 180,
-    "WAT": 60,
-    "BRT": -180,
-    "ART": -180,
-    "COT": -300,
-    "PET": -300,
-}
+from fotolake.functions.zones import zone_minutes
 
 # Fixed value: the stamp's time, e.g. ``Mon Jan 05 2024 01:02:03 MST``.
 _STAMP_TIME = (
@@ -98,7 +49,10 @@ def _times(parts: Column) -> Column:
     month = F.floor((F.instr(F.lit(_MONTHS), part(1)) + 3) / 4).cast("string")
     day = F.concat_ws("-", part(0), F.lpad(month, 2, "0"), part(2))
     local = F.concat(day, F.lit(" "), part(3))
-    minutes = _zone_minutes(part(4))
+
+    def timed(read: Column) -> Column:
+        minutes = zone_minutes(read["zone"], read["naive"])
+        return bind(F.struct(read["naive"].alias("naive"), minutes.alias("minutes")), both)
 
     def both(values: Column) -> Column:
         naive, minutes = values["naive"], values["minutes"]
@@ -114,14 +68,8 @@ def _times(parts: Column) -> Column:
             F.concat(F.date_format(naive, "yyyy-MM-dd HH:mm:ss"), offset).alias("dt_iso"),
         )
 
-    return bind(
-        F.struct(local.try_cast("timestamp_ntz").alias("naive"), minutes.alias("minutes")), both
-    )
-
-
-def _zone_minutes(zone: Column) -> Column:
-    pairs = [F.lit(item) for pair in ZONE_MINUTES.items() for item in pair]
-    return F.try_element_at(F.create_map(*pairs), zone)
+    naive = local.try_cast("timestamp_ntz").alias("naive")
+    return bind(F.struct(naive, part(4).alias("zone")), timed)
 
 
 def parse_exposure(text: Column) -> Column:

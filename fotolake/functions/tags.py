@@ -80,6 +80,19 @@ def tag_map(meta: Column) -> Column:
     return F.from_json(meta, "map<string,string>")
 
 
+def tag_variant(meta: Column) -> Column:
+    """The JSON object of a file's tags as a VARIANT, parsed once; NULL if it is no JSON."""
+    return F.try_parse_json(meta)
+
+
+def typed_tag(variant: Column, key: str, kind: str) -> Column:
+    """One tag of a variant as ``kind`` (``bigint``, ``double``, ``string``, ...).
+
+    NULL where the tag is absent or its value is not of that kind.
+    """
+    return F.try_variant_get(variant, f"$['{key}']", kind)
+
+
 def exif_tag(tags: Column, key: str) -> Column:
     """Value of one key in an array of (key, field_type, value)."""
     hits = F.filter(tags, lambda tag: tag["key"] == key)

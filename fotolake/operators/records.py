@@ -15,6 +15,18 @@ def tags_long(tag: DataFrame) -> DataFrame:
     return tag.select("md5hash", F.explode(tags.tag_map(F.col("meta"))).alias("key", "value"))
 
 
+def typed_tags(tag: DataFrame, wanted: dict[str, tuple[str, str]]) -> DataFrame:
+    """One row per hash with typed columns: name -> (key of the tag, kind).
+
+    The object is parsed once for all columns.
+    """
+    parsed = tag.select("md5hash", tags.tag_variant(F.col("meta")).alias("_tags"))
+    columns = (
+        tags.typed_tag(F.col("_tags"), key, kind).alias(name) for name, (key, kind) in wanted.items()
+    )
+    return parsed.select("md5hash", *columns)
+
+
 def tag_names(names: str) -> list[str]:
     """Names of a comma-separated list."""
     return [name.strip() for name in names.split(",") if name.strip()]
