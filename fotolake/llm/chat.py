@@ -2,165 +2,116 @@
 
 The chosen and the rejected conversation of a pair agree up to a first turn where they
 differ. The common turns are rendered once as the prompt, the rest of either side as its
-completion. A rendered turn is a row of its own, with the characters on which a loss is
-taken, so that no conversation has to fit in one task: a trainer reads prompt + chosen
-and prompt + rejected in turn order.
-
-Defined results: turns go by their number, turns without one come last; rows of one turn
-number are one turn, in the order of role and text, equal rows once; a null role or text
-is empty; a pair of which one side is missing has no common turns and ``complete`` is false;
-further columns are ignored.
-
-A turn whose rows have more than ``LARGE_TURN`` characters is never put in one row: each of
-its rows is rendered by itself, with a loss if its own role is trained on; they go in the
-order of role and text. Rows without pair_id are a pair of their own each: one that both
-sides have is a prompt, others are a completion of their side; repeated rows stay.
+completion. Every message is a rendered row of its own, with the characters on which a loss
+is taken, so that neither a conversation nor a turn has to fit in one row or task: a trainer
+reads prompt + chosen and prompt + rejected in the order of turn, message and copy.
+
+Defined results: turns go by their number, turns without one come last; the messages of a
+turn go by role and text, and ``message`` is that place among the different messages of
+either side; repeated messages stay, told apart by ``copy``; sides differ in a turn where
+they have a message not equally often; a null role or text is empty; a pair of which one
+side is missing has no common turns and ``complete`` is false; rows without pair_id are a
+pair of their own each: one that both sides have is a prompt, others are a completion of
+their side; further columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fotolake.llm.common import stored
+from fotolake.operators.ranking import number_rows
 
 # Turns without number stand after all others.
 LAST_TURN = (1 << 63) - 1
 OPEN, CLOSE, END = "<|", "|>\n", "<|end|>\n"
-LARGE_TURN = 1 << 24
 # Repeated rows are written so many at a time.
 _REPEATS = 1 << 16
 
 
 def preference_rows(
-    chosen: DataFrame,
-    rejected: DataFrame,
-    train_roles: tuple[str, ...] = ("assistant",),
-    large_turn: int = LARGE_TURN,
+    chosen: DataFrame, rejected: DataFrame, train_roles: tuple[str, ...] = ("assistant",)
 ) -> DataFrame:
-    """Rendered turns of pairs, from two tables of ``pair_id, turn, role, text``.
+    """Rendered messages of pairs, from two tables of ``pair_id, turn, role, text``.
 
-    Returns pair_id, part (prompt, chosen or rejected), turn, text, n_chars,
+    Returns pair_id, part (prompt, chosen or rejected), turn, message, copy, text, n_chars,
     loss_start, loss_end (the span of ``text`` that is trained on, empty where masked),
-    complete. A turn is trained on in a completion if one of its rows has a train role:
-    then from the end of its first header to its end.
+    complete. A message of a completion is trained on if it has a train role: from the end
+    of its header to its end.
     """
     every = _side(chosen, 0).unionByName(_side(rejected, 1))
-    sides = every.where("pair_id is not null")
-    size = F.char_length("role").cast("long") + F.char_length("text")
-    large = stored(
-        sides.groupBy("pair_id", "turn")
-        .agg(F.sum(size).alias("size"))
-        .where(F.col("size") > large_turn)
-        .select("pair_id", "turn"),
-        "large",
-    )
-    has_large = not large.isEmpty()
-    small = sides.join(large, ["pair_id", "turn"], "left_anti") if has_large else sides
-    # Either side of a turn in one row: one shuffle, by pair and turn.
-    turns = (
-        small.groupBy("pair_id", "turn")
-        .agg(F.collect_set(F.struct("side", "role", "text")).alias("rows"))
-        .select("pair_id", "turn", *(_rows_of(i).alias(f"rows{i}") for i in (0, 1)))
-    )
-    # Read twice below: for where the sides part, and for the texts.
-    turns = stored(turns, "turns")
-    differs = ~F.col("rows0").eqNullSafe(F.col("rows1"))
-    numbers = F.size("rows0"), F.size("rows1")
-    states = turns.select("pair_id", "turn", differs.alias("differs"), *_has(*numbers))
-    if has_large:
-        single = stored(_single_rows(sides.join(large, ["pair_id", "turn"], "left_semi")), "single")
-        differs = (F.col("n0") > 0) != (F.col("n1") > 0)
-        states = states.unionByName(
-            single.select("pair_id", "turn", differs.alias("differs"), *_has(F.col("n0"), F.col("n1")))
-        )
-    pairs = states.groupBy(F.col("pair_id").alias("_pair")).agg(
-        F.min(F.when(F.col("differs"), F.col("turn"))).alias("fork"),
-        (F.max("has0") & F.max("has1")).alias("complete"),
+    # Read for where the sides part, and for the texts.
+    messages = stored(_counted(every.where("pair_id is not null")), "messages")
+    pairs = messages.groupBy(F.col("pair_id").alias("_pair")).agg(
+        F.min(F.when(F.col("n0") != F.col("n1"), F.col("turn"))).alias("fork"),
+        (F.max(F.col("n0") > 0) & F.max(F.col("n1") > 0)).alias("complete"),
     )
     pairs = stored(pairs, "pairs")
-    common = F.col("fork").isNull() | (F.col("turn") < F.col("fork"))
-    joined = turns.join(pairs, F.col("pair_id") == F.col("_pair")).drop("_pair")
-    parts = F.inline(_parts(common, F.col("rows0"), F.col("rows1")))
-    found = _rendered(joined.select("pair_id", "turn", "complete", parts), train_roles)
-    if has_large:
-        # Pairs with large turns are few, so that Spark can broadcast them.
-        ids = large.select("pair_id").distinct()
-        own = stored(pairs.join(ids, F.col("_pair") == F.col("pair_id"), "left_semi"), "own")
-        joined = single.join(own, F.col("pair_id") == F.col("_pair")).drop("_pair")
-        parts = F.inline(_parts(common, _row_if(F.col("n0") > 0), _row_if(F.col("n1") > 0)))
-        rows = joined.select("pair_id", "turn", "complete", parts)
-        found = found.unionByName(_rendered(rows, train_roles))
-    return found.unionByName(_rendered(_pairs_of_rows(every.where("pair_id is null")), train_roles))
-
-
-def _has(n0, n1) -> list:
-    return [(n0 > 0).alias("has0"), (n1 > 0).alias("has1")]
-
-
-def _single_rows(sides: DataFrame) -> DataFrame:
-    """Different rows with their number on either side, combined before the shuffle."""
+    placed = number_rows(messages, ["pair_id", "turn"], ["role", "text"], "message")
+    joined = placed.join(pairs, F.col("pair_id") == F.col("_pair")).drop("_pair")
+    prompt = F.col("fork").isNull() | (F.col("turn") < F.col("fork"))
+    none = F.lit(0).cast("long")
+    found = joined.select(
+        "pair_id", "turn", "message", "role", "text", "complete",
+        F.inline(
+            _parts(
+                F.when(prompt, F.col("n0")).otherwise(none),
+                F.when(prompt, none).otherwise(F.col("n0")),
+                F.when(prompt, none).otherwise(F.col("n1")),
+            )
+        ),
+    )
+    own = _counted(every.where("pair_id is null"))
+    both = F.least("n0", "n1")
+    own = own.select(
+        "pair_id", "turn", F.lit(1).cast("long").alias("message"), "role", "text",
+        F.inline(_parts(both, F.col("n0") - both, F.col("n1") - both)),
+    ).withColumn("complete", F.col("part") == "prompt")
+    alone = _copies(own).withColumn("copy", F.lit(1).cast("long"))
+    return _rendered(_copies(found), train_roles).unionByName(_rendered(alone, train_roles))
+
+
+def _counted(sides: DataFrame) -> DataFrame:
+    """Different messages with their number on either side, combined before the shuffle."""
     return sides.groupBy("pair_id", "turn", "role", "text").agg(
         *(F.count(F.when(F.col("side") == i, F.lit(1))).alias(f"n{i}") for i in (0, 1))
     )
 
 
-def _row_if(condition):
-    """The row as the only one of a turn, or none."""
-    row = F.array(F.struct("role", "text"))
-    return F.when(condition, row).otherwise(F.slice(row, 1, 0))
-
-
-def _parts(common, rows0, rows1):
-    """Part and rows of a turn: the prompt of common turns, else a completion of either side."""
-    parts = F.when(common, F.array(F.struct(F.lit("prompt").alias("part"), rows0.alias("rows"))))
-    return parts.otherwise(
-        F.array(
-            F.struct(F.lit("chosen").alias("part"), rows0.alias("rows")),
-            F.struct(F.lit("rejected").alias("part"), rows1.alias("rows")),
-        )
-    )
+def _parts(prompt: Column, chosen: Column, rejected: Column) -> Column:
+    """The parts of a message with the number of its copies in each."""
+    numbers = (("prompt", prompt), ("chosen", chosen), ("rejected", rejected))
+    return F.array(*(F.struct(F.lit(part).alias("part"), n.alias("n")) for part, n in numbers))
 
 
-def _pairs_of_rows(sides: DataFrame) -> DataFrame:
-    """Rows without pair_id, each a pair of its own, as often as they are there."""
-    both = F.least("n0", "n1")
-    numbers = (
-        ("prompt", both, True),
-        ("chosen", F.col("n0") - both, False),
-        ("rejected", F.col("n1") - both, False),
-    )
-    parts = F.array(
-        *(F.struct(F.lit(p).alias("part"), n.alias("n"), F.lit(c).alias("complete")) for p, n, c in numbers)
-    )
-    runs = _single_rows(sides).select("pair_id", "turn", "role", "text", F.inline(parts)).where("n > 0")
-    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(_REPEATS).cast("long")))
-    runs = runs.withColumn("_start", starts)
-    runs = runs.withColumn("_n", F.least(F.col("n") - F.col("_start"), F.lit(_REPEATS)).cast("int"))
-    return runs.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(
-        "pair_id", "turn", "complete", "part", F.array(F.struct("role", "text")).alias("rows")
-    )
+def _copies(rows: DataFrame) -> DataFrame:
+    """Every row ``n`` times, with its number as ``copy``."""
+    step = F.lit(_REPEATS).cast("long")
+    starts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, step))
+    runs = rows.where("n > 0").withColumn("_start", starts)
+    last = F.least(F.col("n") - F.col("_start"), step)
+    copies = F.explode(F.sequence(F.lit(1).cast("long"), last))
+    return runs.withColumn("_i", copies).withColumn("copy", F.col("_start") + F.col("_i"))
 
 
-def _rendered(turns: DataFrame, train_roles: tuple[str, ...]) -> DataFrame:
-    """The result rows of ``pair_id, turn, complete, part, rows``."""
-    rendered = F.array_join(F.transform("rows", _render), "")
-    roles = F.array(*map(F.lit, train_roles))
-    trained = (F.col("part") != "prompt") & F.exists(
-        "rows", lambda row: F.array_contains(roles, row["role"])
-    )
-    header = F.length(F.concat(F.lit(OPEN), F.col("rows")[0]["role"], F.lit(CLOSE)))
+def _rendered(rows: DataFrame, train_roles: tuple[str, ...]) -> DataFrame:
+    """The result rows of ``pair_id, turn, message, copy, complete, part, role, text``."""
+    header = F.concat(F.lit(OPEN), F.col("role"), F.lit(CLOSE))
+    trained = (F.col("part") != "prompt") & F.col("role").isin(*train_roles)
     size = F.char_length("text")
     return (
-        turns.where(F.size("rows") > 0)
-        .withColumn("text", rendered)
+        rows.withColumn("_header", F.length(header))
+        .withColumn("text", F.concat(header, F.col("text"), F.lit(END)))
         .select(
             "pair_id",
             "part",
             F.when(F.col("turn") != LAST_TURN, F.col("turn")).alias("turn"),
+            "message",
+            "copy",
             "text",
             size.cast("long").alias("n_chars"),
-            F.when(trained, header).otherwise(size).cast("long").alias("loss_start"),
+            F.when(trained, F.col("_header")).otherwise(size).cast("long").alias("loss_start"),
             size.cast("long").alias("loss_end"),
             "complete",
         )
@@ -177,17 +128,6 @@ def _side(rows: DataFrame, side: int) -> DataFrame:
     )
 
 
-def _rows_of(side: int):
-    own = F.filter("rows", lambda row: row["side"] == side)
-    return F.array_sort(
-        F.transform(own, lambda row: F.struct(row["role"].alias("role"), row["text"].alias("text")))
-    )
-
-
-def _render(row):
-    return F.concat(F.lit(OPEN), row["role"], F.lit(CLOSE), row["text"], F.lit(END))
-
-
 def swapped_answers(conversations: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Pairs from ``conv_id, turn, role, text``: each conversation, and itself with another end.
 

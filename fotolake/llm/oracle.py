@@ -217,31 +217,28 @@ rejected as (
   union all
   select x.pair_id, x.e.turn, y.e.role, y.e.text from ends x join ends y on y.pair_id = xor(x.pair_id, 1)),
 sides as (
-  select distinct 0 as side, pair_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from own
+  select 0 as side, pair_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from own
   union all
-  select distinct 1, pair_id, turn, coalesce(role, ''), coalesce(text, '') from rejected),
-turns as (
-  select pair_id, turn,
-         list({'role': role, 'text': text} order by role, text) filter (where side = 0) as r0,
-         list({'role': role, 'text': text} order by role, text) filter (where side = 1) as r1
-  from sides group by pair_id, turn),
+  select 1, pair_id, turn, coalesce(role, ''), coalesce(text, '') from rejected),
+messages as (
+  select pair_id, turn, role, text, count(*) filter (side = 0) as n0, count(*) filter (side = 1) as n1,
+         row_number() over (partition by pair_id, turn order by role, text) as message
+  from sides group by pair_id, turn, role, text),
 forks as (
-  select pair_id, min(turn) filter (where r0 is distinct from r1) as fork,
-         bool_or(r0 is not null) and bool_or(r1 is not null) as complete
-  from turns group by pair_id),
+  select pair_id, min(turn) filter (n0 <> n1) as fork, bool_or(n0 > 0) and bool_or(n1 > 0) as complete
+  from messages group by pair_id),
 parts as (
-  select pair_id, 'prompt' as part, turn, r0 as r, complete from turns join forks using (pair_id) where fork is null or turn < fork
-  union all
-  select pair_id, 'chosen', turn, r0, complete from turns join forks using (pair_id) where turn >= fork and r0 is not null
-  union all
-  select pair_id, 'rejected', turn, r1, complete from turns join forks using (pair_id) where turn >= fork and r1 is not null),
+  select m.*, complete, p.part, unnest(range(1, p.n + 1)) as copy
+  from messages m join forks using (pair_id),
+    lateral (select unnest(case when fork is null or turn < fork then [{'part': 'prompt', 'n': n0}]
+      else [{'part': 'chosen', 'n': n0}, {'part': 'rejected', 'n': n1}] end) as p) t),
 rendered as (
-  select *, array_to_string(list_transform(r, lambda x: '<|' || x.role || '|>' || chr(10) || x.text || '<|end|>' || chr(10)), '') as text,
-         part <> 'prompt' and list_contains(list_transform(r, lambda x: x.role), 'assistant') as trained
+  select *, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) as whole,
+         part <> 'prompt' and role = 'assistant' as trained
   from parts)
-select pair_id, part, turn, text, length(text) as n_chars,
-       case when trained then length('<|' || r[1].role || '|>') + 1 else length(text) end as loss_start,
-       length(text) as loss_end, complete
+select pair_id, part, turn, message, copy, whole as text, length(whole) as n_chars,
+       case when trained then length('<|' || role || '|>') + 1 else length(whole) end as loss_start,
+       length(whole) as loss_end, complete
 from rendered
 """
 

@@ -495,6 +495,8 @@ def test_preferences(spark):
     rejected = common + [(1, 2, "assistant", "no", "p"), (1, 3, "user", "?", "p"), (3, None, "user", "x", "p")]
     found = chat.preference_rows(spark.createDataFrame(chosen, ddl), spark.createDataFrame(rejected, ddl)).collect()
     got = {(r["pair_id"], r["part"], r["turn"]): r for r in found}
+    twice = [(r["message"], r["copy"]) for r in found if (r["part"], r["turn"]) == ("prompt", 1)]
+    assert sorted(twice) == [(1, 1), (1, 2)] and len(found) == len(got) + 1
     assert set(got) == {
         (1, "prompt", 0), (1, "prompt", 1), (1, "chosen", 2), (1, "rejected", 2), (1, "rejected", 3),
         (2, "chosen", 0), (3, "prompt", None),
@@ -519,35 +521,31 @@ def test_preferences_of_rows_without_id(spark):
     none = "<||>\n<|end|>\n"
     same(
         found.collect(),
-        [(None, "prompt", 0, a, len(a), len(a), len(a), True)] * 2
-        + [(None, "prompt", 0, b, len(b), len(b), len(b), True)]
-        + [(None, "prompt", None, none, len(none), len(none), len(none), True)]
-        + [(None, "chosen", 0, c, len(c), len("<|assistant|>\n"), len(c), False)]
-        + [(None, "rejected", 0, a, len(a), len(a), len(a), False)],
+        [(None, "prompt", 0, 1, 1, a, len(a), len(a), len(a), True)] * 2
+        + [(None, "prompt", 0, 1, 1, b, len(b), len(b), len(b), True)]
+        + [(None, "prompt", None, 1, 1, none, len(none), len(none), len(none), True)]
+        + [(None, "chosen", 0, 1, 1, c, len(c), len("<|assistant|>\n"), len(c), False)]
+        + [(None, "rejected", 0, 1, 1, a, len(a), len(a), len(a), False)],
     )
 
 
-def test_preferences_of_large_turns_row_by_row(spark):
+def test_preferences_of_turns_of_any_size(spark):
+    """A row per message, with a loss by its own role, however many and long they are."""
     ddl = "pair_id long, turn long, role string, text string"
-    start = [(1, 0, "user", f"u{i:02}") for i in range(30)] + [(2, 0, "user", "x")]
+    start = [(1, 0, "user", f"u{i:02}") for i in range(30)]
     chosen = start + [(1, 1, r, f"{t}{i:02}") for r, t in (("user", "q"), ("assistant", "y")) for i in range(30)]
-    rejected = start + start[:5] + [(1, 1, "assistant", f"n{i:02}") for i in range(30)] + [(2, 1, "assistant", "z")]
+    rejected = start + start[:5] + [(1, 1, "assistant", "n" * 5_000_000)]
     tables = [spark.createDataFrame(rows, ddl) for rows in (chosen, rejected)]
-    whole = chat.preference_rows(*tables).collect()
-    found = chat.preference_rows(*tables, large_turn=40).collect()
-    assert len(found) == 30 + 60 + 30 + 2 and len(whole) == 3 + 2
-
-    def joined(rows):
-        texts = {}
-        for r in sorted(rows, key=lambda r: r["text"]):
-            key = r["pair_id"], r["part"], r["turn"], r["complete"]
-            texts[key] = texts.get(key, "") + r["text"]
-        return texts
-
-    assert joined(found) == joined(whole)
+    found = chat.preference_rows(*tables).collect()
+    # The sides part in turn 0, where five messages are there once more.
+    counts = {}
     for r in found:
-        own = r["part"] != "prompt" and r["text"].startswith("<|assistant|>")
-        assert (r["loss_start"] == len("<|assistant|>\n")) if own else (r["loss_start"] == r["loss_end"])
+        key = r["part"], r["turn"]
+        counts[key] = counts.get(key, 0) + 1
+        assert (r["loss_start"] == len("<|assistant|>\n")) == r["text"].startswith("<|assistant|>")
+    assert counts == {("chosen", 0): 30, ("rejected", 0): 35, ("chosen", 1): 60, ("rejected", 1): 1}
+    order = [r["text"] for r in sorted(found, key=lambda r: (r["turn"], r["message"])) if r["part"] == "chosen"]
+    assert order == sorted(order[:30]) + sorted(order[30:])
 
 
 def test_swapped_answers(spark):
