@@ -24,6 +24,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 MAX_REPEATS = 3
 BLOCK_WORDS = 64
 SHARD_WORDS = 1 << 22
+SHARD_ROWS = 1_000_000
 SEED = 20240229
 
 
@@ -34,11 +35,13 @@ def mix(
     block_words: int = BLOCK_WORDS,
     shard_words: int = SHARD_WORDS,
     seed: int = SEED,
+    shard_rows: int = SHARD_ROWS,
 ) -> DataFrame:
     """doc_id, size, source_size, target (of the source), taken (words, repeats counted)."""
     sized = stored(_sizes(docs, seed), "sizes")
     sources = targets(sized, weights, max_repeats).withColumn(
-        "n_shards", (F.col("source_size") / shard_words + 1).cast("long")
+        "n_shards",
+        (F.greatest(F.col("source_size") / shard_words, F.col("n_rows") / shard_rows) + 1).cast("long"),
     )
     # Sizes below are of tables with a row per source or per shard, not per document.
     sources = _apportion(sources, "target", block_words, [])
@@ -47,7 +50,7 @@ def mix(
         .groupBy("source_key", F.pmod("order", F.col("n_shards")).alias("shard"))
         .agg(F.sum("size").alias("shard_size"))
         .join(sources, "source_key")
-        .withColumn("share", F.col("target") * F.col("shard_size") / F.col("source_size"))
+        .withColumn("share", F.col("target") * _part_of("shard_size", "source_size"))
         .withColumn("n_blocks", F.col("seats"))
     )
     cells = stored(_apportion_shards(shards, block_words, max_repeats), "cells")
@@ -74,6 +77,11 @@ def mix(
     )
 
 
+def _part_of(one: str, whole: str) -> Column:
+    """A share, 0 of nothing."""
+    return F.when(F.col(whole) > 0, F.col(one) / F.col(whole)).otherwise(F.lit(0.0))
+
+
 def _sizes(docs: DataFrame, seed: int) -> DataFrame:
     # A hash that other engines have too.
     digest = F.md5(
@@ -92,13 +100,15 @@ def _sizes(docs: DataFrame, seed: int) -> DataFrame:
 
 
 def targets(sized: DataFrame, weights: tuple[float, ...], max_repeats: int) -> DataFrame:
-    """Per source: source_size, target.
+    """Per source: source_size, n_rows, target.
 
     Filling by weight with caps ends at one level L, where target = min(cap, weight * L).
     In the order of cap / weight, a source is capped if its ratio is below the level that
     the sources from it on would share.
     """
-    sources = sized.groupBy("source_key").agg(F.sum("size").alias("source_size"))
+    sources = sized.groupBy("source_key").agg(
+        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")
+    )
     by_name = Window.orderBy(F.col("source_key") == "", "source_key")
     turn = (F.row_number().over(by_name) - 1) % len(weights)
     weight = F.element_at(F.array(*map(F.lit, weights)), (turn + 1).cast("int"))
@@ -128,6 +138,7 @@ def targets(sized: DataFrame, weights: tuple[float, ...], max_repeats: int) -> D
         .select(
             "source_key",
             "source_size",
+            "n_rows",
             F.when(F.col("ratio") > F.col("own_level"), F.col("weight") * F.col("level"))
             .otherwise(F.col("cap"))
             .cast("double")
