@@ -350,13 +350,16 @@ def extract(page: str, weights: np.ndarray) -> str:
 
 
 def learn_costs(pages: DataFrame, fit_pages: int = FIT_PAGES) -> np.ndarray:
-    """Weights from the blocks of at most ``fit_pages`` pages whose markup names them."""
+    """Weights from the blocks of at most ``fit_pages`` pages whose markup names them.
+
+    Equal rows are one page; at most ``FIT_BLOCKS`` blocks reach the driver.
+    """
     keyed = pages.where("html is not null").select(
         F.xxhash64("page_id", "html").alias("_order"), "html"
     )
     # Only keys are ordered; there are at most ``fit_pages`` of them to broadcast.
     keys = keyed.select("_order").orderBy("_order").limit(fit_pages).distinct()
-    chosen = keyed.join(F.broadcast(keys), "_order").select("_order", "html")
+    chosen = keyed.join(F.broadcast(keys), "_order").groupBy("_order").agg(F.min("html").alias("html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -364,7 +367,7 @@ def learn_costs(pages: DataFrame, fit_pages: int = FIT_PAGES) -> np.ndarray:
                 blocks, _ = read_blocks(page.as_py())
                 rows = zip(block_features(blocks), blocks, strict=True)
                 named = [(x, b.named > 0) for x, b in rows if b.named]
-                named = named[:: max(1, len(named) * fit_pages // FIT_BLOCKS)]
+                named = named[:: max(1, -(-len(named) * fit_pages // FIT_BLOCKS))]
                 if named:
                     yield pa.record_batch(
                         [

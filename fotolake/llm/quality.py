@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from fotolake.llm.common import text_bytes
+from fotolake.llm.common import text_bytes, text_key
 
 # Labelled rows that the fit takes, by hash order of their id: the bound of what the driver sees.
 FIT_ROWS = 20_000
@@ -213,7 +213,8 @@ def fit_rules(
 def learn_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> list[Rule]:
     """Rules for documents of quality 0, from ``doc_id, text`` and ``doc_id, quality``.
 
-    At most ``fit_rows`` labelled rows take part, so their join side is bounded.
+    At most ``fit_rows`` labels take part, each with one row of its document, so the join
+    side and what the driver receives are bounded.
     """
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("_id"), F.col("quality").cast("int"))
@@ -222,10 +223,17 @@ def learn_rules(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) ->
         .limit(fit_rows)
     )
     own = features()
-    rows = (
+    ids = chosen.select("_id").distinct()
+    # Rows of one doc_id are one: that with the smallest text key.
+    counted = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-        .join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-        .select("_id", "quality", counts().alias("_c"))
+        .join(F.broadcast(ids), F.col("doc_id") == F.col("_id"))
+        .select("_id", text_key().alias("_key"), counts().alias("_c"))
+        .groupBy("_id")
+        .agg(F.min_by("_c", "_key").alias("_c"))
+    )
+    rows = (
+        counted.join(F.broadcast(chosen), "_id")
         .select("_id", "quality", "_c.*")
         .select("_id", "quality", *(column.alias(name) for name, column in own.items()))
         .toPandas()
