@@ -13,14 +13,28 @@ rules(rhost, rpath, verdict) as (
   values ('com', '/', 'allow'), ('example.com', '/en/', 'block'),
          ('www.example.com', '/en/', 'allow'), ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
 tags as (
-  select url, unnest(regexp_extract_all(coalesce(html, ''),
-    '(?i)<(?:link|meta)\b[^>]*(?:canonical|refresh|og:url)[^>]*>')) as tag
+  select url, unnest(regexp_extract_all(coalesce(html, ''), '(?i)<(?:link|meta)[\s/][^<>]*')) as tag
   from pages),
+attributes as (
+  select url, tag, list_transform(regexp_extract_all(tag,
+    '[\s"''/][^\s"''/<>=]+\s*=\s*(?:"[^"]*"|''[^'']*''|[^\s"''<>]+)'),
+    lambda a: {'name': lower(regexp_extract(a, '^[\s"''/]([^\s=]+)', 1)),
+               'value': trim(regexp_replace(regexp_extract(a, '=\s*([\s\S]*)$', 1), '^["'']|["'']$', '', 'g'))}) as own
+  from tags where regexp_matches(tag, '(?i)canonical|refresh|og:url')),
+named as (
+  select url, lower(tag[2:5]) as element,
+    list_filter(own, lambda a: a.name = 'rel')[1].value as rel, list_filter(own, lambda a: a.name = 'href')[1].value as href,
+    lower(list_filter(own, lambda a: a.name = 'http-equiv')[1].value) as equiv,
+    lower(list_filter(own, lambda a: a.name = 'property')[1].value) as property,
+    lower(list_filter(own, lambda a: a.name = 'name')[1].value) as name,
+    list_filter(own, lambda a: a.name = 'content')[1].value as content
+  from attributes),
 raw as (
-  select url, replace(regexp_extract(tag,
-    '(?i)(?:href|content)\s*=\s*(?:"|'')?\s*(?:[0-9.]+\s*;\s*url\s*=\s*)?''?([^"''>\s]+)', 1),
-    '&amp;', '&') as t
-  from tags),
+  select url, replace(coalesce(case when element = 'link' then
+      case when regexp_matches(rel, '(?i)(^|\s)canonical(\s|$)') then href end
+    when equiv = 'refresh' then regexp_extract(content, '(?i)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*["'']?\s*([^\s"'']+)', 1)
+    when property = 'og:url' or name = 'og:url' then content end, ''), '&amp;', '&') as t
+  from named),
 links as (
   select url, case when t like '%://%' then t
     when t like '//%' then split_part(url, '://', 1) || ':' || t

@@ -8,7 +8,7 @@ and none explicitly allows one, else allow.
 
 Defined results: a null url, or one without ``://``, has an empty host and path, fits no
 rule, has no aliases and is allowed; repeated rows are judged each; null html has no links;
-other columns are ignored.
+html of any length is searched in time in proportion to it; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -80,15 +80,48 @@ def node_of(url: Column) -> Column:
     return F.when(host != "", F.concat(host, path, F.lit("?"), F.array_join(kept, "&")))
 
 
+# A tag ends at the next angle bracket at the latest; quoted values are taken whole, so that
+# what stands in them is no attribute. All patterns go forward.
+_TAGS = r"(?i)<(?:link|meta)[\s/][^<>]*"
+_ATTRIBUTE = r"[\s\"'/][^\s\"'/<>=]+\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'<>]+)"
+_REFRESH = r"(?i)^\s*[0-9.]*\s*[;,]?\s*url\s*=\s*[\"']?\s*([^\s\"']+)"
+
+
+def _value(tag: Column, name: str) -> Column:
+    """The value of the first attribute of this name; empty if there is none."""
+    own = F.filter(
+        F.regexp_extract_all(tag, F.lit(f"({_ATTRIBUTE})"), 1),
+        lambda a: a.rlike(rf"(?i)^[\s\"'/]{name}\s*="),
+    )
+    raw = F.regexp_extract(F.get(own, 0), r"=\s*([\s\S]*)$", 1)
+    return F.coalesce(F.trim(F.regexp_replace(raw, r"^[\"']|[\"']$", "")), F.lit(""))
+
+
+def _target(tag: Column) -> Column:
+    """Where a link or meta element leads: by rel, http-equiv, property or name; else empty."""
+    content = _value(tag, "content")
+    return (
+        F.when(
+            tag.rlike(r"(?i)^<link"),
+            F.when(_value(tag, "rel").rlike(r"(?i)(^|\s)canonical(\s|$)"), _value(tag, "href")),
+        )
+        .when(F.lower(_value(tag, "http-equiv")) == "refresh", F.regexp_extract(content, _REFRESH, 1))
+        .when(
+            (F.lower(_value(tag, "property")) == "og:url") | (F.lower(_value(tag, "name")) == "og:url"),
+            content,
+        )
+    )
+
+
 def link_targets(url: Column, html: Column) -> Column:
     """Absolute urls that a page names as its canonical address or redirects to."""
-    tags = F.regexp_extract_all(
-        html, F.lit(r"(?i)(<(?:link|meta)\b[^>]*(?:canonical|refresh|og:url)[^>]*>)"), 1
+    # Most pages have no such element; the first test keeps them from the rest.
+    tags = F.filter(
+        F.regexp_extract_all(html, F.lit(f"({_TAGS})"), 1),
+        lambda tag: tag.rlike("(?i)canonical|refresh|og:url"),
     )
-    quoted = r"(?i)(?:href|content)\s*=\s*(?:\"|')?\s*(?:[0-9.]+\s*;\s*url\s*=\s*)?'?([^\"'>\s]+)"
     found = F.transform(
-        tags,
-        lambda tag: F.replace(F.regexp_extract(tag, quoted, 1), F.lit("&amp;"), F.lit("&")),
+        tags, lambda tag: F.replace(F.coalesce(_target(tag), F.lit("")), F.lit("&amp;"), F.lit("&"))
     )
     scheme = F.concat(F.substring_index(url, "://", 1), F.lit(":"))
     site = F.concat(scheme, F.lit("//"), host_of(url))

@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables, clashing names."""
 
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +22,7 @@ from fotolake.llm import (
 )
 from fotolake.llm.common import stored
 
+from pyspark.sql import functions as F
 from tests.llm import brute
 
 LONG = " ".join(f"w{i % 977}x{i // 977}" for i in range(60_000))
@@ -333,8 +335,6 @@ def test_mixing_of_odd_texts(spark, docs, none):
 
 
 def test_seats_are_those_of_the_highest_quotients(spark):
-    from pyspark.sql import functions as F
-
     rng = np.random.default_rng(5)
     shares = (rng.random(40) ** 4 * 1e4).tolist() + [0.0]
     for n in (0, 3, 41, 5000):
@@ -391,6 +391,37 @@ def test_aliases_take_block_and_allow(spark):
     }
 
 
+def test_links_are_attributes(spark):
+    tags = {
+        '<link rel="stylesheet" href="/canonical.css">': [],
+        '<meta name="description" content="refreshing drinks">': [],
+        "<link rel=alternate href='http://b.net/es/refresh'>": [],
+        '<link title=" rel=canonical " href="/x">': [],
+        '<meta http-equiv="refresh" content="5">': [],
+        "<LINK HREF=/a REL='nofollow Canonical'>": ["http://h.net/a"],
+        '<link rel=canonical href="http://b.net/?a=1&amp;b=2"/>': ["http://b.net/?a=1&b=2"],
+        "<meta http-equiv=Refresh content=\"0; URL='//c.net/'\">": ["http://c.net/"],
+        '<meta content="d" property="og:url"><meta name=og:url content=/e>': ["http://h.net/p/d", "http://h.net/e"],
+        '<link rel="canonical" <p>': [],
+    }
+    rows = [("http://H.net/p/q", tag, want) for tag, want in tags.items()]
+    pages = spark.createDataFrame(rows, "url string, html string, want array<string>")
+    found = pages.withColumn("found", redirects.link_targets(F.col("url"), F.col("html"))).collect()
+    for row in found:
+        assert row["found"] == row["want"], row["html"]
+
+
+def test_links_of_a_very_long_page(spark):
+    units = ["<link canonical ", "<meta refresh x=", "<link rel='", "<link " + "a" * 1000, "<link" + " " * 1000]
+    rows = [(unit,) for unit in units]
+    pages = spark.createDataFrame(rows, "unit string").select(
+        F.lit("http://h.net/").alias("url"), F.expr("repeat(unit, 1000000 div length(unit))").alias("html")
+    )
+    start = time.monotonic()
+    assert redirects.redirect_edges(pages).count() == 0
+    assert time.monotonic() - start < 60
+
+
 def test_archives_round_trip(spark, work):
     rows = [
         (3, "http://a/\r\nx", "same", 1), (1, None, "same", 1), (None, "u", "same", 1), (4, "u", None, 1),
@@ -432,6 +463,19 @@ def test_main_text_of_odd_pages(spark):
     assert mincut.main_texts(empty, mincut.learn_costs(empty)).collect() == []
 
 
+def test_main_text_of_very_long_pages():
+    """A megabyte of any markup takes seconds, and what follows it is still read."""
+    weights = np.zeros(mincut.FEATURES)
+    units = ["<a ", "<p", "<!", "<a \"", "=\"<a \"", "<a ='\"", "</ul", "<svg/>", "<div></ul>", "</ul>", "<"]
+    for unit in units:
+        start = time.monotonic()
+        page = "<nav>" + unit * (1_000_000 // len(unit)) + "</nav><article><p>text</p></article>"
+        assert mincut.extract(page, weights).endswith("text"), unit
+        assert time.monotonic() - start < 20, unit
+    for cut_off, text in {"<p>a <b c": "a", "<p class='x<p>y": "y", "<p x=>z</p>": "z", "a < b <i>c": "a < b c"}.items():
+        assert [b.text for b in mincut.read_blocks(cut_off)[0]] == text.split("\n"), cut_off
+
+
 def test_main_text_below_wrappers():
     weights = np.zeros(mincut.FEATURES)
     article = "<h1>head</h1><p>one two three</p>"

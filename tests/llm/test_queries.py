@@ -28,6 +28,29 @@ def test_same_rows_as_sql(spark, duck, name):
     assert equal, message
 
 
+def test_linked_pages_as_sql(spark, work):
+    """The given pages name no other pages: here each leads to another, in chains and to hubs."""
+    pages = rows("select page_id, url from '{}/pages.parquet' order by page_id")
+    links = [
+        '<link rel="canonical" href="{}">', "<LINK href='{}' rel=canonical>", '<link rel="stylesheet" href="{}">',
+        '<meta http-equiv="refresh" content="3; url={}">', "<meta content={} property=og:url>",
+        '<meta name="description" content="canonical {}">',
+    ]
+    linked = []
+    for i, (page_id, url) in enumerate(pages):
+        other = pages[i // 12 * 12 if i % 3 else max(i - 1, i // 12 * 12)][1].replace("&", "&amp;")
+        linked.append((page_id, url, links[i % len(links)].format(other)))
+    path = os.path.join(work, "linked")
+    spark.createDataFrame(linked, "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view pages as select * from '{path}/pages.parquet/*.parquet'")
+    df = QUERIES["op1_redirect_filter"](spark, path)
+    equal, message = compare(df, con, ORACLE["op1_redirect_filter"])
+    assert equal, message
+    alone = {r["page_id"]: r["verdict"] for r in QUERIES["op1_redirect_filter"](spark, SF_DIR).collect()}
+    assert any(r["verdict"] != alone[r["page_id"]] for r in df.collect())
+
+
 def test_all_operators():
     assert sorted(int(name[2:].split("_")[0]) for name in QUERIES) == list(range(1, 14))
 
