@@ -155,13 +155,13 @@ def jpeg_segments(data: bytes):
 
 
 def chunks(data: bytes, at: int, order: str, name_first: bool, tail: int):
-    """Yield (name, payload) of PNG or RIFF chunks."""
+    """Yield (name, place of the payload) of PNG or RIFF chunks; most hold picture data."""
     while at + 8 <= len(data):
         name, size = data[at : at + 4], data[at + 4 : at + 8]
         if not name_first:
             name, size = size, name
         length = int.from_bytes(size, order)
-        yield name, data[at + 8 : at + 8 + length]
+        yield name, slice(at + 8, at + 8 + length)
         at += 8 + length + tail + (length % 2 if name_first else 0)
 
 
@@ -172,10 +172,10 @@ def tiff_block(data: bytes) -> bytes | None:
     if data[:2] == b"\xff\xd8":
         blocks = (p[6:] for m, p in jpeg_segments(data) if m == 0xE1 and p[:6] == b"Exif\0\0")
     elif data[:4] == b"\x89PNG":
-        blocks = (p for n, p in chunks(data, 8, "big", False, 4) if n == b"eXIf")
+        blocks = (data[p] for n, p in chunks(data, 8, "big", False, 4) if n == b"eXIf")
     elif data[:4] == b"RIFF":
         blocks = (
-            p.removeprefix(b"Exif\0\0")
+            data[p].removeprefix(b"Exif\0\0")
             for n, p in chunks(data, 12, "little", True, 0)
             if n == b"EXIF"
         )
@@ -212,11 +212,18 @@ def _printable(order: str, kind: int, count: int, raw: bytes) -> str:
 
 
 def read_tags(data: bytes, thumb: bool = False, maker: bool = False) -> list[tuple[str, str, str]]:
-    """All tags of a file as (key, field type code, text); empty when it has none."""
+    """All tags of a file as (key, field type code, text); empty when it has none.
+
+    ``data`` is only sliced, so it may be an object that reads slices of an open file.
+    """
     block = tiff_block(data)
     if block is None:
         return []
     order = {b"II": "<", b"MM": ">"}[block[:2]]
+
+    def numbers(letters: str, at: int) -> tuple[int, ...]:
+        return struct.unpack(order + letters, block[at : at + struct.calcsize(order + letters)])
+
     found: list[tuple[str, str, str]] = []
     seen: set[int] = set()
 
@@ -225,22 +232,22 @@ def read_tags(data: bytes, thumb: bool = False, maker: bool = False) -> list[tup
         if at == 0 or at in seen:
             return 0
         seen.add(at)
-        (entries,) = struct.unpack_from(f"{order}H", block, at)
+        (entries,) = numbers("H", at)
         thumbnail: dict[int, int] = {}
         for index in range(entries):
             start = at + 2 + 12 * index
-            tag, kind, count = struct.unpack_from(f"{order}HHI", block, start)
+            tag, kind, count = numbers("HHI", start)
             if kind not in FIELD_TYPES:
                 continue
             size = FIELD_TYPES[kind][2] * count
             place = start + 8
             if size > 4:
-                (place,) = struct.unpack_from(f"{order}I", block, place)
-            raw = block[place : place + size]
-            if len(raw) < size or count == 0:
+                (place,) = numbers("I", place)
+            if place + size > len(block) or count == 0:
                 continue
+            raw = block[place : place + size]
             if tag in _LINKS:
-                (target,) = struct.unpack_from(f"{order}I", block, start + 8)
+                (target,) = numbers("I", start + 8)
                 directory(target, *_LINKS[tag])
             if tag in (_MAKER_NOTE, _USER_COMMENT) and group == "EXIF" and not maker:
                 continue
@@ -253,10 +260,10 @@ def read_tags(data: bytes, thumb: bool = False, maker: bool = False) -> list[tup
             first = thumbnail[_THUMBNAIL_AT]
             picture = block[first : first + thumbnail[_THUMBNAIL_SIZE]]
             found.append(("JPEGThumbnail", "bytes", base64.b64encode(picture).decode()))
-        (following,) = struct.unpack_from(f"{order}I", block, at + 2 + 12 * entries)
+        (following,) = numbers("I", at + 2 + 12 * entries)
         return following
 
-    (first,) = struct.unpack_from(f"{order}I", block, 4)
+    (first,) = numbers("I", 4)
     second = directory(first, "Image", IMAGE_TAGS)
     directory(second, "Thumbnail", IMAGE_TAGS)
     return found

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import os
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from datetime import datetime, timezone
 from itertools import islice
 
@@ -26,6 +27,8 @@ from fotolake.sources.exif import jpeg_dimensions, read_tags
 TASK_BYTES = 256 << 20
 BLOCK_BYTES = 1 << 20
 HEAD_BYTES = 64
+# Metadata is read in blocks of this size.
+SLICE_BYTES = 1 << 16
 # Folders that a task lists, and files whose times and sizes it asks for, about.
 FOLDERS_PER_TASK = 64
 FILES_PER_TASK = 1_000
@@ -191,17 +194,16 @@ def image_header(content: Column, thumb: bool = False, maker: bool = False) -> C
     @F.pandas_udf(schemas.HEADER)
     def read(batch: pd.Series) -> pd.DataFrame:
         return pd.DataFrame(
-            [_header(data, thumb, maker) for data in batch],
+            [_header(None if data is None else bytes(data), thumb, maker) for data in batch],
             columns=["tags", "width", "height", "failed"],
         ).astype({"width": "Int32", "height": "Int32"})
 
     return read(content)
 
 
-def _header(data: bytes | None, thumb: bool, maker: bool) -> tuple:
+def _header(data: bytes | _Slices | None, thumb: bool, maker: bool) -> tuple:
     if data is None:
         return None, None, None, False
-    data = bytes(data)
     try:
         tags = read_tags(data, thumb, maker)
         failed = False
@@ -278,20 +280,22 @@ def scan_listed(
 ) -> DataFrame:
     """The records of :func:`scan_records` for listed files, read in the tasks that hold the rows.
 
-    Only narrow records leave a reading task: hash, first bytes and metadata. With
-    ``update`` a file passes through in blocks, so it may be of any size.
+    Only narrow records leave a reading task: hash, first bytes and metadata. A file passes
+    through in blocks, and metadata is read from its places in it, so it may be of any size.
     """
 
     names = ("tags", "width", "height", "failed")
     columns = ["path", "modificationTime", "md5hash", "head", "unread", "header"]
 
+    def look(file: pyarrow.NativeFile) -> tuple:
+        return _header(None if update else _Slices(file), thumb, maker)
+
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows, tags = [], 0
         for batch in batches:
             for row in batch.itertuples(index=False):
-                digest, head, data = _digest(row.path, keep=not update)
-                header = (None, None, None, False) if data is None else _header(data, thumb, maker)
-                header = dict(zip(names, header, strict=True))
+                digest, head, header = _read_file(row.path, look)
+                header = dict(zip(names, header or _header(None, thumb, maker), strict=True))
                 rows.append((row.path, row.modificationTime, digest, head, digest is None, header))
                 tags += len(header["tags"] or ())
                 # Records have a first part of the file and its tags.
@@ -385,27 +389,61 @@ def read_listed(listing: DataFrame) -> DataFrame:
         for batch in batches:
             for at in range(len(batch)):  # one file per batch bounds the memory
                 row = batch.iloc[at : at + 1].copy()
-                row["content"] = [_digest(row["path"].iloc[0], keep=True)[2]]
+                row["content"] = [_content(row["path"].iloc[0])]
                 yield row
 
     rows = spread_by_bytes(listing).select("path", "modificationTime", "length")
     return rows.mapInPandas(read, schemas.FILE)
 
 
-def _digest(path: str, keep: bool) -> tuple[str | None, bytes | None, bytes | None]:
-    """MD5, first bytes and, if asked for, all bytes of a file; Nones if it cannot be read."""
+def _open(path: str) -> pyarrow.NativeFile:
+    if "://" in path:
+        filesystem, path = pyarrow.fs.FileSystem.from_uri(path)
+    else:
+        filesystem = pyarrow.fs.LocalFileSystem()
+    return filesystem.open_input_file(path)
+
+
+def _content(path: str) -> bytes | None:
+    """All bytes of a file; None if it cannot be read."""
+    try:
+        with _open(path) as file:
+            return file.read()
+    except (OSError, ValueError):
+        return None
+
+
+def _read_file(path: str, look: Callable[[pyarrow.NativeFile], tuple]) -> tuple:
+    """MD5, first bytes and what ``look`` sees in the open file; Nones if it cannot be read."""
     try:
-        if "://" in path:
-            filesystem, path = pyarrow.fs.FileSystem.from_uri(path)
-        else:
-            filesystem = pyarrow.fs.LocalFileSystem()
-        digest, head, blocks = hashlib.md5(), b"", []
-        with filesystem.open_input_stream(path) as stream:
-            while block := stream.read(BLOCK_BYTES):
+        digest, head = hashlib.md5(), b""
+        with _open(path) as file:
+            while block := file.read(BLOCK_BYTES):
                 digest.update(block)
                 head = head or block[:HEAD_BYTES]
-                if keep:
-                    blocks.append(block)
-        return digest.hexdigest(), head, b"".join(blocks) if keep else None
+            return digest.hexdigest(), head, look(file)
     except (OSError, ValueError):
         return None, None, None
+
+
+class _Slices:
+    """An open file whose slices are read when asked for, short ones by a few kept blocks."""
+
+    def __init__(self, file: pyarrow.NativeFile):
+        self._file, self._size = file, file.size()
+        self._block = functools.lru_cache(8)(lambda n: file.read_at(SLICE_BYTES, n * SLICE_BYTES))
+
+    def __len__(self) -> int:
+        return self._size
+
+    def __getitem__(self, key: int | slice):
+        if not isinstance(key, slice):
+            return self[key : key + 1][0]
+        start, stop, _ = key.indices(self._size)
+        first, last = start // SLICE_BYTES, (stop - 1) // SLICE_BYTES
+        if stop <= start:
+            return b""
+        if last - first > 1:
+            return self._file.read_at(stop - start, start)
+        data = b"".join(self._block(n) for n in range(first, last + 1))
+        return data[start - first * SLICE_BYTES : stop - first * SLICE_BYTES]

@@ -6,7 +6,9 @@ import glob
 import hashlib
 import json
 import os
+import random
 import struct
+import tracemalloc
 import zlib
 from datetime import datetime
 
@@ -100,6 +102,53 @@ def test_metadata_of_all_containers(order):
     assert exif.read_tags(b"GIF89a") == [] and exif.read_tags(jpeg()) == []
 
 
+def _big_files(work):
+    """Files mostly of holes, with metadata at both ends."""
+    size, block = 300 << 20, bytearray(sample_block())
+    struct.pack_into("<I", block, 8 + 2 + 8, size - 5)  # the maker's name stands last
+    chunk = struct.pack(">I", len(sample_block())) + b"eXIf" + sample_block() + b"\0\0\0\0"
+    picture = png()[:33] + struct.pack(">I", size) + b"IDAT"
+    for name, head, at, tail in (
+        ("big.tif", bytes(block), size - 5, b"Make\0"),
+        ("big.png", picture, len(picture) + size + 4, chunk),
+        ("big.jpg", jpeg(sample_block()), size, b"\xff\xd9"),
+    ):
+        with open(f"{work}/{name}", "wb") as file:
+            file.write(head)
+            file.seek(at)
+            file.write(tail)
+        yield f"{work}/{name}"
+
+
+def test_large_files_are_never_in_memory(work):
+    os.makedirs(work, exist_ok=True)
+    for path in _big_files(work):
+        tracemalloc.start()
+        digest, _, (tags, _, _, failed) = files._read_file(path, lambda f: files._header(files._Slices(f), False, False))
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        with open(path, "rb") as file:
+            assert digest == hashlib.file_digest(file, "md5").hexdigest()
+        plain = [t for t in tags if t[0] not in ("Image ExifOffset", "Image GPSInfo")]
+        assert sorted(plain) == sorted(WANT_TAGS) and not failed
+        assert peak < 8 * files.BLOCK_BYTES, path
+
+
+def test_slices_are_those_of_the_bytes(work):
+    os.makedirs(work, exist_ok=True)
+    data = random.Random(3).randbytes(5 * files.SLICE_BYTES + 77)
+    with open(f"{work}/data", "wb") as file:
+        file.write(data)
+    with files._open(f"{work}/data") as file:
+        slices, n = files._Slices(file), len(data)
+        assert len(slices) == n and slices[n - 1] == data[n - 1]
+        edges = [0, 1, files.SLICE_BYTES - 1, files.SLICE_BYTES, 2 * files.SLICE_BYTES + 1, n - 1, n, n + 9]
+        for a in edges:
+            for b in edges:
+                assert slices[a:b] == data[a:b]
+    assert files._content(f"{work}/none") is None
+
+
 def test_thumbnail_only_when_asked():
     inner = [(0x0201, 4, 1, struct.pack("<I", 200)), (0x0202, 4, 1, struct.pack("<I", 4))]
     block = bytearray(tiff_block("<", [[(0x0112, 3, 1, b"\1\0")], inner]))
