@@ -12,7 +12,9 @@ from __future__ import annotations
 
 import json
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,26 +55,37 @@ def append_batch(
 
 def is_committed(spark: SparkSession, folder: str, batch_id: int, writer: str = "") -> bool:
     """Whether ``writer`` has added the batch."""
-    for manifest in manifests(spark, folder):
-        if manifest["batch"] == batch_id:
-            if manifest["writer"] != writer:
-                raise CommitConflict(f"batch {batch_id} in {folder} is another writer's")
-            return True
-    return False
+    manifest = _manifest(spark, folder, _manifest_name(batch_id))
+    if manifest is None:
+        return False
+    if manifest["writer"] != writer:
+        raise CommitConflict(f"batch {batch_id} in {folder} is another writer's")
+    return True
 
 
 def _write_tables(tables: dict[str, DataFrame], folder: str, batch_id: int) -> dict[str, list[str]]:
-    """Write all tables to folders of this attempt; names of their files, below ``folder``."""
-    attempt, files = uuid.uuid4().hex, {}
-    for name, table in tables.items():
-        place = f"{name}/{BATCH}={batch_id}/{attempt}"
-        table.select(*TABLES[name].fieldNames()).write.parquet(f"{folder}/{place}")
-        files[name] = [
-            f"{place}/{file}"
-            for file in _names(table.sparkSession, f"{folder}/{place}")
+    """Write all tables to folders of this attempt; names of their files, below ``folder``.
+
+    The tables are written side by side: of a small batch most time is planning.
+    """
+    attempt = uuid.uuid4().hex
+    places = {name: f"{name}/{BATCH}={batch_id}/{attempt}" for name in tables}
+
+    @inheritable_thread_target
+    def write(name: str) -> None:
+        rows = tables[name].select(*TABLES[name].fieldNames())
+        rows.write.parquet(f"{folder}/{places[name]}")
+
+    with ThreadPoolExecutor(len(tables)) as pool:
+        list(pool.map(write, tables))
+    return {
+        name: [
+            f"{places[name]}/{file}"
+            for file in _names(table.sparkSession, f"{folder}/{places[name]}")
             if not file.startswith(("_", "."))
         ]
-    return files
+        for name, table in tables.items()
+    }
 
 
 def _path(spark: SparkSession, name: str):
@@ -90,7 +103,7 @@ def _names(spark: SparkSession, folder: str) -> list[str]:
 
 def _commit(spark: SparkSession, folder: str, batch_id: int, writer: str, files: dict) -> None:
     text = json.dumps({"batch": batch_id, "writer": writer, "files": files}) + "\n"
-    path, system = _path(spark, f"{folder}/{MANIFESTS}/{batch_id:012d}.json")
+    path, system = _path(spark, f"{folder}/{MANIFESTS}/{_manifest_name(batch_id)}")
     try:
         out = system.create(path, False)
     except Exception as error:
@@ -110,15 +123,27 @@ def manifests(spark: SparkSession, folder: str, before: int | None = None) -> li
     for name in _names(spark, f"{folder}/{MANIFESTS}"):
         if not name.endswith(".json") or (before is not None and int(name[:-5]) >= before):
             continue
-        path, system = _path(spark, f"{folder}/{MANIFESTS}/{name}")
-        stream = system.open(path)
-        text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
-        stream.close()
-        if text.endswith("\n"):
-            found.append(json.loads(text))
+        manifest = _manifest(spark, folder, name)
+        if manifest is not None:
+            found.append(manifest)
     return found
 
 
+def _manifest_name(batch_id: int) -> str:
+    return f"{batch_id:012d}.json"
+
+
+def _manifest(spark: SparkSession, folder: str, name: str) -> dict | None:
+    """One manifest; None if it is not there or still being written."""
+    path, system = _path(spark, f"{folder}/{MANIFESTS}/{name}")
+    if not system.exists(path):
+        return None
+    stream = system.open(path)
+    text = spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    stream.close()
+    return json.loads(text) if text.endswith("\n") else None
+
+
 def read_catalog(spark: SparkSession, folder: str, before: int | None = None) -> Catalog:
     """Open a catalog, or its state before batch ``before``: the batches with manifests."""
     batches = manifests(spark, folder, before)

@@ -425,3 +425,22 @@ def test_delimited_sinks(spark, work):
     assert spark.read.parquet(f"{work}/pq").columns == ["md5 hash", "a", "b"]
     sinks.write_wide_table(wide, "photos_wide")
     assert spark.table("photos_wide").columns == ["md5_hash", "a", "b"]
+
+
+def test_a_commit_is_looked_up_by_its_own_manifest(spark, work, monkeypatch):
+    """Not by all manifests, of which a long stream has very many."""
+    from fotolake import Catalog
+    from fotolake.sources import catalogs
+
+    empty = Catalog.empty(spark)
+    catalogs.write_catalog(empty, f"{work}/c")
+    for batch in (1, 2, 3):
+        assert catalogs.append_batch(empty.tables(), f"{work}/c", batch, "me")
+    read = []
+    parse = catalogs.json.loads
+    monkeypatch.setattr(catalogs.json, "loads", lambda text: read.append(text) or parse(text))
+    assert catalogs.is_committed(spark, f"{work}/c", 2, "me")
+    assert not catalogs.is_committed(spark, f"{work}/c", 4, "me")
+    assert len(read) == 1
+    with pytest.raises(catalogs.CommitConflict):
+        catalogs.is_committed(spark, f"{work}/c", 3, "you")
