@@ -135,3 +135,18 @@ def test_ten_thousand_paths_of_one_hash(spark):
     best = pathmatch.best_match(spark.createDataFrame(rows, SCHEMA))
     assert best.count() == n
     assert best.where("new_path <> concat('moved/', old_path) or score <> 100").isEmpty()
+
+
+def test_all_pairs_are_scored_once(spark, monkeypatch):
+    """Thresholds at which the bound tells nothing are left out, and pairs are not regrouped."""
+    rng = random.Random(5)
+    names = sorted({"".join(rng.choices("abcdefgh", k=5)) for _ in range(60)})
+    rows = [("h", i % 2, name) for i, name in enumerate(names)]
+    levels = []
+    search = pathmatch.similar_pairs
+    monkeypatch.setattr(
+        pathmatch, "similar_pairs", lambda *args: levels.append(args[2]) or search(*args)
+    )
+    found = pathmatch.best_match(spark.createDataFrame(rows, SCHEMA), full_pairs=10)
+    assert {tuple(r) for r in found.collect()} == plain_best(rows)
+    assert levels[-1] == 0 and not {80, 70} & set(levels)
