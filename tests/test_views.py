@@ -60,3 +60,16 @@ def test_photo_rows(spark, tables):
     ]
     assert rows[0].md5hash == one and rows[2].md5hash is None
     assert len(rows[1].md5hash) == 32
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["relink_ranked", "prune_orphan_hashes", "wipe_counts", "insert_hashes", "orphans", "insert_locations"],
+)
+def test_queries_move_no_contents(spark, tables, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not _moved_columns(spark, registered.QUERIES[name](spark, tables)) & {"text", "html"}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
