@@ -1,20 +1,19 @@
 """Phrase collocations by partitioned mining of frequent phrases.
 
 A phrase of up to five words is frequent if it occurs ``support`` times in its language.
-Tasks gather whole texts to shards of about ``SHARD_WORDS`` words. Each shard is mined
-completely in memory, level by level, at the support lowered to its share of the
-language's bytes: a phrase frequent everywhere together is frequent in at least one shard.
-The union of the locally frequent phrases, less those whose counts, with all that the
-other shards may have kept silent, cannot reach the support, are the candidates. A second
-pass counts the candidates in the shards that kept them silent, which makes all counts exact.
-
-Words and pairs come first and longer phrases after them: a longer phrase is only looked
-at where all its pairs are frequent. Pairs and candidates are told to the tasks by bit
-sets over hashes of at most ``MAX_BITS`` bits, whatever their number. A bit set by chance
-only lets one more phrase be counted, which is then dropped by its exact count, so neither
-counts nor results depend on hashes. Counts are exact and are keyed by the words
-themselves. Where every local support is one, as with very many shards, the first pass has
-counted everything and the second is left out.
+Tasks gather whole texts to shards of about ``SHARD_WORDS`` words, and each shard is mined
+completely in memory: it reports every phrase of the step's lengths once, with its count.
+Spark adds these up by the words themselves, and what reaches the support is frequent.
+
+Words come first, then pairs, then longer phrases. A step only looks at phrases whose
+shorter parts are all frequent, by the exact counts of the steps before. No shard has a
+threshold of its own, as it would fall with every further shard: the rows of a step are
+the distinct phrases of its shards, which at most keep pace with the input, no phrase is
+kept silent, and no text is read again to complete a count.
+
+Frequent phrases are told to the tasks by one bit set over hashes of at most ``MAX_BITS``
+bits, whatever their number. A bit set by chance only lets one more phrase be counted,
+which is then dropped by its exact count, so neither counts nor results depend on hashes.
 
 Scores use decimals of 38 digits and whole division.
 
@@ -27,13 +26,15 @@ scores stand by count and by phrase in byte order; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from fotolake.llm.common import WordHashes, bytes_of, drop_stored, mix, signed, stored, text_bytes
+from fotolake.llm.common import WordHashes, bytes_of, mix, signed, stored, text_bytes
 
 SUPPORT = 100
 LONGEST = 5
@@ -42,7 +43,7 @@ TOP = 2000
 # 8 MB: what a pass sends to every task at most.
 MAX_BITS = 1 << 26
 _PROBES = 3
-# Bytes of a text that are split to words at once.
+# Bytes of a text that a shard takes at once.
 _PART = 1 << 20
 
 _U = np.uint64
@@ -56,86 +57,86 @@ _BYTES = bytes(
     for b in range(256)
 )
 
-_FOUND = "lang string, phrase string, size int, hash long, n long, silent long"
-
-
-class _Ids(dict):
-    """Numbers of words, in the order of their first use; a break is 0."""
-
-    def __init__(self) -> None:
-        super().__init__({_BREAK: 0})
-
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = len(self)
-        return value
+# What a task sends at once.
+_ROWS, _BYTES_SENT = 1 << 16, 1 << 24
+_COUNTED = "lang string, phrase binary, n long"
+_NAMED = "lang string, phrase binary, size int, hash long, f long"
 
 
 class _Shard:
-    """Words of some texts, per language, with the bytes they stand for."""
+    """Some texts, per language, as parts with one kind of space and of break."""
 
     def __init__(self) -> None:
-        self.ids = _Ids()
-        self.words: dict[str, list[np.ndarray]] = {}
-        self.own: dict[str, int] = {}
-        self.total: dict[str, int] = {}
+        self.texts: dict[str, list[bytes]] = {}
         self.size = 0
 
-    def add(self, lang: str, words: list[bytes], own: int, total: int) -> None:
-        found = np.fromiter(map(self.ids.__getitem__, words), np.int32, len(words))
-        self.words.setdefault(lang, []).append(found)
-        self.own[lang] = self.own.get(lang, 0) + own
-        self.total[lang] = total
-        self.size += len(words)
+    def add(self, lang: str, part: bytes) -> None:
+        self.texts.setdefault(lang, []).append(part)
+        # Words and breaks, or some more.
+        self.size += part.count(b" ") + part.count(_BREAK) + 1
 
     def take_open(self, lang: str) -> list[bytes]:
-        """Words since the last break of ``lang``, taken out of the shard."""
-        own = np.concatenate(self.words[lang])
-        breaks = np.flatnonzero(own == 0)
-        start = int(breaks[-1]) + 1 if len(breaks) else 0
-        self.words[lang] = [own[:start]]
-        names = list(self.ids)
-        return [names[i] for i in own[start:].tolist()]
-
-
-def _parts(text: memoryview) -> Iterator[tuple[list[bytes], int, bool]]:
-    """Words and breaks of a text, the bytes they stand for, and whether it ends here."""
+        """What follows the last break of ``lang``, taken out of the shard."""
+        parts, rest = self.texts[lang], []
+        while parts:
+            part = parts.pop()
+            start = part.rfind(_BREAK) + 1
+            rest.append(part[start:])
+            if start:
+                parts.append(part[:start])
+                break
+        return rest[::-1]
+
+    def numbered(self) -> tuple[pa.Array, dict[str, np.ndarray]]:
+        """Distinct words, and per language their numbers in order; a break is 0."""
+        found = [pa.array([_BREAK], pa.large_binary())]
+        found += [_words(b" ".join(parts)) for parts in self.texts.values()]
+        names, *ids = pa.chunked_array(found).dictionary_encode().chunks
+        numbers = (own.indices.to_numpy() for own in ids)
+        return names.dictionary, dict(zip(self.texts, numbers, strict=True))
+
+
+def _words(data: bytes) -> pa.Array:
+    """Words and breaks: what lies between spaces, with every break on its own."""
+    own = np.frombuffer(data, np.uint8)
+    there, ends = own != 32, own == _BREAK[0]
+    first = there.copy()
+    first[1:] &= ~there[:-1] | ends[:-1] | ends[1:]
+    starts = np.flatnonzero(first[there])
+    offsets = np.append(starts, np.count_nonzero(there))
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(own[there])]
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), buffers)
+
+
+def _parts(text: memoryview) -> Iterator[tuple[bytes, bool]]:
+    """Parts of a text, cut at spaces, and whether it ends here."""
     data = bytes(text).translate(_BYTES)
     start = 0
-    while True:
-        end = data.find(b" ", start + _PART)
-        last = end < 0
-        part = data[start:] if last else data[start:end]
-        words = part.replace(_BREAK, b" . ").split()
-        if last:
-            words.append(_BREAK)
-            yield words, len(part), True
-            return
-        yield words, len(part), False
+    while (end := data.find(b" ", start + _PART)) >= 0:
+        yield data[start:end], False
         start = end
+    yield data[start:] + _BREAK, True
 
 
 def shards(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[_Shard]:
-    """Shards of batches of lang, bytes of the language, text."""
+    """Shards of batches of lang, text."""
     shard = _Shard()
     for batch in batches:
-        langs, totals = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for lang, total, text in zip(langs, totals, bytes_of(batch.column(2)), strict=True):
-            for words, own, ends in _parts(text):
-                shard.add(lang, words, own, total)
+        for lang, text in zip(batch.column(0).to_pylist(), bytes_of(batch.column(1)), strict=True):
+            for part, ends in _parts(text):
+                shard.add(lang, part)
                 if shard.size < most:
                     continue
                 rest = [] if ends else shard.take_open(lang)
-                if len(rest) == shard.size:
+                if not any(shard.texts.values()):
                     # One piece fills the shard: it stays whole.
-                    shard.words[lang] = []
-                    shard.size = 0
-                    shard.add(lang, rest, 0, total)
+                    shard.texts[lang] = rest
                     continue
                 yield shard
                 shard = _Shard()
-                if rest:
-                    shard.add(lang, rest, 0, total)
-    if shard.words:
+                for part in rest:
+                    shard.add(lang, part)
+    if shard.texts:
         yield shard
 
 
@@ -148,117 +149,148 @@ def _in_bits(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return found
 
 
+def _name(words: np.ndarray) -> np.ndarray:
+    """Hashes of phrases: rows of hashes of words."""
+    name = np.full(len(words), words.shape[1], np.uint64)
+    for own in words.T:
+        name = mix(name * _U(0x9E3779B97F4A7C15) ^ own)
+    return name
+
+
+def _distinct(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A place of each distinct key, its count, and the number of the key at each place."""
+    order = np.argsort(key)
+    ordered = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = ordered[1:] != ordered[:-1]
+    starts = np.flatnonzero(new)
+    own = np.empty(len(key), np.int64)
+    own[order] = np.cumsum(new) - 1
+    return order[starts], np.diff(starts, append=len(key)), own
+
+
+def _distinct_words(
+    ids: np.ndarray, at: np.ndarray, n_ids: int
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same of words, by place in ``ids``: they are numbers already."""
+    words = ids[at]
+    counts = np.bincount(words, minlength=n_ids)
+    there = np.flatnonzero(counts)
+    place, number = np.zeros(n_ids, np.int64), np.zeros(n_ids, np.int64)
+    place[words] = at
+    number[there] = np.arange(len(there))
+    return place[there], counts[there], number[words]
+
+
 def mined(
-    ids: np.ndarray, hashes: np.ndarray, rules: dict[int, np.ndarray | int | None]
-) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """Per length: the length, first places, hashes and counts of the phrases that are kept.
+    ids: np.ndarray, hashes: np.ndarray, sizes: tuple[int, ...], known: np.ndarray | None
+) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """Per length of ``sizes``, which follow each other: length, places and counts of the phrases.
 
-    ``ids`` are words, 0 for a break; ``hashes`` those of the words by id. A rule is a bit
-    set, a least count, or None for all. A phrase needs both its parts of one word less.
+    ``ids`` are words, 0 for a break; ``hashes`` those of the words by id. A phrase needs
+    both its parts of one word less; parts shorter than ``sizes`` need their bits in ``known``.
     """
     n_ids = len(hashes)
     kept = ids.astype(np.int64)
-    for size in sorted(rules):
+    for size in range(1, sizes[-1] + 1):
         if size == 1:
             at = np.flatnonzero(kept)
-            key = kept[at]
+            place, counts, own = _distinct_words(ids, at, n_ids)
         else:
             at = np.flatnonzero((kept[:-1] > 0) & (kept[1:] > 0))
             at = at[at + size - 1 < len(ids)]
-            key = kept[at] * n_ids + ids[at + size - 1]
+            first, counts, own = _distinct(kept[at] * n_ids + ids[at + size - 1])
+            place = at[first]
         if not len(at):
             return
-        _, first, own, counts = np.unique(key, True, True, True)
-        place = at[first]
-        name = np.full(len(place), size, np.uint64)
-        for j in range(size):
-            name = mix(name * _U(0x9E3779B97F4A7C15) ^ hashes[ids[place + j]])
-        rule = rules[size]
-        if rule is None:
-            stays = np.ones(len(place), bool)
-        elif isinstance(rule, int):
-            stays = counts >= rule
+        number = np.arange(1, len(place) + 1)
+        if size in sizes:
+            yield size, place, counts
         else:
-            stays = _in_bits(rule, name)
-        yield size, place[stays], name[stays], counts[stays]
-        number = np.where(stays, np.arange(1, len(place) + 1), 0)
+            name = _name(hashes[ids[place[:, None] + np.arange(size)]])
+            number[~_in_bits(known, name)] = 0
         kept = np.zeros(len(ids), np.int64)
         kept[at] = number[own]
 
 
-def _mine(
-    texts: DataFrame,
-    most: int,
-    support: int,
-    report: tuple[int, ...],
-    pairs: np.ndarray | None = None,
-    wanted: np.ndarray | None = None,
+def _counted(
+    texts: DataFrame, most: int, sizes: tuple[int, ...], known: np.ndarray | None
 ) -> DataFrame:
-    """Phrases of the lengths of ``report`` with their counts in each shard.
+    """Phrases of the lengths ``sizes`` (lang, phrase, f) whose shorter parts are ``known``.
 
-    The locally frequent ones, or else those of ``wanted`` (a bit set) that are not. A row without phrase
-    has the words of a shard, and in ``silent`` the occurrences that a phrase may have in
-    the shard without being reported; other rows repeat that number.
+    With words come rows without phrase: the words of a language.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         word_hash = WordHashes()
         for shard in shards(batches, most):
-            names = list(shard.ids)
-            hashes = word_hash.of(names)
-            for lang, parts in shard.words.items():
-                ids = np.concatenate(parts) if parts else np.zeros(0, np.int32)
-                least = max(1, -(-support * shard.own[lang] // max(shard.total[lang], 1)))
-                silent = 0 if wanted is not None else least - 1
-                yield _batch([(lang, None, 0, None, int((ids > 0).sum()), silent)])
-                rule = least if wanted is None else wanted
-                rules = dict.fromkeys(range(1, max(report) + 1), rule)
-                if pairs is not None:
-                    rules |= {1: None, 2: pairs}
-                salt = mix(np.array([hash_of(lang)], np.uint64))[0]
-                for size, place, name, counts in mined(ids, hashes ^ salt, rules):
-                    if size not in report:
-                        continue
-                    if wanted is not None:
-                        place, name, counts = (v[counts < least] for v in (place, name, counts))
-                    for i in range(0, len(place), 1 << 16):
-                        cut = slice(i, i + (1 << 16))
-                        words = ids[place[cut, None] + np.arange(size)].tolist()
-                        yield _batch_of(
-                            lang,
-                            [b" ".join([names[w] for w in own]) for own in words],
-                            size,
-                            signed(name[cut]),
-                            counts[cut],
-                            silent,
-                        )
-
-    return texts.mapInArrow(run, _FOUND)
-
-
-def hash_of(text: str) -> int:
-    return WordHashes()[text.encode()]
-
-
-def _batch_of(lang, phrases, size, hashes, counts, silent) -> pa.RecordBatch:
-    n = len(phrases)
-    return pa.record_batch(
-        [
-            pa.array([lang] * n, pa.string()),
-            pa.array(phrases, pa.binary()).cast(pa.string()),
-            pa.array(np.full(n, size, np.int32)),
-            pa.array(hashes),
-            pa.array(counts.astype(np.int64)),
-            pa.array(np.full(n, silent, np.int64)),
-        ],
-        names=["lang", "phrase", "size", "hash", "n", "silent"],
+            words, numbers = shard.numbered()
+            hashes = word_hash.of(words.to_pylist())
+            lengths = pc.binary_length(words).to_numpy() + 1
+            for lang, ids in numbers.items():
+                if 1 in sizes:
+                    yield _batch(lang, pa.nulls(1, pa.binary()), np.array([(ids > 0).sum()]))
+                for size, place, counts in mined(ids, hashes ^ _salt(lang), sizes, known):
+                    spans = ids[place[:, None] + np.arange(size)]
+                    # Rows that agree in count and length follow each other: the shuffle packs them better.
+                    order = np.lexsort((lengths[spans].sum(axis=1), counts))
+                    spans, counts = spans[order], counts[order]
+                    for cut in _cuts(lengths[spans].sum(axis=1)):
+                        own = [words.take(pa.array(column)) for column in spans[cut].T]
+                        yield _batch(lang, _joined(own), counts[cut])
+
+    # Shards report a phrase once, so nothing is to be added up before the shuffle.
+    return (
+        texts.mapInArrow(run, _COUNTED)
+        .repartition("lang", "phrase")
+        .groupBy("lang", "phrase")
+        .agg(F.sum("n").alias("f"))
     )
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-    columns = [pa.array(c, kind) for c, kind in zip(zip(*rows, strict=True), kinds, strict=True)]
-    return pa.record_batch(columns, names=["lang", "phrase", "size", "hash", "n", "silent"])
+def _salt(lang: str) -> np.uint64:
+    return mix(np.array([WordHashes()[lang.encode()]], np.uint64))[0]
+
+
+def _cuts(lengths: np.ndarray) -> Iterator[slice]:
+    """Slices of bounded rows and, but for single rows, bytes."""
+    ends = np.cumsum(lengths)
+    full = np.searchsorted(ends, np.arange(_BYTES_SENT, ends[-1], _BYTES_SENT))
+    starts = np.unique(np.concatenate([np.arange(0, len(ends), _ROWS), full])).tolist()
+    yield from map(slice, starts, [*starts[1:], len(ends)])
+
+
+def _joined(words: list[pa.Array]) -> pa.Array:
+    space = pa.scalar(b" ", pa.large_binary())
+    return pc.binary_join_element_wise(*words, space).cast(pa.binary())
+
+
+def _batch(lang: str, phrases: pa.Array, counts: np.ndarray) -> pa.RecordBatch:
+    langs = pa.array([lang] * len(phrases), pa.string())
+    columns = [langs, phrases, pa.array(counts.astype(np.int64))]
+    return pa.record_batch(columns, names=["lang", "phrase", "n"])
+
+
+def _named(phrases: DataFrame) -> DataFrame:
+    """With size and hash; rows without phrase have no words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        word_hash, salts = WordHashes(), {}
+        for batch in batches:
+            langs = batch.column(0).to_pylist()
+            words = [p.split(b" ") if p else [] for p in batch.column(1).to_pylist()]
+            sizes = np.fromiter(map(len, words), np.int32, len(words))
+            salts |= {lang: _salt(lang) for lang in set(langs) - salts.keys()}
+            hashes = np.zeros(len(words), np.uint64)
+            for size in set(sizes.tolist()) - {0}:
+                rows = np.flatnonzero(sizes == size)
+                flat = word_hash.of([w for i in rows for w in words[i]]).reshape(-1, size)
+                salt = np.array([salts[langs[i]] for i in rows], np.uint64)
+                hashes[rows] = _name(flat ^ salt[:, None])
+            columns = [batch.column(0), batch.column(1), pa.array(sizes), pa.array(signed(hashes)), batch.column(2)]
+            yield pa.record_batch(columns, names=["lang", "phrase", "size", "hash", "f"])
+
+    return phrases.mapInArrow(run, _NAMED).withColumn("phrase", F.col("phrase").cast("string"))
 
 
 def bit_set(phrases: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
@@ -283,55 +315,6 @@ def bit_set(phrases: DataFrame, max_bits: int = MAX_BITS) -> np.ndarray:
     return bits
 
 
-def _exact(
-    texts: DataFrame,
-    most: int,
-    support: int,
-    report: tuple[int, ...],
-    pairs: np.ndarray | None,
-) -> tuple[DataFrame, DataFrame]:
-    """Frequent phrases (lang, phrase, size, hash, f) and (lang, words) by two passes."""
-    local = stored(_mine(texts, most, support, report, pairs), "local")
-    langs = (
-        local.where("phrase is null")
-        .groupBy("lang")
-        .agg(F.sum("n").alias("words"), F.sum("silent").alias("all_silent"))
-    )
-    langs = stored(langs, "langs")
-    sums = (
-        local.where("phrase is not null")
-        .groupBy("lang", "phrase")
-        .agg(
-            F.first("size").alias("size"),
-            F.first("hash").alias("hash"),
-            F.sum("n").alias("f"),
-            F.sum("silent").alias("silent"),
-        )
-    )
-    most_left = F.col("f") + F.col("all_silent") - F.col("silent")
-    found = stored(sums.join(langs, "lang").where(most_left >= support), "candidates")
-    if langs.where("all_silent > 0").isEmpty():
-        exact = found.select("lang", "phrase", "size", "hash", "f")
-    else:
-        again = _mine(texts, most, support, report, pairs, bit_set(found))
-        # What is no candidate stays below the support with any part of its count.
-        rest = again.where("phrase is not null").select("lang", "phrase", "size", "hash", "n")
-        known = found.select("lang", "phrase", "size", "hash", F.col("f").alias("n"))
-        exact = stored(
-            known.unionByName(rest)
-            .groupBy("lang", "phrase")
-            .agg(
-                F.first("size").alias("size"),
-                F.first("hash").alias("hash"),
-                F.sum("n").alias("f"),
-            )
-            .where(F.col("f") >= support),
-            "frequent",
-        )
-    drop_stored(local)
-    return exact, langs.select("lang", "words")
-
-
 def frequent_phrases(
     docs: DataFrame,
     support: int = SUPPORT,
@@ -339,21 +322,22 @@ def frequent_phrases(
     shard_words: int = SHARD_WORDS,
 ) -> tuple[DataFrame, DataFrame]:
     """Phrases (lang, phrase, size, f) with f >= support, and words per lang."""
-    own = docs.select(
+    texts = docs.select(
         F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"),
         text_bytes().alias("text"),
     )
-    totals = stored(
-        own.groupBy("lang").agg(F.sum(F.octet_length("text")).cast("long").alias("total")), "totals"
-    )
-    # One row per language: small, but Spark decides whether it is sent to all tasks.
-    texts = own.join(totals, "lang").select("lang", "total", "text")
-    short, langs = _exact(texts, shard_words, support, (1, 2), None)
-    if longest < 3:
-        return short.drop("hash"), langs
-    pairs = bit_set(short.where("size = 2"))
-    long, _ = _exact(texts, shard_words, support, tuple(range(3, longest + 1)), pairs)
-    return short.unionByName(long).drop("hash"), langs
+    # Beyond three words few phrases are left, so two lengths share a reading of the texts.
+    steps = [(1,), (2,), (3,), *(tuple(range(s, min(s + 2, longest + 1))) for s in range(4, longest + 1, 2))]
+    found, known = [], None
+    for sizes in steps[: max(longest, 1)]:
+        counts = _counted(texts, shard_words, sizes, known)
+        enough = (F.col("f") >= support) | F.col("phrase").isNull()
+        found.append(stored(_named(counts.where(enough)), "frequent"))
+        frequent = reduce(DataFrame.unionByName, found).where("size > 0")
+        if sizes[-1] < longest:
+            known = bit_set(frequent)
+    langs = found[0].where("size = 0").select("lang", F.col("f").alias("words"))
+    return frequent.drop("hash"), langs
 
 
 def _whole(column: str | Column) -> Column:

@@ -59,3 +59,29 @@ def test_saturated_bits_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(collocations.bit_set, "__defaults__", (1 << 10,))
     df = spark.createDataFrame(texts(3, 80), SCHEMA).repartition(5)
     assert same(df, support=5, shard_words=200)
+
+
+def test_rows_of_the_shards_keep_pace_with_the_texts(spark, monkeypatch):
+    rows = spark.sparkContext.accumulator(0)
+    plain = type(spark.range(1)).mapInArrow
+
+    def counting(self, function, schema):
+        def run(batches):
+            for batch in function(batches):
+                rows.add(batch.num_rows)
+                yield batch
+
+        return plain(self, run, schema)
+
+    monkeypatch.setattr(type(spark.range(1)), "mapInArrow", counting)
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(2_000)]
+    weights = [1 / (i + 1) for i in range(len(words))]
+    docs = [("en", " ".join(rng.choices(words, weights, k=100))) for _ in range(1_000)]
+    made = []
+    for n in (200, 1_000):
+        before = rows.value
+        df = spark.createDataFrame(docs[:n], SCHEMA).coalesce(1)
+        assert collocations.collocations(df, shard_words=2_000).count()
+        made.append(rows.value - before)
+    assert 0 < made[1] <= 8 * made[0], made
