@@ -232,7 +232,7 @@ def _counted(
                     yield _batch(lang, pa.nulls(1, pa.binary()), np.array([(ids > 0).sum()]))
                 for size, place, counts in mined(ids, hashes ^ _salt(lang), sizes, known):
                     spans = ids[place[:, None] + np.arange(size)]
-                    # Rows that agree in count and length follow each other: the shuffle packs them better.
+                    # Rows of one count and length follow each other: the shuffle packs them better.
                     order = np.lexsort((lengths[spans].sum(axis=1), counts))
                     spans, counts = spans[order], counts[order]
                     for cut in _cuts(lengths[spans].sum(axis=1)):
@@ -287,7 +287,8 @@ def _named(phrases: DataFrame) -> DataFrame:
                 flat = word_hash.of([w for i in rows for w in words[i]]).reshape(-1, size)
                 salt = np.array([salts[langs[i]] for i in rows], np.uint64)
                 hashes[rows] = _name(flat ^ salt[:, None])
-            columns = [batch.column(0), batch.column(1), pa.array(sizes), pa.array(signed(hashes)), batch.column(2)]
+            own, phrase, f = batch.columns
+            columns = [own, phrase, pa.array(sizes), pa.array(signed(hashes)), f]
             yield pa.record_batch(columns, names=["lang", "phrase", "size", "hash", "f"])
 
     return phrases.mapInArrow(run, _NAMED).withColumn("phrase", F.col("phrase").cast("string"))
@@ -327,7 +328,8 @@ def frequent_phrases(
         text_bytes().alias("text"),
     )
     # Beyond three words few phrases are left, so two lengths share a reading of the texts.
-    steps = [(1,), (2,), (3,), *(tuple(range(s, min(s + 2, longest + 1))) for s in range(4, longest + 1, 2))]
+    longer = (tuple(range(s, min(s + 2, longest + 1))) for s in range(4, longest + 1, 2))
+    steps = [(1,), (2,), (3,), *longer]
     found, known = [], None
     for sizes in steps[: max(longest, 1)]:
         counts = _counted(texts, shard_words, sizes, known)
