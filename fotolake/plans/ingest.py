@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from datetime import datetime
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -37,17 +39,30 @@ def new_rows(
     found = cut_lineage(changes.one_row_per_path(found))
     accepted = cut_lineage(changes.absent_rows(catalog.photo, found, "path"))
     photo = accepted.select(*PHOTO.fieldNames())
-    hashes = changes.distinct_keys(accepted, "md5hash")
-    tag = changes.first_by_path(accepted, TAG.fieldNames()[1:])
-    tag = changes.absent_rows(catalog.tag, tag, "md5hash")
-    location = lookups.gps_location(tag, photo) if geo else catalog.location.limit(0)
-    batch = changes.batch_row(catalog.imports, base, local, "import", key)
-    imports = changes.absent_rows(catalog.imports, batch, "import_date").join(
-        photo.select(F.col("dt_import").alias("import_date")).limit(1), "import_date", "left_semi"
-    )
-    hashes = changes.absent_rows(catalog.hash, hashes, "md5hash")
-    location = changes.absent_rows(catalog.location, location, "md5hash")
-    return {"import": imports, "hash": hashes, "photo": photo, "tag": tag, "location": location}
+
+    @inheritable_thread_target
+    def hash_rows() -> DataFrame:
+        hashes = changes.distinct_keys(accepted, "md5hash")
+        return changes.absent_rows(catalog.hash, hashes, "md5hash")
+
+    @inheritable_thread_target
+    def import_rows() -> DataFrame:
+        batch = changes.batch_row(catalog.imports, base, local, "import", key)
+        return changes.absent_rows(catalog.imports, batch, "import_date").join(
+            photo.select(F.col("dt_import").alias("import_date")).limit(1), "import_date", "left_semi"
+        )
+
+    # Planning takes longer than the rows of a small batch, so it goes side by side.
+    with ThreadPoolExecutor(2) as pool:
+        hashes, imports = pool.submit(hash_rows), pool.submit(import_rows)
+        tag = changes.first_by_path(accepted, TAG.fieldNames()[1:])
+        tag = changes.absent_rows(catalog.tag, tag, "md5hash")
+        location = lookups.gps_location(tag, photo) if geo else catalog.location.limit(0)
+        location = changes.absent_rows(catalog.location, location, "md5hash")
+    return {
+        "import": imports.result(), "hash": hashes.result(), "photo": photo, "tag": tag,
+        "location": location,
+    }
 
 
 def add_rows(catalog: Catalog, rows: dict[str, DataFrame]) -> Catalog:

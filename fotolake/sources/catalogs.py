@@ -114,17 +114,25 @@ def _commit(spark: SparkSession, folder: str, batch_id: int, writer: str, files:
     out.close()
 
 
-def manifests(spark: SparkSession, folder: str, before: int | None = None) -> list[dict]:
+def manifests(
+    spark: SparkSession,
+    folder: str,
+    before: int | None = None,
+    known: dict[str, dict] | None = None,
+) -> list[dict]:
     """The manifests of all batches (below ``before``), in order.
 
-    One that is still being written is not there yet.
+    One that is still being written is not there yet. ``known`` keeps those read between
+    calls: a manifest never changes once it is there.
     """
+    known = {} if known is None else known
     found = []
     for name in _names(spark, f"{folder}/{MANIFESTS}"):
         if not name.endswith(".json") or (before is not None and int(name[:-5]) >= before):
             continue
-        manifest = _manifest(spark, folder, name)
+        manifest = known.get(name) or _manifest(spark, folder, name)
         if manifest is not None:
+            known[name] = manifest
             found.append(manifest)
     return found
 
@@ -144,9 +152,17 @@ def _manifest(spark: SparkSession, folder: str, name: str) -> dict | None:
     return json.loads(text) if text.endswith("\n") else None
 
 
-def read_catalog(spark: SparkSession, folder: str, before: int | None = None) -> Catalog:
-    """Open a catalog, or its state before batch ``before``: the batches with manifests."""
-    batches = manifests(spark, folder, before)
+def read_catalog(
+    spark: SparkSession,
+    folder: str,
+    before: int | None = None,
+    known: dict[str, dict] | None = None,
+) -> Catalog:
+    """Open a catalog, or its state before batch ``before``: the batches with manifests.
+
+    ``known`` is that of :func:`manifests`.
+    """
+    batches = manifests(spark, folder, before, known)
     if not batches:
         raise FileNotFoundError(f"no catalog in {folder}")
 

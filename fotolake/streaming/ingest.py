@@ -69,12 +69,13 @@ def batch_upsert(
     written anew. ``writer`` names the stream: two streams on one catalog conflict. All
     batches of a scan share the batch ``key``.
     """
+    known: dict[str, dict] = {}
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         place = batch_id + 1
         if catalogs.is_committed(spark, folder, place, writer):
             return
-        catalog = catalogs.read_catalog(spark, folder, before=place)
+        catalog = catalogs.read_catalog(spark, folder, before=place, known=known)
         records = files.scan_listed(batch, file_zone)
         rows = new_rows(catalog, records, base, started, local, zone, geo, key)
         catalogs.append_batch(rows, folder, place, writer)

@@ -444,3 +444,33 @@ def test_a_commit_is_looked_up_by_its_own_manifest(spark, work, monkeypatch):
     assert len(read) == 1
     with pytest.raises(catalogs.CommitConflict):
         catalogs.is_committed(spark, f"{work}/c", 3, "you")
+
+
+def test_a_file_for_every_row(spark, work):
+    """Equal and missing values too; written by the tasks, so the driver commits nothing."""
+    values = [f"{i % 40} é" for i in range(100)] + [None, ""]
+    lines = spark.createDataFrame([(v,) for v in values], "value string")
+    for folder in (f"{work}/a/b", f"file:{work}/c"):
+        sinks.write_line_files(lines, folder, files_per_task=10)
+        found = os.listdir(files.plain_root(folder))
+        assert len({name.split("-")[1] for name in found}) > 1
+        texts = []
+        for name in found:
+            with open(f"{files.plain_root(folder)}/{name}", encoding="utf-8") as file:
+                texts.append(file.read())
+        assert sorted(texts) == sorted(f"{v or ''}\n" for v in values)
+    sinks.write_line_files(lines.limit(0), f"{work}/none")
+    assert not os.path.exists(f"{work}/none") or os.listdir(f"{work}/none") == []
+
+
+def test_a_stream_reads_each_manifest_once(spark, work, monkeypatch):
+    empty = Catalog.empty(spark)
+    catalogs.write_catalog(empty, f"{work}/c")
+    read, known = [], {}
+    parse = catalogs.json.loads
+    monkeypatch.setattr(catalogs.json, "loads", lambda text: read.append(text) or parse(text))
+    for batch in range(1, 5):
+        catalogs.append_batch(empty.tables(), f"{work}/c", batch, "me")
+        catalogs.read_catalog(spark, f"{work}/c", before=batch, known=known)
+    assert len(read) == 4
+    assert catalogs.manifests(spark, f"{work}/c", known=known) == catalogs.manifests(spark, f"{work}/c")
