@@ -4,7 +4,7 @@ import random
 
 import pytest
 from fotolake.functions import similarity
-from fotolake.operators import pathmatch
+from fotolake.operators import pairblocks, pathmatch
 from pyspark.sql import functions as F
 
 SCHEMA = "md5hash string, side int, path string"
@@ -150,3 +150,68 @@ def test_all_pairs_are_scored_once(spark, monkeypatch):
     found = pathmatch.best_match(spark.createDataFrame(rows, SCHEMA), full_pairs=10)
     assert {tuple(r) for r in found.collect()} == plain_best(rows)
     assert levels[-1] == 0 and not {80, 70} & set(levels)
+
+
+def plain_levenshtein(a, b):
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    least = len(short)
+    for start in range(len(long) - len(short) + 1 if short else 0):
+        window, row = long[start : start + len(short)], list(range(len(short) + 1))
+        for i, c in enumerate(window, 1):
+            last, row[0] = row[0], i
+            for j, d in enumerate(short, 1):
+                last, row[j] = row[j], min(last + (c != d), row[j] + 1, row[j - 1] + 1)
+        least = min(least, row[-1])
+    return 100 * (1 - least / len(short)) if short else 0.0
+
+
+def test_block_scores_equal_plain_versions(values):
+    rng = random.Random(2)
+    for n in range(12):
+        alphabet = rng.choice(["ab", "abc/.", "aé😀0123/"])
+        sides = [
+            ["".join(rng.choices(alphabet, k=rng.randrange((8, 40, 140)[n % 3]))) for _ in range(8)]
+            for _ in "ab"
+        ]
+        sides[0] += ["", "a" * 64 + "b"]
+        sides[1] += ["b" + "a" * 64, "ab" * 32, "ab" * 16]
+        want = [[plain_ratio(a, b) for b in sides[1]] for a in sides[0]]
+        assert similarity.ratio_block(*sides).tolist() == want
+        want = [[plain_levenshtein(a, b) for b in sides[1]] for a in sides[0]]
+        assert similarity.levenshtein_block(*sides).tolist() == want
+    pairs = [(a, b) for a in sides[0] for b in sides[1]]
+    got = values(100 * similarity.partial_levenshtein(F.col("s"), F.col("t")), pairs, "s string, t string")
+    assert got == [score for row in want for score in row]
+    assert similarity.ratio_block([], ["a"]).shape == (0, 1)
+
+
+@pytest.mark.parametrize("pairs", [2_000, pairblocks.PAIRS])
+def test_blocks_match_as_the_plain_order(spark, monkeypatch, pairs):
+    """Several blocks and hashes, paths of equal similarity beyond one step of gaps, few pairs at a time."""
+    monkeypatch.setattr(pairblocks, "SIDE", 50)
+    rows = paths(random.Random(8), 150, ["h1", "h1", "h2"])
+    rows += [("h3", 0, f"old/{chr(0x4E00 + i)}") for i in range(90)]
+    rows += [("h3", 1, f"new/{chr(0x6E00 + i)}") for i in range(170)]
+    rows += [("h4", 0, "only/old"), ("h5", 1, "only/new")]
+    ranked = pathmatch._ranked(spark.createDataFrame(rows, SCHEMA), 1 << 20)
+    got = pairblocks.match_in_blocks(ranked, similarity.ratio_block, pairs)
+    assert sorted(map(tuple, got.collect())) == sorted(plain_greedy(rows))
+    best = pathmatch._first_old(pairblocks.first_in_blocks(ranked, similarity.ratio_block))
+    assert sorted(map(tuple, best.collect())) == sorted(plain_best(rows))
+
+
+@pytest.mark.parametrize("match", [pathmatch.best_match, pathmatch.match_one_to_one])
+def test_pairs_of_large_hashes_are_no_rows(spark, monkeypatch, match):
+    """All pairs of a hash are scored in blocks, and once, not row by row at every threshold."""
+    rng = random.Random(6)
+    names = sorted({"".join(rng.choices("abcdefgh", k=5)) for _ in range(60)})
+    rows = [("h", i % 2, name) for i, name in enumerate(names)]
+    scored = []
+    for name in ("first_in_blocks", "match_in_blocks"):
+        run = getattr(pairblocks, name)
+        monkeypatch.setattr(pathmatch, name, lambda *a, run=run: scored.append(1) or run(*a))
+    monkeypatch.setattr(pathmatch, "_met", lambda *a: pytest.fail("pairs as rows"))
+    found = match(spark.createDataFrame(rows, SCHEMA), pathmatch.ratio_score, 10)
+    plain = plain_best if match is pathmatch.best_match else plain_greedy
+    assert {tuple(r) for r in found.collect()} == plain(rows)
+    assert len(scored) == 1
